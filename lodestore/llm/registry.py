@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from lodestore.llm.byte_bpe import op8_byte_bpe
+from lodestore.llm.near_dup import op10_minhash_near_dup
 from lodestore.llm.packing import op9_packing
 from lodestore.llm.secrets import op7_secret_scans
 from lodestore.llm.token_counts import op1_token_counts
 from lodestore.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_toxicity, op7_secret_scans, op8_byte_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_toxicity, op7_secret_scans, op8_byte_bpe, op9_packing, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {}
