@@ -37,6 +37,8 @@ SAMPLE_NUMBERS, SAMPLE_VECTORS = 1 << 21, 20_000
 CODE_BITS = 64
 RECALL = 0.995
 CHUNK = 1024
+#: Buckets up to this size are reranked together.
+FEW = 48
 MOST_TABLES = 64
 
 
@@ -98,33 +100,46 @@ def unit_rows(lists: list[list[float]]) -> np.ndarray:
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
-def _bucket(ids, sides, vectors, codes, sizes, place, width, bands, threshold):
-    """(id, links counted here, root) for each class of a bucket that has a link."""
-    n = len(ids)
-    counted, tops = np.zeros(n), np.arange(n)
-    keys = band_keys(codes, width, bands)
-    edges = []
-    for start in range(0, n, CHUNK):
-        a, b = np.nonzero(vectors[start : start + CHUNK] @ vectors.T >= threshold)
-        a += start
-        keep = (a < b) & ((sides[a] == 0) | (sides[a] != sides[b]))
-        a, b = a[keep], b[keep]
-        first = np.ones(len(a), dtype=bool)
-        for k in range(place):
-            first &= keys[a, k] != keys[b, k]
-        counted += np.bincount(a[first], weights=sizes[b[first]], minlength=n) + np.bincount(b[first], weights=sizes[a[first]], minlength=n)
-        edges.append((a, b))
-    a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
-    while True:
-        least = np.minimum(tops[a], tops[b])
-        before = tops.copy()
+def _near(bucket: np.ndarray, sides: np.ndarray, units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the rows of one bucket each whose cosine reaches the threshold; rows are sorted by bucket."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    sizes = np.diff(np.append(starts, len(bucket)))
+    size = np.repeat(sizes, sizes)
+    first, second = [], []
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        fits = (sides[a] == 0) | (sides[a] != sides[b])
+        first.append(a[fits])
+        second.append(b[fits])
+
+    for k in range(1, min(FEW, int(sizes.max())) if len(sizes) else 0):  # small buckets, all at once
+        a = np.flatnonzero((bucket[:-k] == bucket[k:]) & (size[:-k] <= FEW))
+        near = np.einsum("ij,ij->i", units[a], units[a + k]) >= threshold
+        keep(a[near], a[near] + k)
+    for start, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        whole = units[start : start + n]
+        for at in range(0, n, CHUNK):
+            a, b = np.nonzero(whole[at : at + CHUNK] @ whole.T >= threshold)
+            a += at
+            keep(a[a < b] + start, b[a < b] + start)
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _count_and_join(a, b, place, keys, sizes):
+    """(links counted here, row that stands for the component) for each row."""
+    n = len(keys)
+    here = (keys[a] == keys[b]).argmax(axis=1) == place[a]  # not met in an earlier band
+    x, y = a[here], b[here]
+    counted = np.bincount(x, weights=sizes[y], minlength=n) + np.bincount(y, weights=sizes[x], minlength=n)
+    tops = np.arange(n)
+    while len(a):
+        before, least = tops.copy(), np.minimum(tops[a], tops[b])
         np.minimum.at(tops, a, least)
         np.minimum.at(tops, b, least)
         tops = tops[tops]
         if (tops == before).all():
             break
-    live = np.flatnonzero((counted > 0) | (tops != np.arange(n)))
-    return [(ids[i], int(counted[i]), ids[tops[i]]) for i in live.tolist()]
+    return counted.astype(np.int64), tops
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -197,22 +212,18 @@ def _links_of_length(spark: SparkSession, classes: DataFrame, length: int, large
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table):
-            keys = [table.column(n).to_pylist() for n in names]
-            marks = list(zip(*keys, strict=True))
-            ids, sides, sizes = table.column("cid").to_pylist(), table.column("side").to_numpy(), table.column("m").to_numpy()
-            units, codes = table.column("unit").to_pylist(), table.column("codes").to_pylist()
-            out, start = [], 0
-            for end in range(1, len(marks) + 1):
-                if end < len(marks) and marks[end] == marks[start]:
-                    continue
-                if end - start > 1:
-                    s = slice(start, end)
-                    u = np.frombuffer(b"".join(units[s]), dtype=np.float64).reshape(end - start, -1)
-                    c = np.frombuffer(b"".join(codes[s]), dtype=np.uint64).reshape(end - start, -1)
-                    out += _bucket(ids[s], sides[s], u, c, sizes[s], marks[start][1] >> 40, width, bands, threshold)
-                start = end
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["cid", "links", "root"])
+            n = table.num_rows
+            marks = [table.column(c).to_numpy() for c in ("key", "i", "j")] + [table.column("label").to_pandas().factorize()[0]]
+            change = np.zeros(n, dtype=bool)
+            for m in marks:
+                change[1:] |= m[1:] != m[:-1]
+            units = np.frombuffer(b"".join(table.column("unit").to_pylist()), dtype=np.float64).reshape(n, -1)
+            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.uint64).reshape(n, -1)
+            a, b = _near(np.cumsum(change), table.column("side").to_numpy(), units, threshold)
+            counted, tops = _count_and_join(a, b, marks[0] >> 40, band_keys(codes, width, bands), table.column("m").to_numpy())
+            live = np.flatnonzero((counted > 0) | (tops != np.arange(n)))
+            ids = table.column("cid").combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(live)), pa.array(counted[live]), ids.take(pa.array(tops[live]))], ["cid", "links", "root"])
 
         for b in batches:
             if not b.num_rows:
