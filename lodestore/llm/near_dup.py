@@ -10,12 +10,14 @@ same set are one class; the work below is on classes.
   only, so many that the rest is, by five standard deviations, too small to hold
   all shared values (for sets that the sketch holds whole: exactly too small).
   This keeps passages that many texts share out of the lists.
-* A list of up to ``SMALL`` classes gives all its pairs.  A longer one gives
-  pairs with one pivot a round; pairs within a component found so far are never
-  formed.  After ``ROUNDS`` rounds the pairs that are left in lists that still
-  cross components are formed, so no link between components is missed.
 * The union sketch estimates a pair's similarity; five standard deviations below
   the threshold it goes.  The full sets of the others are intersected.
+* A list of up to ``SMALL`` classes gives all its pairs.  A longer one gives
+  pairs with one pivot a round, the same for lists of the same classes at first,
+  another for each list later.  After ``ROUNDS`` rounds the lists that still cross
+  components are settled whole: the full sets of two blocks of ``CHUNK`` classes at
+  most are intersected as a matrix product, and at most one edge a class comes out.
+  No link between components is missed, and no list gives all its pairs.
 
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; texts under five words have one shingle, the whole sequence;
@@ -40,7 +42,8 @@ from lodestore.llm.components import components
 SHINGLE = 5
 KEPT = 64
 SMALL = 8
-ROUNDS = 3
+ROUNDS = 2
+CHUNK = 1024
 SIGMAS = 5
 #: Bits of the filter that picks the texts whose sets are needed; a full filter picks more, never fewer.
 FILTER_BITS = 24
@@ -151,24 +154,107 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def candidates(lists: DataFrame, roots: DataFrame | None, turn: int, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs (a, b, na, nb) of classes in different components that a list brings together."""
-    rows = lists.withColumn("comp", F.col("fp")) if roots is None else (
-        lists.join(roots, lists.fp == roots.node, "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
-    )
-    pivot = F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("k"), "fp", "comp", "n")).alias("p")
+def _with_components(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return lists.withColumn("comp", F.col("fp"))
+    return lists.join(roots, lists.fp == roots.node, "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
+
+
+def candidates(lists: DataFrame, roots: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of classes in different components: all of short lists, those with a pivot of long ones."""
+    rows = _with_components(lists, roots)
+    order = F.xxhash64("fp", "v", F.lit(turn)) if turn else F.xxhash64("fp")
+    pivot = F.min(F.struct(order.alias("k"), "fp", "comp", "n")).alias("p")
     open_lists = rows.groupBy("v").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).where("lo <> hi").drop("lo", "hi")
     joined = rows.join(open_lists, "v")
-    near = joined if all_pairs else joined.where(F.col("g") <= SMALL)
+    near = joined.where(F.col("g") <= SMALL)
     left = near.select("v", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = near.select("v", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = left.join(right, "v").where("a < b and ca <> cb").select("a", "b", "na", "nb")
-    if not all_pairs:
-        star = joined.where((F.col("g") > SMALL) & (F.col("p.comp") != F.col("comp"))).select(
-            F.col("p.fp").alias("a"), F.col("fp").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")
-        )
-        pairs = pairs.unionByName(star)
-    return _sized(pairs, percent)
+    star = joined.where((F.col("g") > SMALL) & (F.col("p.comp") != F.col("comp"))).select(
+        F.col("p.fp").alias("a"), F.col("fp").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")
+    )
+    return _sized(pairs.unionByName(star), percent)
+
+
+def remaining(lists: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components which the lists that still cross components hold."""
+    rows = _with_components(lists, roots)
+    crossing = rows.groupBy("v").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v", "g")
+    chunks = F.ceil(F.col("g") / CHUNK).cast("int")
+    placed = (
+        rows.join(crossing, "v").withColumn("c", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, c - 1)")))
+        .select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "comp")
+    )
+    names = ["v", "i", "j"]
+
+    def settle(batches):
+        held: list[pa.RecordBatch] = []
+
+        def work():
+            table = pa.Table.from_batches(held)
+            keys = [table.column(c).to_numpy() for c in names]
+            new = np.zeros(table.num_rows, dtype=bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            starts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+            fps, comp = table.column("fp").to_pylist(), table.column("comp").to_pandas().factorize()[0]
+            whole = table.column("whole").combine_chunks()
+            flat, ends = whole.flatten().to_numpy(), np.append(0, np.cumsum(whole.value_lengths().to_numpy()))
+            out = []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                out += [(fps[s + x], fps[s + y]) for x, y in _links_in_list([flat[ends[k] : ends[k + 1]] for k in range(s, e)], comp[s:e], percent)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                first = [part.column(c)[0].as_py() for c in names]
+                size = sum(h.num_rows for h in held)
+                if size >= CHUNK and [held[-1].column(c)[-1].as_py() for c in names] != first:
+                    yield work()  # the lists so far end here
+                    held = []
+                held.append(part)
+        if held:
+            yield work()
+
+    loaded = placed.join(sets, "fp").repartition(*names).sortWithinPartitions(*names)
+    return loaded.mapInArrow(settle, "a binary, b binary").distinct()
+
+
+def _links_in_list(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """At most one edge a class, which together join what links between components join."""
+    size = len(sets)
+    if size < 2 or (comp == comp[0]).all():
+        return []
+    n = np.array([len(s) for s in sets])
+    own = np.repeat(np.arange(size), n)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # values of one class only meet nothing
+    shared = times[at] > 1
+    own, at = own[shared], column[at[shared]]
+    width = int(column[-1]) + 1
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    both = np.zeros((size, size), dtype=np.float32)
+    for low in range(0, width, 4096):
+        s = slice(*np.searchsorted(at, [low, low + 4096]))
+        block = np.zeros((size, min(4096, width - low)), dtype=np.float32)
+        block[own[s], at[s] - low] = 1
+        both += block @ block.T
+    both = both.astype(np.int32)
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+    a, b = np.nonzero(np.triu(linked, 1))
+    tops = np.arange(size)
+    while len(a):
+        before, least = tops.copy(), np.minimum(tops[a], tops[b])
+        np.minimum.at(tops, a, least)
+        np.minimum.at(tops, b, least)
+        tops = tops[tops]
+        if (tops == before).all():
+            break
+    return [(i, int(t)) for i, t in enumerate(tops.tolist()) if i != t]
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -206,19 +292,19 @@ def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = listed.select("fp", "sketch")
 
     links = tested = roots = None
-    for turn in range(ROUNDS + 1):
-        pairs = candidates(lists, roots, turn, percent, all_pairs=turn == ROUNDS)
+    for turn in range(ROUNDS):
+        pairs = candidates(lists, roots, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = _shared.written(pairs)
-        if pairs.isEmpty():
-            break
         new = _shared.written(confirmed(plausible(pairs, sketches, percent), sets, percent))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = components(links)
+    new = _shared.written(remaining(lists, roots, sets, percent))
+    if not new.isEmpty():
+        roots = components(new if links is None else links.unionByName(new))
 
     named = classes.select("fp", "rep")
     if roots is not None:
