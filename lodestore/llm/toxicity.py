@@ -14,6 +14,7 @@ rows of both classes the model is constant (the share of toxic rows, 0 if none).
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -27,7 +28,7 @@ SPACE = re.compile(r"\s+")
 ORDERS = (3, 4, 5, 6)
 BITS = 18
 #: The most labelled rows per class that training reads: those with the smallest id hashes.
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
 #: The least G squared of a cell that gets a weight: chance alone passes it once in 10,000 cells.
 SIGNIFICANT = 15.1
 #: Texts up to this many code points are put together before hashing.
@@ -75,37 +76,42 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     return (np.concatenate(out) if out else np.empty(0, np.uint32)), np.cumsum(np.concatenate(counts))
 
 
-def fit(cells: np.ndarray, ends: np.ndarray, y: np.ndarray, bits: int = BITS, steps: int = 200, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit(texts: list[np.ndarray], y: np.ndarray, bits: int = BITS, steps: int = 200, l2: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights (the ratios included) and intercept, by full-batch gradient steps with momentum.
 
-    Texts with the same features count once.  Cells whose class frequencies
-    differ by chance (G squared under ``SIGNIFICANT``) get no weight.
+    texts: the distinct cells of each text.  Texts with the same features count
+    once.  Cells whose class frequencies differ by chance (G squared under
+    ``SIGNIFICANT``) get no weight.
     """
     size = 1 << bits
-    starts = np.concatenate([[0], ends]).astype(np.int64)
     seen: dict[bytes, int] = {}
-    for i in range(len(y)):
-        key = cells[starts[i] : starts[i + 1]].tobytes()
-        seen[key] = max(seen.get(key, 0), int(y[i]))
-    cells = np.frombuffer(b"".join(seen), dtype=np.uint32)
-    counts = np.array([len(k) // 4 for k in seen], dtype=np.int64)
-    y = np.array(list(seen.values()), dtype=np.int64)
-    n = len(y)
+    label: list[int] = []
+    kept: list[np.ndarray] = []
+    for cells, mark in zip(texts, y.tolist(), strict=True):
+        key = hashlib.blake2b(cells.tobytes(), digest_size=16).digest()
+        at = seen.setdefault(key, len(kept))
+        if at == len(kept):
+            kept.append(cells)
+            label.append(mark)
+        else:
+            label[at] = max(label[at], mark)
+    y, n = np.array(label, dtype=np.int64), len(kept)
     share = float(y.mean()) if n else 0.0
     prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not n or share in (0.0, 1.0):
         return np.zeros(size, np.float32), prior
-    owner = np.repeat(np.arange(n), counts)
+    pos, neg = np.zeros(size), np.zeros(size)
+    for cells, mark in zip(kept, label, strict=True):
+        (pos if mark else neg)[cells] += 1  # distinct within a text
     toxic, clean = int((y == 1).sum()), int((y == 0).sum())
-    pos, neg = (np.bincount(cells[(y == k)[owner]], minlength=size).astype(np.float64) for k in (1, 0))
     ratio = np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1))
     part = lambda a, e: a * np.log(np.maximum(a, 1e-12) / np.maximum(e, 1e-12))
     g2 = 2 * (part(pos, (pos + neg) * toxic / n) + part(neg, (pos + neg) * clean / n))
     live = np.flatnonzero(g2 >= SIGNIFICANT)
     slot = np.full(size, -1, np.int64)
     slot[live] = np.arange(len(live))
-    used = slot[cells] >= 0
-    at, owner = slot[cells][used], owner[used]
+    found = [slot[c[slot[c] >= 0]] for c in kept]
+    at, owner = np.concatenate(found), np.repeat(np.arange(n), [len(f) for f in found])
     value = ratio[live][at]
     w, bias = np.zeros(len(live)), prior
     m, v, mb, vb = np.zeros(len(live)), np.zeros(len(live)), 0.0, 0.0
@@ -172,8 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
             parts += [np.frombuffer(x, np.uint32) for x in b.column("cells").to_pylist()]
         order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
         parts = [parts[i] for i in order]
-        ends = np.cumsum(np.array([len(x) for x in parts], dtype=np.int64))
-        weights, bias = fit(np.concatenate(parts) if parts else np.empty(0, np.uint32), ends, np.array(y, dtype=np.int64)[order] if y else np.empty(0, np.int64))
+        weights, bias = fit(parts, np.array(y, dtype=np.int64)[order])
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
     found = texts.mapInArrow(extract, "doc_id long, toxic int, cells binary").repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
