@@ -30,27 +30,58 @@ from lodestore.llm import _shared
 
 #: White space at which words can be encoded apart: the tokenizer drops it and no merge crosses it.
 GAP = re.compile(r"[ \t\n\r]+")
+_LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\x0b\x0c\r \x85\xa0"
+#: The tokenizer's pre-tokens, for texts below code point 256, where case, letters and numbers are settled.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 MEMORY = 600_000
+TOGETHER = 64
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer that drops white space; distinct words are encoded once, up to a bound."""
+    """Ids of a text by a tokenizer that drops white space; distinct parts are encoded once, up to a bound.
+
+    A part is a pre-token or, in texts with code points from 256 on, a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[ends] = True
         self.memory: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memory]
+    def parts(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if text.isascii() or max(text) < "\u0100":
+            return PIECE.findall(text.lower())
+        return [w for w in GAP.split(text) if w]
+
+    def learn(self, parts: set[str]) -> None:
+        new = [w for w in parts if w not in self.memory]
         if len(self.memory) + len(new) > MEMORY:
             self.memory.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            new = list(parts)
+        single = [w for w in new if PIECE.fullmatch(w)]  # one pre-token, so one id with a word end, its last
+        rest = [w for w in new if not PIECE.fullmatch(w)]
+        for i in range(0, len(single), 256 * TOGETHER):
+            groups = [single[k : k + TOGETHER] for k in range(i, min(i + 256 * TOGETHER, len(single)), TOGETHER)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) != len(group):
+                    rest += group
+                    continue
+                data, at = ids.tobytes(), 0
+                for w, stop in zip(group, stops, strict=True):
+                    self.memory[w] = data[4 * at : 4 * stop]
+                    at = stop
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.memory[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def batch(self, texts: list[str | None], end_id: int):
@@ -67,7 +98,7 @@ class WordEncoder:
 
         size = 0
         for text in texts:
-            found = [w for w in GAP.split(text) if w] if text else []
+            found = self.parts(text)
             group.append(found)
             distinct.update(found)
             size += len(found)
