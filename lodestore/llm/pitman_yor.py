@@ -43,6 +43,8 @@ HEAD = 20
 EXACT = 32
 BURN, SAMPLES = 3, 4
 CONTEXT_STRENGTH, CLASS_STRENGTH = 2.0, 10.0
+#: Words whose hashes a task remembers.
+REMEMBERED = 250_000
 END = ""
 HELD_OUT = 1
 NARROW = np.uint64((1 << 40) - 1)
@@ -162,11 +164,20 @@ class Head:
         return np.where(self.hashes[at] == wanted, self.counts[at], 0)
 
 
-def _rows(batches, base: int):
-    """(batch, number of its first row)."""
+def _token_runs(batches, base: int, hashes: _shared.WordHashes, most: int = 1 << 20):
+    """(batch, first text in it, number of the first text, sizes, tokens) of runs of texts of about ``most`` tokens."""
     at = base
     for b in batches:
-        yield b, at
+        found: list[np.ndarray] = []
+        size = first = 0
+        for i, text in enumerate(b.column(0).to_pylist()):
+            found.append(tokens(text, hashes))
+            size += len(found[-1])
+            if size >= most:
+                yield b, first, at + first, np.array([len(x) for x in found], dtype=np.int64), np.concatenate(found)
+                found, size, first = [], 0, i + 1
+        if found:
+            yield b, first, at + first, np.array([len(x) for x in found], dtype=np.int64), np.concatenate(found)
         at += b.num_rows
 
 
@@ -174,10 +185,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     """w (hash as long), n: the tokens of the training rows."""
 
     def run(batches):
-        hashes = _shared.WordHashes()
-        for b in batches:
-            found = [tokens(t, hashes) for t in b.column(0).to_pylist()]
-            w, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for *_, found in _token_runs(batches, 0, _shared.WordHashes(REMEMBERED)):
+            w, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
 
     training = docs.where(_shared.fold() != HELD_OUT).select("text")
@@ -190,35 +199,27 @@ def base_rows(docs: DataFrame, head, denominator: float) -> DataFrame:
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "w", "n"]
 
     def run(batches):
-        hashes = _shared.WordHashes()
-        first = TaskContext.get().partitionId() << 40
         log = math.log10(denominator)
-        for b, at in _rows(batches, first):
-            found = [tokens(t, hashes) for t in b.column(1).to_pylist()]
-            if not found:
-                continue
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            owner = np.repeat(np.arange(len(found)), sizes)
-            w = np.concatenate(found)
-            c = head.value.of(w)
-            known = c > 0
-            sums = np.bincount(owner[known], weights=np.log10(c[known] + 0.5) - log, minlength=len(found))
-            n_known = np.bincount(owner[known], minlength=len(found))
-            rows = pa.array(at + np.arange(len(found), dtype=np.int64))
-            nulls = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(2), pa.array(sizes), pa.array(n_known.astype(np.int64)), pa.array(sums), nulls, nulls], names)
-            rest, owner = w[~known], owner[~known]
-            order = np.lexsort((rest, owner))
-            rest, owner = rest[order], owner[order]
-            new = np.ones(len(rest), dtype=bool)
-            new[1:] = (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])
-            starts = np.flatnonzero(new)
-            counts = np.diff(np.append(starts, len(rest)))
-            m = len(starts)
-            empty = [pa.nulls(m, t) for t in (b.column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(at + owner[starts].astype(np.int64)), *empty, pa.array(rest[starts].view(np.int64)), pa.array(counts.astype(np.int64))], names)
-
-    prepared = docs.select("doc_id", "text", (_shared.fold() == HELD_OUT).alias("held_out"))
+        for b, start, at, sizes, found in _token_runs(batches, TaskContext.get().partitionId() << 40, _shared.WordHashes(REMEMBERED)):
+            m = len(sizes)
+            owner = np.repeat(np.arange(m), sizes)
+            types, w = np.unique(found, return_inverse=True)
+            c = head.value.of(types)
+            value = np.where(c > 0, np.log10(c + 0.5) - log, 0.0)
+            known = (c > 0)[w]
+            sums = np.bincount(owner, weights=value[w], minlength=m)
+            n_known = np.bincount(owner[known], minlength=m)
+            nulls = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at + np.arange(m, dtype=np.int64)), b.column(1).slice(start, m), b.column(2).slice(start, m), pa.array(sizes), pa.array(n_known.astype(np.int64)), pa.array(sums), nulls, nulls], names
+            )
+            pairs, counts = np.unique(owner[~known] * len(types) + w[~known], return_counts=True)
+            empty = [pa.nulls(len(pairs), t) for t in (b.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at + pairs // len(types)), *empty, pa.array(types[pairs % len(types)].view(np.int64)), pa.array(counts.astype(np.int64))], names
+            )
+
+    prepared = docs.select("text", "doc_id", (_shared.fold() == HELD_OUT).alias("held_out"))
     return prepared.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, w long, n long")
 
 
@@ -226,27 +227,28 @@ def bigram_arrays(docs: DataFrame, head, classes: int) -> DataFrame:
     """class, and the bigrams of some texts whose contexts are in it, as arrays."""
 
     def run(batches):
-        hashes = _shared.WordHashes()
-        first = TaskContext.get().partitionId() << 40
+        hashes = _shared.WordHashes(REMEMBERED)
         end = np.uint64(hashes[END])
-        for b, at in _rows(batches, first):
-            found = [tokens(t, hashes) for t in b.column(0).to_pylist()]
-            if not found:
-                continue
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            w = np.concatenate(found)
-            before = np.empty_like(w)
-            before[1:] = w[:-1]
-            before[np.cumsum(sizes) - sizes] = end
-            held = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(len(found)) << 1 | held, sizes).astype(np.uint32)
-            pieces = 1 + head.value.of(before) * 2 // CLASS_TOKENS
-            piece = (w % pieces.astype(np.uint64)).astype(np.uint64)
-            where = (_shared.mix(before + piece * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(classes)).astype(np.int64)
+        for b, start, at, sizes, w in _token_runs(batches, TaskContext.get().partitionId() << 40, hashes):
+            m = len(sizes)
+            types, local = np.unique(w, return_inverse=True)
+            frequency = head.value.of(types)
+            begins = np.cumsum(sizes) - sizes
+            before = np.empty_like(local)
+            before[1:] = local[:-1]
+            before[begins] = np.searchsorted(types, end)
+            held = b.column(1).slice(start, m).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = np.repeat(np.arange(m) << 1 | held, sizes).astype(np.uint32)
+            pieces = (1 + frequency * 2 // CLASS_TOKENS)[before]
             # one number for the context and its piece
-            context = _shared.mix(before + piece * np.uint64(0x9E3779B97F4A7C15)) & NARROW
-            order = np.lexsort((w, context, where))
-            where, context, w, text, before, pieces = where[order], context[order], w[order] & NARROW, text[order], before[order], pieces[order]
+            context = _shared.mix(types[before] + w % pieces.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            where = (context % np.uint64(classes)).astype(np.int64)
+            if len(types) < 1 << 21 and classes < 1 << 21:  # one number to sort by
+                order = np.argsort(where << 42 | before << 21 | local)
+            else:
+                order = np.lexsort((local, before, where))
+            where, context, w, text, pieces = where[order], context[order] & NARROW, w[order] & NARROW, text[order], pieces[order]
+            whole_of = frequency[before[order]]
             new_context = np.ones(len(w), dtype=bool)
             new_context[1:] = (context[1:] != context[:-1]) | (where[1:] != where[:-1])
             new_pair = new_context.copy()
@@ -259,9 +261,9 @@ def bigram_arrays(docs: DataFrame, head, classes: int) -> DataFrame:
                 per_context = np.diff(np.append(np.searchsorted(pairs, contexts), len(pairs)))
                 per_pair = np.diff(np.append(pairs, bounds[k + 1] - bounds[k]))
                 split = pieces[s][contexts]
-                whole = np.where(split > 1, head.value.of(before[s][contexts]), 0)
+                whole = np.where(split > 1, whole_of[s][contexts], 0)
                 rows.append((k, at, _narrow(context[s][contexts]), per_context.astype("<u4").tobytes(), split.astype("<u4").tobytes(), whole.astype("<u8").tobytes() if (split > 1).any() else b"",
-                             _narrow(w[s][pairs]), per_pair.astype("<u4").tobytes(), text[s].astype("<u2" if len(found) < 1 << 15 else "<u4").tobytes()))
+                             _narrow(w[s][pairs]), per_pair.astype("<u4").tobytes(), text[s].astype("<u2" if m < 1 << 15 else "<u4").tobytes()))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ARRAYS)
 
@@ -284,7 +286,9 @@ def score_class(found: pa.Table, types: int, seed: int) -> tuple[np.ndarray, np.
         parts.append([np.repeat(_wide(r["contexts"]), per_context), np.repeat(pieces, per_context), np.repeat(whole, per_context), _wide(r["words"]), per_pair, (refs >> 1) + r["first"], refs & 1])
     context, pieces, whole, word, per_pair, rows, held = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    order = np.lexsort((word, context))
+    _, word = np.unique(word, return_inverse=True)
+    _, context = np.unique(context, return_inverse=True)
+    order = np.argsort(context * (int(word.max()) + 1) + word)
     new = np.ones(len(order), dtype=bool)
     new[1:] = (word[order][1:] != word[order][:-1]) | (context[order][1:] != context[order][:-1])
     pair = np.empty(len(order), dtype=np.int64)
@@ -293,10 +297,6 @@ def score_class(found: pa.Table, types: int, seed: int) -> tuple[np.ndarray, np.
     context, pieces, whole, word = context[one], pieces[one].astype(np.int64), whole[one].astype(np.int64), word[one]
     token_pair = np.repeat(pair, per_pair)
     count = np.bincount(token_pair[held == 0], minlength=len(one))
-    change = np.ones(len(one), dtype=bool)
-    change[1:] = context[1:] != context[:-1]
-    context = np.cumsum(change) - 1
-    _, word = np.unique(word, return_inverse=True)
     p = predictive(context, word, count, types, pieces.astype(np.float64), seed)
     here = np.bincount(context, weights=count)[context]
     p = np.where(pieces > 1, p * (here + 1) / (whole + pieces), p)
