@@ -33,21 +33,17 @@ STOP_FIELDS = ("timestamp", "ts", "created_at", "updated_at", "time")
 HASH_TOKEN = "[0-9a-zàâäéèêëîïôöùûüçñ]+"
 
 
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def tokens(text: Column, min_length: int = 2, stopwords=STOPWORDS) -> Column:
     """Lower-cased words without ASCII punctuation, short words and stop words; repeats stay."""
     spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), string.punctuation, " " * len(string.punctuation))
     listed = F.split(spaced, r"\s+")
-    return F.filter(listed, lambda w: (F.length(w) >= min_length) & ~F.array_contains(_array(stopwords), w))
+    return F.filter(listed, lambda w: (F.length(w) >= min_length) & ~w.isin(list(stopwords)))
 
 
 def is_substantial(text: Column, min_length: int = 4) -> Column:
     """Whether a message has enough words, two of them not noise."""
     found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    return (F.size(found) >= min_length) & (F.size(F.filter(found, lambda w: ~F.array_contains(_array(NOISE_WORDS), w))) >= 2)
+    return (F.size(found) >= min_length) & (F.size(F.filter(found, lambda w: ~w.isin(NOISE_WORDS))) >= 2)
 
 
 def category(text: Column) -> Column:
