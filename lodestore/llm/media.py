@@ -33,8 +33,9 @@ def encode_payload(data: bytes) -> bytes:
     files = []
     for i in range(0, len(pixels), step):
         part = pixels[i : i + step]
-        few = len(part) >= 256 and len(np.unique(part)) <= 16
-        files.append(webp.encode(part, WIDTH, len(part) // WIDTH, transforms=[("palette",)] if few else None, alike=not few))
+        distinct = len(np.unique(part))
+        few = len(part) >= 256 and distinct <= 16
+        files.append(webp.encode(part, WIDTH, len(part) // WIDTH, transforms=[("palette",)] if few else None, alike=not few, distinct=distinct))
     return b"".join(files)
 
 

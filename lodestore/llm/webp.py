@@ -61,6 +61,19 @@ for _shift, _mask in ((1, 0x5555), (2, 0x3333), (4, 0x0F0F), (8, 0x00FF)):
 REVERSED = _n
 
 
+def _alike(bits: Bits, a: int, b: int, n: int) -> bool:
+    """Whether the n bits from a on and from b on are the same."""
+    words = bits.words
+    if b + n > bits.end:
+        return False
+    for at in range(0, n, 32):
+        mask = (1 << min(32, n - at)) - 1
+        p, q = a + at, b + at
+        if (words[p >> 3] >> (p & 7) ^ words[q >> 3] >> (q & 7)) & mask:
+            return False
+    return True
+
+
 def reversed_codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes, first bit lowest."""
     codes = np.zeros(len(lengths), dtype=np.int64)
@@ -141,7 +154,18 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         meta = [x >> 8 & 0xFFFF for x in read_pixels(bits, per_row, -(-height >> block), False)]
         groups = max(meta) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[lookup(read_lengths(bits, size), place) for size, place in zip(sizes, (8, 16, 0, 24, 0), strict=True)] for _ in range(groups)]
+    codes = []
+    for _ in range(groups):
+        group, start, lengths = [], 0, np.empty(0, np.int64)
+        for size, place in zip(sizes, (8, 16, 0, 24, 0), strict=True):
+            spelt = bits.at - start
+            if len(lengths) == size and _alike(bits, start, bits.at, spelt):  # the same code once more
+                start = bits.at
+                bits.at += spelt
+            else:
+                start, lengths = bits.at, read_lengths(bits, size)
+            group.append(lookup(lengths, place))
+        codes.append(group)
     total = width * height
     out: list[int] = []
     push = out.append
@@ -539,13 +563,14 @@ def _bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (np.repeat(values, sizes) >> within & 1).astype(np.uint8)
 
 
-def encode(pixels: np.ndarray, width: int, height: int, transforms: list | None = None, cache_bits: int | None = None, copy: bool = True, alike: bool = False) -> bytes:
+def encode(pixels: np.ndarray, width: int, height: int, transforms: list | None = None, cache_bits: int | None = None, copy: bool = True, alike: bool = False, distinct: int | None = None) -> bytes:
     """A lossless file of ``width * height`` pixels.
 
     transforms, in order: ("predictor", block bits, modes), ("cross", block bits,
     elements), ("subtract",) or ("palette",), the last for at most 256 colours.
     cache_bits None: chosen by how often pixels recur.  alike: red, blue and alpha
-    have one distribution and are given one code.
+    have one distribution and are given one code.  distinct: the number of colours, where
+    the caller knows it.
     """
     pixels = np.ascontiguousarray(pixels, dtype=np.uint32)
     out, parts = Writer(), []
@@ -592,10 +617,11 @@ def encode(pixels: np.ndarray, width: int, height: int, transforms: list | None
                 across = -(-across >> pack)
             pixels = (index.reshape(-1).astype(np.uint32) << np.uint32(8)) | np.uint32(BLACK)
     out.put(0, 1)
+    distinct = distinct if distinct is not None and not transforms else len(np.unique(pixels))
     if cache_bits is None:
-        distinct = len(np.unique(pixels))
         cache_bits = 10 if distinct * 2 < len(pixels) and len(pixels) >= 256 else 0
-    flush(*write_pixels(out, pixels, True, cache_bits, matches(pixels) if copy else None, alike))
+    copies = matches(pixels) if copy and distinct * 10 < 7 * len(pixels) else None  # else too little repeats
+    flush(*write_pixels(out, pixels, True, cache_bits, copies, alike))
     body = b"\x2f" + np.packbits(np.concatenate(parts), bitorder="little").tobytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
