@@ -76,3 +76,29 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     hits = truth.join(found, ["query_id", "vec_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
     asked = truth.agg(F.countDistinct("query_id").alias("asked"))
     return hits.crossJoin(asked).select((F.col("hits") / (F.col("asked") * k)).alias("recall"))
+
+
+def residual_basis(coded: DataFrame, size: int = 8, most: int = 2000) -> list[list[float]]:
+    """The directions that hold most of the quantisation error, from at most ``most`` rows of lowest id hash."""
+    import numpy as np
+
+    error = F.zip_with(F.col("embedding").cast("array<double>"), vector.sq8_decode(F.col("code"), F.col("scale"), F.col("offset")), lambda x, y: x - y)
+    rows = coded.select("vec_id", error.alias("e")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
+    if not rows:
+        return []
+    return np.linalg.svd(np.array([r.e for r in rows]), full_matrices=False)[2][:size].tolist()
+
+
+def with_residual(coded: DataFrame, basis: list[list[float]]) -> DataFrame:
+    """Adds ``residual``: the error's components along the basis, in single precision."""
+    error = F.zip_with(F.col("embedding").cast("array<double>"), vector.sq8_decode(F.col("code"), F.col("scale"), F.col("offset")), lambda x, y: x - y)
+    parts = [vector.dot(F.col("__error"), F.array(*map(F.lit, b))).cast("float") for b in basis]
+    return coded.withColumn("__error", error).withColumn("residual", F.array(*parts)).drop("__error")
+
+
+def residual_search(coded: DataFrame, query: list[float], basis: list[list[float]], k: int) -> DataFrame:
+    """Top-k by the decoded product plus what the residual adds: ``u . q + residual . (B q)``."""
+    projected = [sum(x * y for x, y in zip(b, query, strict=True)) for b in basis]
+    base = vector.dot(vector.sq8_decode(F.col("code"), F.col("scale"), F.col("offset")), F.array(*[F.lit(float(x)) for x in query]))
+    score = base + vector.dot(F.col("residual"), F.array(*map(F.lit, projected)))
+    return coded.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(k)

@@ -440,6 +440,15 @@ def recall_at_k(spark, sf_dir):
     return search.recall_at_k(found, truth, 10).select(F.round("recall", 6).alias("recall"))
 
 
+@query()
+def sq8_residual_search(spark, sf_dir):
+    """The 8-bit search with residual compensation."""
+    coded = search.sq8_encode(read(spark, sf_dir, "embeddings"))
+    basis = search.residual_basis(coded)
+    found = search.residual_search(search.with_residual(coded, basis), memories.query_vector(spark, sf_dir), basis, 10)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
 # ------------------------------------------------------------ log and store
 
 LOGSQL = "log AS (SELECT event_id AS seq, CASE WHEN event_id % 997 = 500 THEN 'CHECKPOINT' WHEN event_type = 'error' THEN 'DELETE' WHEN event_type = 'purchase' THEN 'UPDATE' ELSE 'INSERT' END AS op, user_id, event_id % 40 AS vec_id, value FROM events)"

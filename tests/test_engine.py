@@ -117,6 +117,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_residual_codes_bring_scores_closer(spark):
+    from lodestore.operators import search
+
+    corpus = spark.read.parquet(f"{SF}/embeddings.parquet")
+    query = list(corpus.where("vec_id = 1").first().embedding)
+    coded = search.sq8_encode(corpus)
+    basis = search.residual_basis(coded, 16)
+    truth = {r.vec_id: r.score for r in search.top_k(corpus, query, 500).collect()}
+    plain = search.residual_search(search.with_residual(coded, []).withColumn("residual", F.array(F.lit(0.0))), query, [[0.0] * len(query)], 500).collect()
+    better = search.residual_search(search.with_residual(coded, basis), query, basis, 500).collect()
+    miss = lambda rows: np.mean([(r.score - truth[r.vec_id]) ** 2 for r in rows])
+    assert miss(better) < miss(plain)
+
+
 def test_entry_without_optional_parts(monkeypatch):
     import __spark_entry__ as entry
 
