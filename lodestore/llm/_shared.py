@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def whole_groups(batches, names: list[str]):
+    """Tables of whole groups of rows with equal ``names``, from sorted batches; a batch and a group are held at most."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        marks = [b.column(c).to_pylist() for c in names]
+        last, cut = tuple(m[-1] for m in marks), b.num_rows
+        while cut and tuple(m[cut - 1] for m in marks) == last:
+            cut -= 1
+        if cut:  # the group at the end may go on in the next batch
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif held and tuple(held[0].column(c)[0].as_py() for c in names) != last:
+            yield pa.Table.from_batches(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -209,9 +209,7 @@ def _links_of_length(spark: SparkSession, classes: DataFrame, length: int, large
     names = ["label", "key", "i", "j"]
 
     def rerank(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table):
+        for table in _shared.whole_groups(batches, names):
             n = table.num_rows
             marks = [table.column(c).to_numpy() for c in ("key", "i", "j")] + [table.column("label").to_pandas().factorize()[0]]
             change = np.zeros(n, dtype=bool)
@@ -223,23 +221,7 @@ def _links_of_length(spark: SparkSession, classes: DataFrame, length: int, large
             counted, tops = _count_and_join(a, b, marks[0] >> 40, band_keys(codes, width, bands), table.column("m").to_numpy())
             live = np.flatnonzero((counted > 0) | (tops != np.arange(n)))
             ids = table.column("cid").combine_chunks()
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(live)), pa.array(counted[live]), ids.take(pa.array(tops[live]))], ["cid", "links", "root"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            last = tuple(b.column(n)[b.num_rows - 1].as_py() for n in names)
-            cut = b.num_rows
-            marks = [b.column(n).to_pylist() for n in names]
-            while cut and tuple(m[cut - 1] for m in marks) == last:
-                cut -= 1
-            if cut:  # the bucket at the end may go on in the next batch
-                yield work(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = [b.slice(cut)]
-            else:
-                held.append(b)
-        if held:
-            yield work(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(live)), pa.array(counted[live]), ids.take(pa.array(tops[live]))], ["cid", "links", "root"])
 
     return loaded.repartition(*names).sortWithinPartitions(*names).mapInArrow(rerank, "cid string, links long, root string")
 

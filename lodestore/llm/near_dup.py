@@ -190,10 +190,7 @@ def remaining(lists: DataFrame, roots: DataFrame | None, sets: DataFrame, percen
     names = ["v", "i", "j"]
 
     def settle(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work():
-            table = pa.Table.from_batches(held)
+        for table in _shared.whole_groups(batches, names):
             keys = [table.column(c).to_numpy() for c in names]
             new = np.zeros(table.num_rows, dtype=bool)
             for k in keys:
@@ -205,19 +202,7 @@ def remaining(lists: DataFrame, roots: DataFrame | None, sets: DataFrame, percen
             out = []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 out += [(fps[s + x], fps[s + y]) for x, y in _links_in_list([flat[ends[k] : ends[k + 1]] for k in range(s, e)], comp[s:e], percent)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                first = [part.column(c)[0].as_py() for c in names]
-                size = sum(h.num_rows for h in held)
-                if size >= CHUNK and [held[-1].column(c)[-1].as_py() for c in names] != first:
-                    yield work()  # the lists so far end here
-                    held = []
-                held.append(part)
-        if held:
-            yield work()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     loaded = placed.join(sets, "fp").repartition(*names).sortWithinPartitions(*names)
     return loaded.mapInArrow(settle, "a binary, b binary").distinct()
