@@ -26,7 +26,7 @@ def words(text: str | None) -> list[str]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound; any process gives the same ones."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 200_000):
         self.bound = bound
 
     def __missing__(self, word: str) -> int:

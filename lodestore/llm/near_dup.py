@@ -223,14 +223,19 @@ def _links_in_list(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> li
     order = np.argsort(at, kind="stable")
     own, at = own[order], at[order]
     both = np.zeros((size, size), dtype=np.float32)
-    for low in range(0, width, 4096):
-        s = slice(*np.searchsorted(at, [low, low + 4096]))
-        block = np.zeros((size, min(4096, width - low)), dtype=np.float32)
+    for low in range(0, width, 2048):
+        s = slice(*np.searchsorted(at, [low, low + 2048]))
+        block = np.zeros((size, min(2048, width - low)), dtype=np.float32)
         block[own[s], at[s] - low] = 1
         both += block @ block.T
-    both = both.astype(np.int32)
-    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
-    a, b = np.nonzero(np.triu(linked, 1))
+    first, second = [], []
+    for low in range(0, size, 256):
+        some = slice(low, low + 256)
+        inter = both[some].astype(np.int64)
+        x, y = np.nonzero((100 * inter >= percent * (n[some, None] + n[None, :] - inter)) & (comp[some, None] != comp[None, :]))
+        first.append(x[x + low < y] + low)
+        second.append(y[x + low < y])
+    a, b = np.concatenate(first), np.concatenate(second)
     tops = np.arange(size)
     while len(a):
         before, least = tops.copy(), np.minimum(tops[a], tops[b])
