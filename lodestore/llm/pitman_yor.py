@@ -2,23 +2,28 @@
 
 Tokens are a text's words and one end.  The restaurant of a context (the word
 before, the end at the start of a text) has a class restaurant as its parent,
-which it shares with the other contexts of its class, and that one the uniform
-distribution over the known types and one unknown.  A class holds the contexts of
-about ``CLASS_TOKENS`` training tokens, whatever the size of the corpus; a
-context of more than half as many is split by the next word's hash into pieces,
+which it shares with the other contexts of its class; the classes share one root
+restaurant, so the back-off learns from the whole corpus, and the root's parent is
+the uniform distribution over the known types and one unknown.  A class holds the
+contexts of about ``CLASS_TOKENS`` training tokens, whatever the size of the
+corpus; the root is cut by the words' hashes into shards; a context of more than half as many is split by the next word's hash into pieces,
 each a restaurant of its own, and the piece is predicted first, by counts.
 
 Seating: in a sweep the tables of each dish in each restaurant are drawn from
 their conditional distribution given the other dishes' tables (exactly, by
 generalised Stirling numbers, up to ``EXACT`` customers; above by a Poisson
 process over blocks of customers); each table sends one customer to the parent.
-The predictive probabilities of several sweeps after the first are averaged.
+After each of the first ``BURN`` sweeps the tables that the classes send up are
+summed by word and the root is seated anew; its probabilities are the classes'
+base in the next sweep.  During the ``SAMPLES`` sweeps that follow, whose
+predictive probabilities are averaged, the root stays as it is.
 
 One pass counts the training words.  A second computes the unigram base score:
 words whose share is at least ``2 ** -HEAD`` (so at most ``2 ** HEAD`` words) are
 looked up in a broadcast table, the others by a join.  A third sends the bigrams,
-as compact arrays, to their class's task, which seats them and returns the sum of
-logarithms for each text.  ``docs`` is read three times and must be partitioned
+as compact arrays, to their class's task, which seats them, once for each exchange
+with the root, and at last returns the sum of logarithms for each text.  What goes
+to and from the root are a class's words, table counts and seats, as arrays.  ``docs`` is read three times and must be partitioned
 alike each time, as file scans are.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as the
@@ -42,7 +47,9 @@ CLASS_TOKENS = 1 << 21
 HEAD = 20
 EXACT = 32
 BURN, SAMPLES = 3, 4
-CONTEXT_STRENGTH, CLASS_STRENGTH = 2.0, 10.0
+CONTEXT_STRENGTH, CLASS_STRENGTH, ROOT_STRENGTH = 2.0, 10.0, 10.0
+#: Classes whose words a shard of the root holds, in number; sweeps of a shard over its own words.
+SHARD_CLASSES, ROOT_SWEEPS = 8, 3
 #: Words whose hashes a task remembers.
 REMEMBERED = 250_000
 END = ""
@@ -106,44 +113,69 @@ def draw_tables(c, t, others, p, strength: float, d: float, table: np.ndarray, r
     return out
 
 
-def discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+def discount(once: int, twice: int) -> float:
+    """The discount for so many dishes with one and with two customers."""
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def predictive(context: np.ndarray, word: np.ndarray, count: np.ndarray, types: int, spread: np.ndarray, seed: int) -> np.ndarray:
-    """Averaged probability of each (context, word) under a class's restaurants.
+def _few(counts: np.ndarray) -> tuple[int, int]:
+    return int((counts == 1).sum()), int((counts == 2).sum())
+
+
+class Seating:
+    """The restaurants of a class's contexts and the class's own.
 
     context, word: numbers from 0; count: training customers; spread: by how much
     the parent's probability is to be raised (the pieces of the word's context).
+    ``root`` holds the root's probability of each word.
     """
-    random = np.random.default_rng(seed)
-    contexts, words = int(context.max()) + 1, int(word.max()) + 1
-    total = np.bincount(context, weights=count, minlength=contexts)
-    d1 = discount(count)
-    table1 = stirling(EXACT, d1)
-    t = np.minimum(count, 1)
-    uniform = 1.0 / (types + 1)
-    parent_t = np.zeros(words, dtype=np.int64)
-    several = np.flatnonzero(count >= 2)
-    out = np.zeros(len(count))
-    d0 = table0 = None
-    for sweep in range(BURN + SAMPLES):
-        customers = np.bincount(word, weights=t, minlength=words).astype(np.int64)
-        if d0 is None:
-            d0 = discount(customers)
-            table0 = stirling(EXACT, d0)
-            parent_t = np.minimum(customers, 1)
-        parent_t = draw_tables(customers, parent_t, parent_t.sum() - parent_t, np.full(words, uniform), CLASS_STRENGTH, d0, table0, random)
-        p = (customers - d0 * parent_t + (CLASS_STRENGTH + d0 * parent_t.sum()) * uniform) / (CLASS_STRENGTH + customers.sum())
-        base = np.minimum(p[word] * spread, 1.0)
-        if len(several):
-            others = np.bincount(context, weights=t, minlength=contexts)[context[several]] - t[several]
-            t[several] = draw_tables(count[several], t[several], others, base[several], CONTEXT_STRENGTH, d1, table1, random)
-        if sweep >= BURN:
-            open_tables = np.bincount(context, weights=t, minlength=contexts)
-            out += (count - d1 * t + (CONTEXT_STRENGTH + d1 * open_tables[context]) * base) / (CONTEXT_STRENGTH + total[context])
-    return out / SAMPLES
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, spread: np.ndarray, seed):
+        self.random = np.random.default_rng(seed)
+        self.context, self.word, self.count, self.spread = context, word, count, spread
+        self.contexts, self.words = int(context.max()) + 1, int(word.max()) + 1
+        self.total = np.bincount(context, weights=count, minlength=self.contexts)
+        self.d1 = discount(*_few(count))
+        self.table1 = stirling(EXACT, self.d1)
+        self.t = np.minimum(count, 1)
+        self.several = np.flatnonzero(count >= 2)
+        customers = self._customers()
+        self.d0 = discount(*_few(customers))
+        self.table0 = stirling(EXACT, self.d0)
+        self.parent_t = np.minimum(customers, 1)
+
+    def _customers(self) -> np.ndarray:
+        return np.bincount(self.word, weights=self.t, minlength=self.words).astype(np.int64)
+
+    def sweep(self, root: np.ndarray) -> np.ndarray:
+        """Seats everybody anew; the class's probability of each pair's word, raised."""
+        customers, d0 = self._customers(), self.d0
+        self.parent_t = draw_tables(customers, self.parent_t, self.parent_t.sum() - self.parent_t, root, CLASS_STRENGTH, d0, self.table0, self.random)
+        p = (customers - d0 * self.parent_t + (CLASS_STRENGTH + d0 * self.parent_t.sum()) * root) / (CLASS_STRENGTH + customers.sum())
+        base = np.minimum(p[self.word] * self.spread, 1.0)
+        at = self.several
+        if len(at):
+            others = np.bincount(self.context, weights=self.t, minlength=self.contexts)[self.context[at]] - self.t[at]
+            self.t[at] = draw_tables(self.count[at], self.t[at], others, base[at], CONTEXT_STRENGTH, self.d1, self.table1, self.random)
+        return base
+
+    def sampled(self, root: np.ndarray) -> np.ndarray:
+        """Averaged probability of each pair."""
+        out = np.zeros(len(self.count))
+        for _ in range(SAMPLES):
+            base = self.sweep(root)
+            open_tables = np.bincount(self.context, weights=self.t, minlength=self.contexts)
+            out += (self.count - self.d1 * self.t + (CONTEXT_STRENGTH + self.d1 * open_tables[self.context]) * base) / (CONTEXT_STRENGTH + self.total[self.context])
+        return out / SAMPLES
+
+
+def predictive(context: np.ndarray, word: np.ndarray, count: np.ndarray, types: int, spread: np.ndarray, seed: int) -> np.ndarray:
+    """Averaged probability of each (context, word) under a class by itself, with the uniform distribution as its parent."""
+    seating = Seating(context, word, count, spread, seed)
+    uniform = np.full(seating.words, 1.0 / (types + 1))
+    for _ in range(BURN):
+        seating.sweep(uniform)
+    return seating.sampled(uniform)
 
 
 # ---------------------------------------------------------------- the passes
@@ -274,34 +306,121 @@ def bigram_arrays(docs: DataFrame, head, classes: int) -> DataFrame:
 ARRAYS = ["class", "first", "contexts", "per_context", "pieces", "whole", "words", "per_pair", "texts"]
 
 
-def score_class(found: pa.Table, types: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+class Pairs:
+    """The distinct (context, word) pairs of a class in a fixed order; with ``texts`` also the texts' tokens."""
+
+    def __init__(self, found: pa.Table, texts: bool):
+        parts: list[list[np.ndarray]] = []
+        for r in found.to_pylist():
+            per_context, per_pair = np.frombuffer(r["per_context"], "<u4"), np.frombuffer(r["per_pair"], "<u4")
+            refs = np.frombuffer(r["texts"], "<u2" if len(r["texts"]) == 2 * int(per_pair.sum()) else "<u4")
+            pieces = np.frombuffer(r["pieces"], "<u4")
+            whole = np.frombuffer(r["whole"], "<u8") if r["whole"] else np.zeros(len(pieces), np.uint64)
+            training = np.add.reduceat(1 - (refs & 1).astype(np.int64), np.cumsum(per_pair, dtype=np.int64) - per_pair)
+            parts.append([np.repeat(_wide(r["contexts"]), per_context), np.repeat(pieces, per_context), np.repeat(whole, per_context), _wide(r["words"]), training])
+            if texts:
+                parts[-1] += [per_pair, (refs >> 1).astype(np.int64) + r["first"]]
+        context, pieces, whole, word, training, *tokens_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        self.words, word = np.unique(word, return_inverse=True)
+        _, context = np.unique(context, return_inverse=True)
+        order = np.argsort(context * len(self.words) + word)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (word[order][1:] != word[order][:-1]) | (context[order][1:] != context[order][:-1])
+        pair = np.empty(len(order), dtype=np.int64)
+        pair[order] = np.cumsum(new) - 1
+        one = order[new]
+        self.context, self.word, self.pieces, self.whole = context[one], word[one], pieces[one].astype(np.int64), whole[one].astype(np.int64)
+        self.count = np.bincount(pair, weights=training, minlength=len(one)).astype(np.int64)
+        if texts:
+            self.token_pair, self.rows = np.repeat(pair, tokens_of[0]), tokens_of[1]
+
+    def seating(self, seed) -> Seating:
+        return Seating(self.context, self.word, self.count, self.pieces.astype(np.float64), seed)
+
+
+def _small(values: np.ndarray) -> bytes:
+    return values.astype("<u4").tobytes()
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(np.int64)
+
+
+UP = "shard int, class int, words binary, tables binary, held binary, outside double, d double"
+DOWN = "class int, shard int, tables binary, held binary, customers binary, seated binary, totals array<double>"
+
+
+class FromRoot:
+    """What the shards of the root answer to a class: its own tables and held seats again, and the root's probabilities."""
+
+    def __init__(self, answers: pa.Table, types: int):
+        rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        self.totals = np.array([r["totals"] for r in rows])  # customers, tables, dishes of one and of two customers
+        customers, tables, once, twice = self.totals.sum(axis=0).tolist()
+        self.d = discount(once, twice)
+        self.parent_t, self.held, c, t = (np.concatenate([_counts(r[k]) for r in rows]) for k in ("tables", "held", "customers", "seated"))
+        self.p = (c - self.d * t + (ROOT_STRENGTH + self.d * tables) / (types + 1)) / (ROOT_STRENGTH + customers)
+        self.outside = tables - self.totals[:, 1]
+
+    def resume(self, seating: Seating) -> Seating:
+        seating.parent_t, seating.t[seating.several] = self.parent_t, self.held
+        return seating
+
+
+def seat_class(found: pa.Table, answers: pa.Table | None, types: int, shards: int, seed) -> pa.Table:
+    """One sweep of a class, and its tables, a row for each shard of the root."""
+    pairs = Pairs(found, False)
+    seating = pairs.seating(seed)
+    root = FromRoot(answers, types) if answers is not None else None
+    if root:
+        root.resume(seating).sweep(root.p)
+    else:
+        seating.sweep(np.full(seating.words, 1.0 / (types + 1)))
+    edges = (np.arange(shards + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(shards)
+    cuts = np.searchsorted(pairs.words, edges)
+    held = np.array_split(seating.t[seating.several], shards)
+    k = found.column("class")[0].as_py()
+    rows = []
+    for s in range(shards):
+        at = slice(cuts[s], cuts[s + 1])
+        rows.append((s, k, _narrow(pairs.words[at]), _small(seating.parent_t[at]), _small(held[s]), float(root.outside[s]) if root else None, root.d if root else None))
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in UP.split(", ")])
+
+
+def seat_root(found: pa.Table, types: int, seed) -> pa.Table:
+    """Seats a shard of the root from all classes' tables; a row for each class with its words' customers and tables there."""
+    rows = found.to_pylist()
+    words = [_wide(r["words"]) for r in rows]
+    sent = np.concatenate([_counts(r["tables"]) for r in rows])
+    dishes, at = np.unique(np.concatenate(words), return_inverse=True)
+    c = np.bincount(at, weights=sent, minlength=len(dishes)).astype(np.int64)
+    t = np.minimum(c, 1)
+    # at first each known type has one table
+    outside = types - t.sum() if rows[0]["outside"] is None else rows[0]["outside"]
+    d = discount(*_few(c)) if rows[0]["d"] is None else rows[0]["d"]
+    table, random, uniform = stirling(EXACT, d), np.random.default_rng(seed), np.full(len(c), 1.0 / (types + 1))
+    for _ in range(ROOT_SWEEPS):
+        t = draw_tables(c, t, outside + t.sum() - t, uniform, ROOT_STRENGTH, d, table, random)
+    totals = [float(x) for x in (c.sum(), t.sum(), *_few(c))]
+    out, begin = [], 0
+    for r, w in zip(rows, words, strict=True):
+        here = at[begin : begin + len(w)]
+        begin += len(w)
+        out.append((r["class"], r["shard"], r["tables"], r["held"], _small(c[here]), _small(t[here]), totals))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.float64())]
+    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DOWN.split(", ")])
+
+
+def score_class(found: pa.Table, answers: pa.Table, types: int, seed) -> tuple[np.ndarray, np.ndarray]:
     """(rows, sums of log10 probabilities) of the texts that have bigrams in a class."""
-    parts: list[list[np.ndarray]] = []
-    for r in found.to_pylist():
-        per_context, per_pair = np.frombuffer(r["per_context"], "<u4"), np.frombuffer(r["per_pair"], "<u4")
-        texts = r["texts"]
-        refs = np.frombuffer(texts, "<u2" if len(texts) == 2 * int(per_pair.sum()) else "<u4").astype(np.int64)
-        pieces = np.frombuffer(r["pieces"], "<u4")
-        whole = np.frombuffer(r["whole"], "<u8") if r["whole"] else np.zeros(len(pieces), np.uint64)
-        parts.append([np.repeat(_wide(r["contexts"]), per_context), np.repeat(pieces, per_context), np.repeat(whole, per_context), _wide(r["words"]), per_pair, (refs >> 1) + r["first"], refs & 1])
-    context, pieces, whole, word, per_pair, rows, held = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    _, word = np.unique(word, return_inverse=True)
-    _, context = np.unique(context, return_inverse=True)
-    order = np.argsort(context * (int(word.max()) + 1) + word)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (word[order][1:] != word[order][:-1]) | (context[order][1:] != context[order][:-1])
-    pair = np.empty(len(order), dtype=np.int64)
-    pair[order] = np.cumsum(new) - 1
-    one = order[new]
-    context, pieces, whole, word = context[one], pieces[one].astype(np.int64), whole[one].astype(np.int64), word[one]
-    token_pair = np.repeat(pair, per_pair)
-    count = np.bincount(token_pair[held == 0], minlength=len(one))
-    p = predictive(context, word, count, types, pieces.astype(np.float64), seed)
-    here = np.bincount(context, weights=count)[context]
-    p = np.where(pieces > 1, p * (here + 1) / (whole + pieces), p)
-    logs = np.log10(p)[token_pair]
-    owners, at = np.unique(rows, return_inverse=True)
+    pairs, root = Pairs(found, True), FromRoot(answers, types)
+    p = root.resume(pairs.seating(seed)).sampled(root.p)
+    here = np.bincount(pairs.context, weights=pairs.count)[pairs.context]
+    p = np.where(pairs.pieces > 1, p * (here + 1) / (pairs.whole + pairs.pieces), p)
+    logs = np.log10(p)[pairs.token_pair]
+    owners, at = np.unique(pairs.rows, return_inverse=True)
     return owners, np.bincount(at, weights=logs, minlength=len(owners))
 
 
@@ -327,11 +446,32 @@ def score_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     )
     classes = max(1, round(n / CLASS_TOKENS))
 
-    def seat(found: pa.Table) -> pa.Table:
-        owners, sums = score_class(found, types, seed + found.column("class")[0].as_py())
+    shards = -(-classes // SHARD_CLASSES)
+    number = lambda found, column: found.column(column)[0].as_py()
+
+    def exchange(sweep: int, arrays: DataFrame, answers: DataFrame | None) -> DataFrame:
+        def first(found: pa.Table) -> pa.Table:
+            return seat_class(found, None, types, shards, [seed, sweep, number(found, "class")])
+
+        def again(found: pa.Table, told: pa.Table) -> pa.Table:
+            return seat_class(found, told, types, shards, [seed, sweep, number(found, "class")])
+
+        def root(found: pa.Table) -> pa.Table:
+            return seat_root(found, types, [seed, sweep, classes + number(found, "shard")])
+
+        by_class = arrays.groupBy("class")
+        up = by_class.applyInArrow(first, UP) if answers is None else by_class.cogroup(answers.groupBy("class")).applyInArrow(again, UP)
+        return up.groupBy("shard").applyInArrow(root, DOWN)
+
+    def score(found: pa.Table, told: pa.Table) -> pa.Table:
+        owners, sums = score_class(found, told, types, [seed, BURN, number(found, "class")])
         return pa.table({"row": pa.array(owners), "score": pa.array(sums)})
 
-    scores = bigram_arrays(docs, head, classes).groupBy("class").applyInArrow(seat, "row long, score double")
+    # one plan, so that the shuffle of the arrays is written once and read by every sweep
+    arrays, answers = bigram_arrays(docs, head, classes), None
+    for sweep in range(BURN):
+        answers = exchange(sweep, arrays, answers)
+    scores = arrays.groupBy("class").cogroup(answers.groupBy("class")).applyInArrow(score, "row long, score double")
     scores = scores.select("row", *empty, F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score")
     together = per_text.unionByName(others).unionByName(scores).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),

@@ -210,6 +210,19 @@ def test_model_is_a_distribution():
         assert p[at & seen[word]].sum() + p[at & ~seen[word]].sum() / max(1, unknown) == pytest.approx(1, abs=1e-9)
 
 
+def test_model_shares_words_between_classes(spark, monkeypatch):
+    """A word frequent after some contexts is likely after new ones, in whatever class they are."""
+    monkeypatch.setattr(pitman_yor, "CLASS_TOKENS", 64)
+    training = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 1]
+    # both words are frequent; one of them follows a single context
+    data = [(i, (f"before{k % 12} common", "alone other", f"rare{k} scarce{k}")[k % 3]) for k, i in enumerate(training)]
+    data += [(i, f"new{k // 2} {'common' if k % 2 else 'other'}") for k, i in enumerate(held)]
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    gains = [got[b] - got[a] for a, b in zip(held[::2], held[1::2], strict=False)]
+    assert np.median(gains) > 0.3 and np.mean(np.array(gains) > 0.3) > 0.9
+
+
 def test_model_without_training_rows(spark, empty):
     assert pitman_yor.score_documents(empty).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
