@@ -10,9 +10,9 @@ give no lines, and neither do scripts, styles and markup.
 The text-to-tag ratio of each line (text outside links by tags) is smoothed with
 a Gaussian kernel over neighbouring lines.  Lines above the threshold (the
 ratios' standard deviation, or a share of their mean when they hardly differ)
-form clusters.  The content is the container that holds most of the clusters'
-text: the outermost marked article or main region where there is one, else the
-deepest element with most of it; all lines of that container are the text, so
+form clusters.  The content is the lowest container of nearly all the clusters'
+text (of that in article and main regions, if they hold most of it), or the
+innermost such region around it; all lines of that container are the text, so
 short paragraphs between long ones stay.
 
 Defined cases: a null or empty page and a page without such lines give the empty
@@ -53,6 +53,8 @@ OTHER = re.compile(
     re.I,
 )
 KEPT_NAMES = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body)(?:$|[-_\s\d])", re.I)
+#: The share of the clusters' text that their container holds at least.
+NEARLY = 0.95
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 PIECE = 1 << 16
@@ -75,7 +77,7 @@ class Events(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # name, number, skipped
         self.number = self.tags = self.links = self.linked = 0
         self.skipping = 0
-        self.regions: dict[int, int] = {}  # number of an article or main element -> its rank
+        self.regions: set[int] = set()  # numbers of article and main elements
         self.parts: list[str] = []
 
     def flush(self) -> None:
@@ -124,7 +126,7 @@ class Events(HTMLParser):
         self.number += 1
         skipped = tag in SKIPPED or self._marked(tag, found)
         if tag == "article" or tag == "main" or found.get("role") in ("article", "main") or found.get("itemprop") == "articleBody":
-            self.regions[self.number] = 1 if tag == "main" or found.get("role") == "main" else 2
+            self.regions.add(self.number)
         self.stack.append((tag, self.number, skipped))
         self.skipping += skipped
         if tag == "a":
@@ -194,6 +196,11 @@ def content(lines: list[Line]) -> list[bool]:
     return [x >= threshold and x > 0 for x in smooth]
 
 
+def _own(line: Line) -> int:
+    """Characters outside links."""
+    return len(line.text) - line.linked
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds."""
     if not html:
@@ -202,22 +209,27 @@ def extract(html: str | None) -> str:
     lines = events.lines
     if not lines:
         return ""
-    chosen = content(lines)
+    high = [x for x, is_high in zip(lines, content(lines), strict=True) if is_high]
+    total = sum(map(_own, high))
+    within = [x for x in high if not events.regions.isdisjoint(x.path)]
+    in_regions = 2 * sum(map(_own, within)) > total
+    clusters = within if in_regions else high
     weight: dict[int, int] = {}
-    for line, high in zip(lines, chosen, strict=True):
-        if high:
-            for n in line.path:
-                weight[n] = weight.get(n, 0) + len(line.text) - line.linked
-    total = sum(len(x.text) - x.linked for x, high in zip(lines, chosen, strict=True) if high)
-    marked = [n for n in events.regions if weight.get(n)]
-    if marked:
-        best = max(marked, key=lambda n: (events.regions[n], weight[n], -n))
-        inside = [x for x in lines if best in x.path]
-    else:
-        holders = [n for n, w in weight.items() if 2 * w > total]
-        inside = [x for x in lines if max(holders) in x.path] if holders and total else [x for x, high in zip(lines, chosen, strict=True) if high]
-        if len(inside) == 1 and len(lines) > 1:  # the holder is one block: its parent's blocks are the text
-            inside = [x for x, high in zip(lines, chosen, strict=True) if high]
+    for line in clusters:
+        for n in line.path:
+            weight[n] = weight.get(n, 0) + _own(line)
+    least = NEARLY * sum(map(_own, clusters))
+    # numbers grow inwards
+    best = max((n for n, w in weight.items() if w >= least > 0), default=None)
+    if best is None:
+        return "\n".join(x.text for x in high)
+    path = next(x.path for x in clusters if best in x.path)
+    around = [n for n in path[: path.index(best) + 1] if n in events.regions]
+    if around:
+        best = around[-1]
+    inside = [x for x in lines if best in x.path and (around or not in_regions or not events.regions.isdisjoint(x.path))]
+    if len(inside) == 1 and len(lines) > 1 and not around:  # the holder is one block: its parent's blocks are the text
+        inside = high
     return "\n".join(x.text for x in inside)
 
 

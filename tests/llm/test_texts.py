@@ -126,6 +126,16 @@ def test_pages(html, want):
     assert html_text.extract(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    (page(f"<main><p>{LONG}</p><p>{LONG}</p><article><p>A short teaser.</p></article></main>"), f"{LONG}\n{LONG}\nA short teaser."),
+    (page(f"<div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article></div>"), f"{LONG}\n{LONG}\n{LONG}"),
+    (page(f"<div><p>{LONG}</p><p>Intro.</p><p>{LONG}</p><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section></div>"), f"{LONG}\nIntro.\n" + "\n".join([LONG] * 4)),
+    (page(f"<article><h1>Title</h1><section><p>{LONG}</p><p>{LONG}</p></section></article>"), f"Title\n{LONG}\n{LONG}"),
+])
+def test_clusters_choose_the_container(html, want):
+    assert html_text.extract(html) == want
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, page("<article><p>é😀</article>"))], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract_pages(df).collect()) == [("1", "", 0), ("None", "é😀", 2)]
