@@ -5,7 +5,10 @@ into lines: a line is the text of one block, with the number of tags and of link
 characters in it and the region it lies in.  Regions that elements or their
 class, id and role names mark as something other than the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, hidden parts)
-give no lines, and neither do scripts, styles and markup.
+give no lines, and neither do scripts, styles and markup.  A part that only its
+name marks is judged when the page has been read: its lines stay if the article
+or main regions in it hold most of all regions' text, or, where there are none,
+if it holds most of the page's text.
 
 The text-to-tag ratio of each line (text outside links by tags) is smoothed with
 a Gaussian kernel over neighbouring lines.  Lines above the threshold (the
@@ -53,6 +56,12 @@ OTHER = re.compile(
     re.I,
 )
 KEPT_NAMES = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body)(?:$|[-_\s\d])", re.I)
+#: Names that only tell what a wrapper has beside it.
+FLAGS = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
+#: Headers inside an article or main region are its own.
+HEADERS = re.compile(r"(?<![^-_\s])header(?![^-_\s\d])", re.I)
+#: Article elements of such names are not the page's article.
+BESIDE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser|comments?|reply|replies)(?:$|[-_\s\d])", re.I)
 #: The share of the clusters' text that their container holds at least.
 NEARLY = 0.95
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -78,6 +87,7 @@ class Events(HTMLParser):
         self.number = self.tags = self.links = self.linked = 0
         self.skipping = 0
         self.regions: set[int] = set()  # numbers of article and main elements
+        self.marked: set[int] = set()  # numbers of elements that their names mark
         self.parts: list[str] = []
 
     def flush(self) -> None:
@@ -124,23 +134,32 @@ class Events(HTMLParser):
             return
         found = {k: v or "" for k, v in attrs}
         self.number += 1
-        skipped = tag in SKIPPED or self._marked(tag, found)
+        skipped = (tag in SKIPPED and tag != "header") or self._hidden(tag, found)
+        names = FLAGS.sub("", " ".join(found[k] for k in ("class", "id", "role") if k in found))
+        if not skipped and self._named(tag, names):
+            self.marked.add(self.number)
         if tag == "article" or tag == "main" or found.get("role") in ("article", "main") or found.get("itemprop") == "articleBody":
-            self.regions.add(self.number)
+            if not BESIDE.search(names):
+                self.regions.add(self.number)
         self.stack.append((tag, self.number, skipped))
         self.skipping += skipped
         if tag == "a":
             self.links += 1
 
-    def _marked(self, tag: str, found: dict[str, str]) -> bool:
+    def _inside(self) -> bool:
+        return any(n in self.regions for _, n, _ in self.stack)
+
+    def _hidden(self, tag: str, found: dict[str, str]) -> bool:
         if tag in ("html", "body", "article", "main"):
             return False
         if tag == "header":  # the page's, unless it is the article's own
-            return not any(n in self.regions for _, n, _ in self.stack)
-        if "hidden" in found or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")):
-            return True
-        names = " ".join(found[k] for k in ("class", "id", "role") if k in found)
-        return bool(names and OTHER.search(names) and not KEPT_NAMES.fullmatch(names))
+            return not self._inside()
+        return "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
+
+    def _named(self, tag: str, names: str) -> bool:
+        if tag in ("html", "body", "article", "main", "header") or not names or not OTHER.search(names) or KEPT_NAMES.fullmatch(names):
+            return False
+        return not self._inside() or bool(OTHER.search(HEADERS.sub("", names)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -201,12 +220,33 @@ def _own(line: Line) -> int:
     return len(line.text) - line.linked
 
 
+def unmarked(events: Events) -> list[Line]:
+    """The lines without those of marked elements, where these don't hold most of the text."""
+    if not events.marked:
+        return events.lines
+    page = regions = 0
+    held: dict[int, int] = {}  # marked element -> its text
+    around: dict[int, int] = {}  # marked element -> text of the regions in it
+    for line in events.lines:
+        n = _own(line)
+        page += n
+        last = max((i for i, x in enumerate(line.path) if x in events.regions), default=-1)
+        regions += n if last >= 0 else 0
+        for i, x in enumerate(line.path):
+            if x in events.marked:
+                held[x] = held.get(x, 0) + n
+                around[x] = around.get(x, 0) + (n if i < last else 0)
+    kept = {x for x in held if (2 * around[x] > regions if regions else 2 * held[x] > page)}
+    dropped = events.marked - kept
+    return [x for x in events.lines if dropped.isdisjoint(x.path)]
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds."""
     if not html:
         return ""
     events = parse(html)
-    lines = events.lines
+    lines = unmarked(events)
     if not lines:
         return ""
     high = [x for x, is_high in zip(lines, content(lines), strict=True) if is_high]

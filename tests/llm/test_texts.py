@@ -136,6 +136,18 @@ def test_clusters_choose_the_container(html, want):
     assert html_text.extract(html) == want
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-footer", "with-menu", "menu-page", "site-header-layout"])
+def test_named_wrappers_keep_the_article(name):
+    inner = f"<article><h1>Head</h1><p>{LONG}</p></article><div class=sidebar><p>{LONG}</p></div>"
+    assert html_text.extract(page(f"<div class='{name}'>{inner}</div>")) == f"Head\n{LONG}"
+    assert html_text.extract(page(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div><p>Tail")).startswith(f"{LONG}\n{LONG}")
+
+
+@pytest.mark.parametrize("name", ["entry-header", "post-header"])
+def test_article_headers_stay(name):
+    assert html_text.extract(page(f"<div class=header>Site</div><article><div class='{name}'><h1>Head</h1></div><p>{LONG}</p><div class='comments'><article class=comment><p>{LONG}</p></article></div></article>")) == f"Head\n{LONG}"
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, page("<article><p>é😀</article>"))], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract_pages(df).collect()) == [("1", "", 0), ("None", "é😀", 2)]
