@@ -2,8 +2,9 @@
 
 Equal vectors of a label are one class; links are found between classes and
 counted with their sizes.  A bounded sample of unit vectors gives the principal
-axes and, by iterative quantisation, rotations under which the signs of the
-projections are balanced codes.  Every class is indexed: each table cuts its code
+axes and, by iterative quantisation, rotations; the signs of the projections are
+the codes.  No mean is subtracted: bits differ by the angle between the vectors
+themselves, the one that the threshold bounds, wherever the vectors lie.  Every class is indexed: each table cuts its code
 into bands, and classes that agree in a whole band of a table meet in a bucket.
 Band width grows with the logarithm of the largest label, and there are as many
 tables as it takes for a pair at the threshold to meet with probability
@@ -42,13 +43,11 @@ FEW = 48
 MOST_TABLES = 64
 
 
-def learn(sample: np.ndarray, tables: int, bits: int, rounds: int = 50, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections): per table a matrix whose signs are the code."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, _, axes = np.linalg.svd(centred.T @ centred, hermitian=True)
+def learn(sample: np.ndarray, tables: int, bits: int, rounds: int = 50, seed: int = 7) -> np.ndarray:
+    """Per table a matrix; the signs of the products with it are the code."""
+    _, _, axes = np.linalg.svd(sample.T @ sample, hermitian=True)
     axes = axes[:bits].T
-    v = centred @ axes
+    v = sample @ axes
     random = np.random.default_rng(seed)
     out = []
     for _ in range(tables):
@@ -58,14 +57,13 @@ def learn(sample: np.ndarray, tables: int, bits: int, rounds: int = 50, seed: in
             left, _, right = np.linalg.svd(signs.T @ v)
             rotation = (left @ right).T
         out.append(axes @ rotation)
-    return mean, np.stack(out)
+    return np.stack(out)
 
 
-def encode(unit: np.ndarray, mean: np.ndarray, projections: np.ndarray) -> np.ndarray:
+def encode(unit: np.ndarray, projections: np.ndarray) -> np.ndarray:
     """Codes, one column a table."""
     weights = np.uint64(1) << np.arange(projections.shape[2], dtype=np.uint64)
-    centred = unit - mean
-    return np.stack([((centred @ p >= 0) * weights).sum(axis=1, dtype=np.uint64) for p in projections], axis=1)
+    return np.stack([((unit @ p >= 0) * weights).sum(axis=1, dtype=np.uint64) for p in projections], axis=1)
 
 
 def band_keys(codes: np.ndarray, width: int, bands: int) -> np.ndarray:
@@ -179,12 +177,12 @@ def _links_of_length(spark: SparkSession, classes: DataFrame, length: int, large
     model = spark.sparkContext.broadcast(learn(unit_rows([r.e for r in sorted(sample)]), tables, bits))
 
     def index(batches):
-        mean, projections = model.value
+        projections = model.value
         for b in batches:
             if not b.num_rows:
                 continue
             unit = unit_rows(b.column(2).to_pylist())
-            codes = encode(unit, mean, projections)
+            codes = encode(unit, projections)
             keys = band_keys(codes, width, bands)
             each = [keys[:, k] + (np.int64(k) << np.int64(40)) for k in range(keys.shape[1])]
             ends = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)

@@ -95,5 +95,29 @@ def test_vectors_against_brute_force(spark, monkeypatch, chunk):
     assert (got[405].n_links, got[406].n_links, got[406].component_id) == (1, 1, 405)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7])
+def test_links_of_vectors_far_from_the_origin(share):
+    """Pairs at the threshold meet as often as promised when the mean holds much of the squared length."""
+    rng, n, length = np.random.default_rng(6), 3000, 64
+    width, bands, tables = embedding_dup.plan(1 << 16, length, 0.93)
+    middle = np.full(length, length**-0.5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    across = lambda x, y: unit(x - (x * y).sum(axis=1)[:, None] * y)
+    first = unit(share**0.5 * middle + (1 - share) ** 0.5 * unit(rng.normal(size=(n, length))))
+    # the other of a pair: as far from the mean, at cosine 0.93
+    flat = np.tile(middle, (n, 1))
+    own = across(first, flat)
+    part = (first * flat).sum(axis=1)[:, None]
+    turn = (0.93 - part**2) / (1 - part**2)
+    second = part * flat + np.sqrt(1 - part**2) * (turn * own + np.sqrt(1 - turn**2) * across(across(rng.normal(size=(n, length)), flat), own))
+    assert np.allclose((first * second).sum(axis=1), 0.93)
+    model = embedding_dup.learn(first, tables, length)
+    model = model if isinstance(model, tuple) else (model,)
+    keys = [embedding_dup.band_keys(embedding_dup.encode(x, *model), width, bands) for x in (first, second)]
+    found = (keys[0] == keys[1]).any(axis=1).mean()
+    print(f"share {share}: width {width}, {tables} tables, recall {found:.4f}")
+    assert found >= 0.98
+
+
 def test_empty_vectors(spark):
     assert embedding_dup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
