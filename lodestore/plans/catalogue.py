@@ -256,6 +256,14 @@ def recall_chain(spark, sf_dir):
     return memories.recall_chain(edges, vectors.where("vec_id % 50 = 0"), 2, weight, 10)
 
 
+@query()
+def recall_chain_all(spark, sf_dir):
+    """The chains of all vectors, not only those of ``recall_chain``."""
+    vectors = read(spark, sf_dir, "embeddings")
+    weight = vectors.select("vec_id", (1 - (F.col("vec_id") % 10) / F.lit(20.0)).alias("weight"))
+    return memories.recall_chain(memories.neighbour_edges(vectors, 0.2), vectors, 2, weight, 10)
+
+
 @query(f"""WITH {MEM}, s AS (SELECT user_id, event_id, {FINAL(f'cosine * {EXP(24.0, 0.05)} * {BOOST}')} AS score, '[' || event_type || '] ' || event_id AS line FROM scored),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM s),
     u AS (SELECT *, sum(length(line)) OVER (PARTITION BY user_id ORDER BY rank) AS used FROM r WHERE rank <= 20)

@@ -131,6 +131,30 @@ def test_residual_codes_bring_scores_closer(spark):
     assert miss(better) < miss(plain)
 
 
+def test_every_vector_has_its_chain(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(70, 8))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).tolist()
+    data = [(i, i % 3, x) for i, x in enumerate(v)]
+    spark.createDataFrame(data, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    near = {i: {j: float(np.dot(v[i], v[j])) for j in range(70) if j != i and j % 3 == i % 3 and np.dot(v[i], v[j]) >= 0.2} for i in range(70)}
+    want = set()
+    for seed in range(70):
+        seen, frontier, found = {seed}, {seed}, []
+        for depth in (1, 2):
+            reached = {}
+            for i in frontier:
+                for j, sim in near[i].items():
+                    if j not in seen:
+                        reached[j] = max(sim, reached.get(j, 0))
+            found += [(-round(min(1, sim * (1 - j % 10 / 20)), 6), j, depth) for j, sim in reached.items()]
+            frontier = set(reached)
+            seen |= frontier
+        want |= {(seed, j, depth, rank) for rank, (_, j, depth) in enumerate(sorted(found)[:10], 1)}
+    got = {(r.seed, r.vec_id, r.depth, r["rank"]) for r in catalogue.QUERIES["recall_chain_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len({x[0] for x in got}) > 60
+
+
 def test_entry_without_optional_parts(monkeypatch):
     import __spark_entry__ as entry
 
