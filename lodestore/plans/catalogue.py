@@ -396,6 +396,13 @@ def char_ngrams(spark, sf_dir):
     return found.select("token", F.explode(T.char_ngrams(F.col("token"))).alias("gram")).groupBy("token", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def char_ngrams_documents(spark, sf_dir):
+    """The n-grams of the distinct tokens of the documents."""
+    found = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.HASH_TOKEN), F.lit(0))).alias("token")).distinct()
+    return found.select("token", F.explode(T.char_ngrams(F.col("token"))).alias("gram")).groupBy("token", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def hash_embed_topk(spark, sf_dir):
     """For each benchmark text the five documents with the nearest hashed vectors."""

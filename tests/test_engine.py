@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -155,6 +157,17 @@ def test_every_vector_has_its_chain(spark, tmp_path):
     assert got == want and len({x[0] for x in got}) > 60
 
 
+def test_ngrams_of_all_documents(spark, tmp_path):
+    texts = ["Un chat, un CHAT!", "aaaaaa b", "", None, "été-2024 x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for w in {w for t in texts for w in re.findall(T.HASH_TOKEN, (t or "").lower())}:
+        f = f"^{w}$"
+        want.update([(w, f[i : i + n]) for n in (3, 4, 5) for i in range(len(f) - n + 1)] + [(w, f"#{w}")])
+    got = {(r.token, r.gram): r.n for r in catalogue.QUERIES["char_ngrams_documents"](spark, str(tmp_path)).collect()}
+    assert got == dict(want)
+
+
 def test_entry_without_optional_parts(monkeypatch):
     import __spark_entry__ as entry
 
