@@ -61,24 +61,43 @@ def manager_recall(df: DataFrame, query: list[float], k: int = 5, threshold: flo
     return search.ranked(final.where(F.col("score") >= threshold), "user_id", k, "score", "event_id")
 
 
-MODES = ("semantic", "temporal", "contextual", "summary")
+MODES = ("semantic", "temporal", "contextual", "summary", "chain")
+#: Rows of a user whose neighbours the chain mode adds.
+CHAIN_SEEDS = 3
 
 
-def recall(df: DataFrame, query: list[float], mode: str = "contextual", k: int = 5, min_score: float = 0.0, recalls: DataFrame | None = None, filters: Column | None = None) -> DataFrame:
-    """Per user the k best rows of an exhaustive scoring; ``recalls`` (user_id, event_id, recalled_h) lifts what was recalled lately."""
+def recall(df: DataFrame, query: list[float], mode: str = "contextual", k: int = 5, min_score: float = 0.0, recalls: DataFrame | None = None, filters: Column | None = None, chain_sim: float = 0.55) -> DataFrame:
+    """Per user the k best rows of an exhaustive scoring; ``recalls`` (user_id, event_id, recalled_h) lifts what was recalled lately.
+
+    The chain mode scores as the contextual one and adds the neighbours of a user's best rows, whatever ``filters`` say.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     rows = with_cosine(df if filters is None else df.where(filters), query)
     score = F.col("cosine")
     if mode != "semantic":
         score = score * decay.exponential(F.col("age_h"), 24.0, 0.05)
-    if mode in ("contextual", "summary"):
+    if mode in ("contextual", "summary", "chain"):
         if recalls is not None:
             rows = rows.join(recalls, ["user_id", "event_id"], "left")
         lift = decay.recency_boost(F.col("recalled_h")) if recalls is not None else F.lit(1.0)
         score = score * decay.freq_boost(F.col("reinforcements")) * lift
-    rows = rows.withColumn("score", decay.final(score)).where(F.col("score") >= min_score)
-    return search.ranked(rows, "user_id", k, "score", "event_id")
+    rows = rows.withColumn("score", decay.final(score))
+    if mode == "chain":
+        rows = _with_neighbours(rows, df, k, chain_sim)
+    return search.ranked(rows.where(F.col("score") >= min_score), "user_id", k, "score", "event_id")
+
+
+def _with_neighbours(base: DataFrame, df: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The base and, for each of a user's best rows, the k best within one hop; of a row found twice the base's or the better seed's stays."""
+    seeds = search.ranked(base, "user_id", CHAIN_SEEDS, "score", "event_id").select("user_id", F.col("rank").alias("seed"), F.col("event_id").alias("src"), F.col("embedding").alias("from"))
+    near = df.join(seeds, "user_id").where("event_id <> src").withColumn("cosine", vector.dot(F.col("from"), F.col("embedding"))).where(F.col("cosine") >= threshold)
+    near = near.withColumn("score", decay.final(F.col("cosine") * decay.exponential(F.col("age_h"), 24.0, 0.05)))
+    best = F.row_number().over(Window.partitionBy("user_id", "seed").orderBy(F.desc("score"), "event_id"))
+    near = near.withColumn("best", best).where(F.col("best") <= k).drop("best", "src", "from")
+    first = F.row_number().over(Window.partitionBy("user_id", "event_id").orderBy("seed"))
+    together = base.withColumn("seed", F.lit(0)).unionByName(near, allowMissingColumns=True)
+    return together.withColumn("first", first).where("first = 1").drop("first", "seed")
 
 
 def neighbour_edges(vectors: DataFrame, threshold: float, group: str = "label") -> DataFrame:

@@ -235,6 +235,12 @@ def recall_filtered(spark, sf_dir):
     return _recall(spark, sf_dir, "contextual", filters=(F.col("event_type") == "click") & (F.col("age_h") <= 500))
 
 
+@query()
+def recall_chain_mode(spark, sf_dir):
+    """The clicks of a user and, of all events, the neighbours of the three best of them."""
+    return _recall(spark, sf_dir, "chain", filters=F.col("event_type") == "click", chain_sim=0.2)
+
+
 EDGES = """edges AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2)"""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import decay, vector
 from lodestore.functions import text as T
-from lodestore.operators import consolidate, remember, session
+from lodestore.operators import consolidate, memories, remember, session
 from lodestore.plans import catalogue
 from lodestore.sources import change_log
 from lodestore.streaming import remember as streams
@@ -168,6 +168,27 @@ def test_ngrams_of_all_documents(spark, tmp_path):
     assert got == dict(want)
 
 
+def test_chain_mode_adds_neighbours(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(60, 4))
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    data = [(i % 2, i, i % 3 == 0, v[i].tolist(), float(i), 1) for i in range(60)]
+    df = spark.createDataFrame(data, "user_id int, event_id int, mine boolean, embedding array<double>, age_h double, reinforcements int")
+    query = [1.0, 0.0, 0.0, 0.0]
+    weight = lambda i: max(0.05, 0.5 ** (i / 24))
+    want = []
+    for user in (0, 1):
+        ids = [i for i in range(60) if i % 2 == user]
+        final = lambda x: round(min(1, max(0, x)), 6)
+        found = {i: final(v[i][0] * weight(i) * (1 + 0.3 * math.log(2) / math.log(11))) for i in ids if i % 3 == 0}
+        for seed in sorted(found, key=lambda i: (-found[i], i))[:3]:
+            near = sorted((-final(v[seed] @ v[i] * weight(i)), i) for i in ids if i != seed and v[seed] @ v[i] >= 0.55)[:6]
+            found = {i: -s for s, i in near} | found
+        want += [(user, i) for i in sorted(found, key=lambda i: (-found[i], i))[:6]]
+    got = memories.recall(df, query, "chain", 6, filters=F.col("mine")).orderBy("user_id", "rank").collect()
+    assert [(r.user_id, r.event_id) for r in got] == want and any(not r.mine for r in got)
+
+
 def test_entry_without_optional_parts(monkeypatch):
     import __spark_entry__ as entry
 
