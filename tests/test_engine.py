@@ -1,8 +1,13 @@
 """The engine: golden values, SQL on the smallest data, folds, log, snapshots, streams."""
 
 import hashlib
+import json
 import math
+import os
 import re
+import shutil
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -18,6 +23,7 @@ from lodestore.sources import change_log
 from lodestore.streaming import remember as streams
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -189,9 +195,25 @@ def test_chain_mode_adds_neighbours(spark):
     assert [(r.user_id, r.event_id) for r in got] == want and any(not r.mine for r in got)
 
 
-def test_entry_without_optional_parts(monkeypatch):
-    import __spark_entry__ as entry
-
-    monkeypatch.setattr(entry, "llm_registry", None)
-    monkeypatch.setattr(entry, "corpus_pipeline", None)
-    assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLES)
+@pytest.mark.parametrize("gone", [("lodestore/llm", "tests/llm", "corpus_pipeline.py"), ("lodestore/llm", "tests/llm"), ("corpus_pipeline.py",)])
+def test_entry_without_optional_parts(tmp_path, gone):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for part in gone:
+        shutil.rmtree(copy / part) if (copy / part).is_dir() else (copy / part).unlink(missing_ok=True)
+    told = subprocess.run(
+        [sys.executable, "-c", "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.environ.get("PYTHONPATH", "").replace(ROOT, "")}
+    )
+    assert not told.returncode, told.stderr
+    queries, sql = json.loads(told.stdout.splitlines()[-1])
+    assert set(catalogue.QUERIES) <= set(queries) and set(catalogue.ORACLES) <= set(sql) and "pipeline" not in queries
+    assert any(q.startswith("op1_") for q in queries) == (copy / "lodestore" / "llm").is_dir()
+
+
+@pytest.mark.skipif(not os.path.isdir(os.path.join(ROOT, "lodestore", "llm")), reason="the pipeline is imported with the subpackage only")
+def test_entry_passes_other_errors_on(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    (copy / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.environ.get("PYTHONPATH", "").replace(ROOT, "")})
+    assert told.returncode and "a_module_that_is_not_there" in told.stderr
