@@ -18,6 +18,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+BATCH_BYTES = 8 << 20
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text, A-Z lower-cased; none for null."""
     return WORD.findall(text.translate(LOWER)) if text else []
@@ -71,20 +74,30 @@ def whole_groups(batches, names: list[str]):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         existing = spark.sparkContext.getCheckpointDir()
         if existing:
             return existing
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="lodestore-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Batches that go to Python hold ``BATCH_BYTES`` at most, whatever the length of their texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The same rows, read from a Parquet table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession
+    batches_by_bytes(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/lodestore-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
@@ -92,6 +105,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches_by_bytes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,12 +9,17 @@ windows of neighbouring partitions, of which there are at most ``window_count``
 partition, are merged best-fit, largest first.  Only rows of pieces are moved,
 never ids.
 
+Ids are those of the tokenizer library without added special tokens; a special
+token's name in a text is that token, as the library has it.
+
 Defined cases: a null or empty text is its end id alone; a null doc_id stays
 null; repeated rows are packed one by one.  Sequence ids are unique but have gaps.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -33,40 +38,59 @@ GAP = re.compile(r"[ \t\n\r]+")
 _LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\x0b\x0c\r \x85\xa0"
 #: The tokenizer's pre-tokens, for texts below code point 256, where case, letters and numbers are settled.
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-MEMORY = 600_000
+#: Parts that a generation of the memory holds, and the longest that are remembered.
+MEMORY, SHORT = 150_000, 64
 TOGETHER = 64
 
 
 class WordEncoder:
     """Ids of a text by a tokenizer that drops white space; distinct parts are encoded once, up to a bound.
 
-    A part is a pre-token or, in texts with code points from 256 on, a word.
+    A part is a pre-token or, in texts with code points from 256 on, a word.  The
+    memory has two generations of ``MEMORY`` parts: when the younger is full it
+    becomes the older, and what is used again moves back.  A text that holds one
+    of the tokenizer's special tokens goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[ends] = True
-        self.memory: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def parts(self, text: str | None) -> list[str]:
         if not text:
             return []
+        if any(t in text for t in self.special):
+            return [text]
         if text.isascii() or max(text) < "\u0100":
             return PIECE.findall(text.lower())
         return [w for w in GAP.split(text) if w]
 
-    def learn(self, parts: set[str]) -> None:
-        new = [w for w in parts if w not in self.memory]
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = list(parts)
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of each part."""
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out, new = {}, []
+        for w in parts:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                young[w] = ids
+            out[w] = ids
         single = [w for w in new if PIECE.fullmatch(w)]  # one pre-token, so one id with a word end, its last
         rest = [w for w in new if not PIECE.fullmatch(w)]
+        found: dict[str, bytes] = {}
         for i in range(0, len(single), 256 * TOGETHER):
             groups = [single[k : k + TOGETHER] for k in range(i, min(i + 256 * TOGETHER, len(single)), TOGETHER)]
             for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -77,12 +101,15 @@ class WordEncoder:
                     continue
                 data, at = ids.tobytes(), 0
                 for w, stop in zip(group, stops, strict=True):
-                    self.memory[w] = data[4 * at : 4 * stop]
+                    found[w] = data[4 * at : 4 * stop]
                     at = stop
-        for i in range(0, len(rest), 20_000):
-            some = rest[i : i + 20_000]
+        for i in range(0, len(rest), 5000):
+            some = rest[i : i + 5000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memory[w] = np.array(e.ids, dtype="<u4").tobytes()
+                found[w] = np.array(e.ids, dtype="<u4").tobytes()
+        young.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
+        out.update(found)
+        return out
 
     def batch(self, texts: list[str | None], end_id: int):
         """For each text its ids as little-endian 32-bit numbers, the end id last."""
@@ -91,8 +118,7 @@ class WordEncoder:
         distinct: set[str] = set()
 
         def flush():
-            self.learn(distinct)
-            get = self.memory.__getitem__
+            get = self.learn(distinct).__getitem__
             for found in group:
                 yield b"".join(map(get, found)) + tail
 
@@ -101,13 +127,19 @@ class WordEncoder:
             found = self.parts(text)
             group.append(found)
             distinct.update(found)
-            size += len(found)
-            if size > 200_000:
+            size += len(text or "")
+            if size > 1_000_000:
                 yield from flush()
                 group, distinct, size = [], set(), 0
         yield from flush()
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker process, with its memory, for all tasks that it runs."""
+    return WordEncoder(path)
+
+
 class Windows:
     """Open windows by room left; emitting gives (window number, fill)."""
 
@@ -146,7 +178,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, window
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         windows = Windows(length, window_count, min_cut)
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}

@@ -94,12 +94,23 @@ def test_packing_keeps_every_id_once(spark, docs, texts):
 
 def test_word_parts_equal_library():
     library, mine = Tokenizer.from_file(WORD_BPE), packing.WordEncoder(WORD_BPE)
-    library.encode_special_tokens = True
-    odd = ["don't I'LL ''s", "ÀÉ ß µm x² ½ ª\x85b\xa0c\x1fd", "a\x0bb\x0cc", "é İ ΣΑΣ", "<|endoftext|> </w> </w", ""]
+    odd = ["don't I'LL ''s", "ÀÉ ß µm x² ½ ª\x85b\xa0c\x1fd", "a\x0bb\x0cc", "é İ ΣΑΣ", "<|endoftext|> </w> </w", "a <|endoftext|> b", "x<|startoftext|>Y 漢", "<|endoftext", ""]
     for t, data in zip(odd, mine.batch(odd, 1), strict=True):
         assert np.frombuffer(data, "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_the_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    library, mine = Tokenizer.from_file(WORD_BPE), packing.WordEncoder(WORD_BPE)
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdé漢") for _ in range(r.choice([1, 3, 90]))) for _ in range(15)) for _ in range(60)]
+    for _ in range(2):
+        for t in texts:
+            (data,) = mine.batch([t], 1)
+            assert np.frombuffer(data, "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
+            assert len(mine.young) <= 50 and len(mine.old) <= 50 and all(len(w) <= packing.SHORT for w in mine.young)
+
+
 def test_packing_of_an_empty_table(empty):
     assert packing.pack(empty, WORD_BPE).count() == 0
 
