@@ -14,10 +14,13 @@ same set are one class; the work below is on classes.
   the threshold it goes.  The full sets of the others are intersected.
 * A list of up to ``SMALL`` classes gives all its pairs.  A longer one gives
   pairs with one pivot a round, the same for lists of the same classes at first,
-  another for each list later.  After ``ROUNDS`` rounds the lists that still cross
-  components are settled whole: the full sets of two blocks of ``CHUNK`` classes at
-  most are intersected as a matrix product, and at most one edge a class comes out.
-  No link between components is missed, and no list gives all its pairs.
+  another for each list later; a pivot of many pairs is salted.  After ``ROUNDS``
+  rounds the lists that still cross components are settled whole, in blocks of two
+  chunks of classes.  First the sketches of a block are intersected as a matrix
+  product, which tells the classes that may have a link into another component;
+  then the full sets of these.  At most one edge a class comes out.  No link
+  between components is missed, and no list gives all its pairs.  Chunks are
+  bounded by classes (``CHUNK``) and by hashes (``LOAD``).
 
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; texts under five words have one shingle, the whole sequence;
@@ -43,10 +46,12 @@ SHINGLE = 5
 KEPT = 64
 SMALL = 8
 ROUNDS = 2
-CHUNK = 1024
+CHUNK, LOAD = 1024, 1 << 19
 SIGMAS = 5
-#: Bits of the filter that picks the texts whose sets are needed; a full filter picks more, never fewer.
-FILTER_BITS = 24
+#: Pairs that share a salt of their pivot.
+SALTED = 1024
+#: The filter that picks the texts whose sets are needed has so many bits as a power of two, at least and at most; a full one picks more, never fewer.
+FEW_BITS, MOST_BITS = 20, 26
 
 
 def shingles(text: str | None, hashes: _shared.WordHashes) -> np.ndarray:
@@ -78,19 +83,24 @@ def lists_type(values: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp (null for an empty set) and the sketch of every row."""
+    """doc_id, mark (hash of the text), n, fp (null for an empty set) and the sketch of every row."""
 
     def run(batches):
         hashes = _shared.WordHashes()
         for b in batches:
             sets = [shingles(t, hashes) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), lists_type([s[:KEPT] for s in sets])],
-                ["doc_id", "n", "fp", "sketch"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), lists_type([s[:KEPT] for s in sets])],
+                ["doc_id", "mark", "n", "fp", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp binary, sketch array<long>")
+    return docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, n long, fp binary, sketch array<long>")
+
+
+def _mark():
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -123,12 +133,13 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """fp and the full set (array of long) of every class in ``wanted`` (rep, fp)."""
     spark = docs.sparkSession
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    power = min(MOST_BITS, max(FEW_BITS, (16 * wanted.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << power))
     words = (
         wanted.select(bit("rep").alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
-    )  # 2 ** (FILTER_BITS - 5) rows at most
-    table = np.zeros(1 << (FILTER_BITS - 5), dtype=np.int64)
+    )  # 2 ** (MOST_BITS - 5) rows at most
+    table = np.zeros(1 << (power - 5), dtype=np.uint32)
     table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(table)
 
@@ -136,11 +147,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         hashes = _shared.WordHashes()
         for b in batches:
             at = b.column(1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((shared.value[at >> 5] >> (at & 31)) & 1)
-            sets = [shingles(t, hashes) for t in b.column(0).take(pa.array(hit)).to_pylist()]
-            sets = [s for s in sets if len(s)]
-            for i in range(0, len(sets), 500):
-                part = sets[i : i + 500]
+            hit = np.flatnonzero((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            for i in range(0, len(hit), 200):
+                part = [shingles(t, hashes) for t in b.column(0).take(pa.array(hit[i : i + 200])).to_pylist()]
+                part = [s for s in part if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in part], pa.binary()), lists_type(part)], ["fp", "whole"])
 
     found = docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "fp binary, whole array<long>")
@@ -148,10 +158,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-    ).distinct()
+    """Distinct pairs a < b whose sizes allow the threshold; salts deal the pairs of a pivot out."""
+    swap = F.col("a") > F.col("b")
+    turned = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("salt_a", "salt_b"), ("salt_b", "salt_a"))]
+    near = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select(*turned)
+    return near.groupBy("a", "b", "na", "nb").agg(F.max("salt_a").alias("salt_a"), F.max("salt_b").alias("salt_b"))
 
 
 def _with_components(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -170,64 +181,123 @@ def candidates(lists: DataFrame, roots: DataFrame | None, turn: int, percent: in
     near = joined.where(F.col("g") <= SMALL)
     left = near.select("v", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = near.select("v", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "v").where("a < b and ca <> cb").select("a", "b", "na", "nb")
+    pairs = left.join(right, "v").where("a < b and ca <> cb").select("a", "b", "na", "nb", F.lit(0).alias("salt_a"), F.lit(0).alias("salt_b"))
     star = joined.where((F.col("g") > SMALL) & (F.col("p.comp") != F.col("comp"))).select(
-        F.col("p.fp").alias("a"), F.col("fp").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")
+        F.col("p.fp").alias("a"), F.col("fp").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"),
+        F.pmod(F.xxhash64("fp"), F.ceil(F.col("g") / SALTED)).cast("int").alias("salt_a"), F.lit(0).alias("salt_b"),
     )
     return _sized(pairs.unionByName(star), percent)
 
 
-def remaining(lists: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components which the lists that still cross components hold."""
-    rows = _with_components(lists, roots)
-    crossing = rows.groupBy("v").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v", "g")
-    chunks = F.ceil(F.col("g") / CHUNK).cast("int")
+def _blocks(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows (v, fp, n, comp) of lists that cross components, in blocks (v, i, j) of two chunks, with their ``values`` by fp."""
+    crossing = rows.groupBy("v").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("load"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    chunks = F.greatest(F.ceil(F.col("g") / CHUNK), F.ceil(F.col("load") / LOAD)).cast("int")
     placed = (
-        rows.join(crossing, "v").withColumn("c", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+        rows.join(crossing.select("v", chunks.alias("c")), "v").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, c - 1)")))
-        .select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "comp")
+        .select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "comp")
     )
-    names = ["v", "i", "j"]
+    return placed.join(values, "fp").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+
+BLOCK = ["v", "i", "j"]
+
+
+def _each_block(batches, column: str):
+    """(first row, the rows' arrays, numbers of their components, table) of every block."""
+    for table in _shared.whole_groups(batches, BLOCK):
+        keys = [table.column(c).to_numpy() for c in BLOCK]
+        new = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+        comp = table.column("comp").to_pandas().factorize()[0]
+        lists = table.column(column).combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            yield s, [flat[ends[k] : ends[k + 1]] for k in range(s, e)], comp[s:e], table
+
+
+def remaining(lists: DataFrame, roots: DataFrame | None, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components which the lists that still cross components hold."""
+
+    def screen(batches):
+        for s, found, comp, table in _each_block(batches, "sketch"):
+            part = table.slice(s, len(found)).select(["v", "fp", "n", "comp"])
+            may = _may_link(found, part.column("n").to_numpy(), comp, percent)
+            yield from part.take(pa.array(np.flatnonzero(may))).to_batches()
 
     def settle(batches):
-        for table in _shared.whole_groups(batches, names):
-            keys = [table.column(c).to_numpy() for c in names]
-            new = np.zeros(table.num_rows, dtype=bool)
-            for k in keys:
-                new[1:] |= k[1:] != k[:-1]
-            starts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
-            fps, comp = table.column("fp").to_pylist(), table.column("comp").to_pandas().factorize()[0]
-            whole = table.column("whole").combine_chunks()
-            flat, ends = whole.flatten().to_numpy(), np.append(0, np.cumsum(whole.value_lengths().to_numpy()))
-            out = []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                out += [(fps[s + x], fps[s + y]) for x, y in _links_in_list([flat[ends[k] : ends[k + 1]] for k in range(s, e)], comp[s:e], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    loaded = placed.join(sets, "fp").repartition(*names).sortWithinPartitions(*names)
-    return loaded.mapInArrow(settle, "a binary, b binary").distinct()
+        for s, found, comp, table in _each_block(batches, "whole"):
+            fps = table.column("fp").slice(s, len(found)).to_pylist()
+            out = [(fps[x], fps[y]) for x, y in _links_in_list(found, comp, percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
+    rows = _with_components(lists, roots).select("v", "fp", "n", "comp")
+    screened = _shared.written(_blocks(rows, sketches).mapInArrow(screen, "v long, fp binary, n long, comp binary").distinct())
+    return _blocks(screened, sets).mapInArrow(settle, "a binary, b binary").distinct()
 
-def _links_in_list(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """At most one edge a class, which together join what links between components join."""
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share."""
     size = len(sets)
-    if size < 2 or (comp == comp[0]).all():
-        return []
-    n = np.array([len(s) for s in sets])
-    own = np.repeat(np.arange(size), n)
+    own = np.repeat(np.arange(size), [len(s) for s in sets])
+    both = np.zeros((size, size), dtype=np.float32)
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1  # values of one class only meet nothing
     shared = times[at] > 1
     own, at = own[shared], column[at[shared]]
-    width = int(column[-1]) + 1
+    width = int(column[-1]) + 1 if len(column) else 0
     order = np.argsort(at, kind="stable")
     own, at = own[order], at[order]
-    both = np.zeros((size, size), dtype=np.float32)
-    for low in range(0, width, 2048):
-        s = slice(*np.searchsorted(at, [low, low + 2048]))
-        block = np.zeros((size, min(2048, width - low)), dtype=np.float32)
+    for low in range(0, width, 1024):
+        s = slice(*np.searchsorted(at, [low, low + 1024]))
+        block = np.zeros((size, min(1024, width - low)), dtype=np.float32)
         block[own[s], at[s] - low] = 1
         both += block @ block.T
+    return both
+
+
+def _may_link(sketches: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches leave it open that a set has a partner in another component."""
+    size, p = len(sketches), percent / 100
+    may = np.zeros(size, dtype=bool)
+    if size < 2 or (comp == comp[0]).all():
+        return may
+    both = _intersections(sketches)
+    kept = np.array([len(s) for s in sketches])
+    most = np.iinfo(np.int64).max
+    padded = np.full((size, KEPT), most)
+    padded[np.repeat(np.arange(size), kept), np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)] = np.concatenate(sketches)
+    tops = np.where(n > KEPT, padded[np.arange(size), kept - 1], most - 1)
+    slack = lambda u: SIGMAS * np.sqrt(u * p * (1 - p))
+    few = np.maximum(p * kept - slack(kept), 0.5)  # the union sketch holds all of the smaller sketch
+    for low in range(0, size, 128):
+        some = slice(low, low + 128)
+        x, y = np.nonzero((both[some] >= np.minimum(few[some, None], few[None, :]) - 1e-6) & (comp[some, None] != comp[None, :]))
+        x += low
+        for at in range(0, len(x), 1 << 14):
+            a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            open_yet = ~(may[a] & may[b])
+            a, b = a[open_yet], b[open_yet]
+            top = np.minimum(tops[a], tops[b])[:, None]
+            i = both[a, b]
+            u = (padded[a] <= top).sum(axis=1) + (padded[b] <= top).sum(axis=1) - i
+            exact = (n[a] <= KEPT) & (n[b] <= KEPT)
+            fits = i >= u * p - np.where(exact, 0, slack(u)) - 1e-6
+            may[a[fits]] = may[b[fits]] = True
+    return may
+
+
+def _links_in_list(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """At most one edge a class, which together join what links between components join."""
+    size = len(sets)
+    if size < 2 or (comp == comp[0]).all():
+        return []
+    n = np.array([len(s) for s in sets])
+    both = _intersections(sets)
     first, second = [], []
     for low in range(0, size, 256):
         some = slice(low, low + 256)
@@ -247,31 +317,34 @@ def _links_in_list(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> li
     return [(i, int(t)) for i, t in enumerate(tops.tolist()) if i != t]
 
 
+def _beside(pairs: DataFrame, side: str, values: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with the class's value at one side; of a pivot's value there is a copy for each salt."""
+    salt = f"salt_{side}"
+    copies = pairs.select(F.col(side).alias("fp"), salt).distinct().join(values, "fp")
+    return pairs.join(copies.select(F.col("fp").alias(side), salt, F.col(column).alias(f"{column}_{side}")), [side, salt])
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose union sketch doesn't rule the threshold out."""
-    a = sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"))
     bound = lambda s, n: f"if({n} > {KEPT}, element_at({s}, -1), {2**63 - 1})"
     p = percent / 100
+    both = _beside(_beside(pairs, "a", sketches, "sketch"), "b", sketches, "sketch")
     return (
-        pairs.join(a, "a").join(b, "b")
-        .withColumn("top", F.expr(f"least({bound('sa', 'na')}, {bound('sb', 'nb')})"))
-        .withColumn("u", F.expr("size(filter(array_union(sa, sb), x -> x <= top))"))
-        .withColumn("i", F.expr("size(filter(array_intersect(sa, sb), x -> x <= top))"))
+        both.withColumn("top", F.expr(f"least({bound('sketch_a', 'na')}, {bound('sketch_b', 'nb')})"))
+        .withColumn("u", F.expr("size(filter(array_union(sketch_a, sketch_b), x -> x <= top))"))
+        .withColumn("i", F.expr("size(filter(array_intersect(sketch_a, sketch_b), x -> x <= top))"))
         .where(F.expr(f"i >= u * {p}D - if(na <= {KEPT} and nb <= {KEPT}, 0D, {SIGMAS} * sqrt(u * {p * (1 - p)}D)) - 1e-9D"))
-        .select("a", "b", "na", "nb")
+        .select(*pairs.columns)
     )
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("fp").alias("a"), F.col("whole").alias("wa"))
-    b = sets.select(F.col("fp").alias("b"), F.col("whole").alias("wb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))
+    both = _beside(_beside(pairs, "a", sets, "whole"), "b", sets, "whole").withColumn("i", F.size(F.array_intersect("whole_a", "whole_b")))
     return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
-def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, mark, n, fp and ``group`` of every row: rows of one group are linked; null where a text has no words."""
     rows = _shared.written(signatures(docs))
     classes = _shared.written(
         rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -287,28 +360,55 @@ def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = _shared.written(pairs)
-        new = _shared.written(confirmed(plausible(pairs, sketches, percent), sets, percent))
+        likely = _shared.written(plausible(pairs, sketches, percent))
+        new = _shared.written(confirmed(likely, sets, percent))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             roots = components(links)
-    new = _shared.written(remaining(lists, roots, sets, percent))
+    new = _shared.written(remaining(lists, roots, sketches, sets, percent))
     if not new.isEmpty():
         roots = components(new if links is None else links.unionByName(new))
+    found = rows.drop("sketch")
+    if roots is None:
+        return found.withColumn("group", F.col("fp"))
+    joined = found.where("fp is not null").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
+    empty = found.where("fp is null").withColumn("group", F.lit(None).cast("binary"))
+    return joined.select(*empty.columns).unionByName(empty)
+
 
-    named = classes.select("fp", "rep")
-    if roots is not None:
-        members = named.join(roots, named.fp == roots.node).select("fp", "rep", "root")
-        least = members.groupBy("root").agg(F.min("rep").alias("first"))
-        named = named.join(members.join(least, "root").select("fp", "first"), "fp", "left").select("fp", F.coalesce("first", "rep").alias("rep"))
-    out = rows.select("doc_id", "n", "fp").join(named, "fp", "left").withColumn("component_id", F.coalesce("rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    rows = _shared.written(grouped(docs, percent))
+    first = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    together = rows.where("group is not null").join(first, "group", "left")
+    named = together.unionByName(rows.where("group is null"), allowMissingColumns=True).withColumn("component_id", F.coalesce("first", "doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the least doc_id stays."""
-    gone = link_documents(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without near-duplicates: one row of each group stays, and every row without words.
+
+    It is a row of the least doc_id (nulls last), of the least text hash among
+    these; of rows that repeat both, any one.  Other rows of that doc_id that are
+    not linked with it stay.
+    """
+    rows = _shared.written(grouped(docs, percent))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("least")
+    several = rows.where("group is not null").groupBy("group").agg(least, F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = rows.where("group is not null").join(several, "group").select("doc_id", "mark", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark").alias("own"), "least")
+    # rows by id and text: the groups' first ones and the others
+    marked = _shared.written(members.groupBy("doc_id", "mark").agg(F.bool_or(F.col("own") == F.col("least")).alias("stays"), F.count(F.lit(1)).alias("times")))
+    keyed = docs.withColumn(MARK, _mark())
+    same = lambda d: (F.col(f"{d}.doc_id").eqNullSafe(keyed["doc_id"])) & (F.col(f"{d}.mark") == keyed[MARK])
+    kept = keyed.join(marked.where("not stays or times > 1").alias("x"), same("x"), "left_anti")
+    again = marked.where("stays and times > 1")
+    if not again.isEmpty():
+        kept = kept.unionByName(keyed.join(again.alias("y"), same("y"), "left_semi").dropDuplicates(["doc_id", MARK]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+MARK = "near_dup: hash of the text"
 
 
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,18 @@ def test_documents_against_brute_force(spark, docs, texts):
     assert len(set(roots)) < len(roots)
 
 
+def test_salted_pivots(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(near_dup, "SALTED", 3)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    _, roots = brute(texts)
+    got = {r.doc_id: r.component_id for r in near_dup.link_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == roots
+
+
 def test_lists_that_still_cross_are_settled(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(near_dup, "ROUNDS", 0)
     monkeypatch.setattr(near_dup, "CHUNK", 5)
+    monkeypatch.setattr(near_dup, "LOAD", 300)
     _, roots = brute(texts)
     got = {r.doc_id: r.component_id for r in near_dup.link_documents(docs).collect()}
     assert [got[i] for i in range(len(texts))] == roots
@@ -70,6 +79,42 @@ def test_deduplicate_keeps_columns(spark, docs, texts):
     assert sorted(r.doc_id for r in left.select("doc_id").collect()) == [i for i in range(len(texts)) if roots[i] == i]
 
 
+def test_deduplicate_loses_no_text(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n o", "p q"
+    data = [(2, a), (5, a), (5, b), (7, c), (7, c), (7, c.upper()), (None, a), (None, "r s t u v w"), (None, "r s t u v w"), (9, ""), (9, ""), (4, None)]
+    df = spark.createDataFrame([(i, t, k, "x", "y", 1) for k, (i, t) in enumerate(data)], "doc_id long, text string, fp int, mark string, `group` string, n int")
+    left = near_dup.deduplicate(df)
+    assert left.columns == df.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in left.collect())
+    assert got in [sorted((str(i), str(t)) for i, t in [(2, a), (5, b), (7, x), (None, "r s t u v w"), (9, ""), (9, ""), (4, None)]) for x in (c, c.upper())]
+
+
+def test_screening_of_blocks_by_sketches():
+    """No set of a pair at the threshold is screened out, and few of the others are kept."""
+    rng = np.random.default_rng(3)
+    sets, comp = [], []
+    passage = np.unique(rng.integers(1 << 62, size=60))
+    for k in range(120):
+        size = int(rng.choice([10, 50, 64, 70, 150, 600]))
+        own = np.unique(rng.integers(1 << 62, size=size))
+        sets.append(np.union1d(own, passage) if k % 2 else own)
+        comp.append(k)
+        if k % 5 == 0:  # a partner at the threshold
+            away = rng.permutation(sets[-1])[: len(sets[-1]) - int(len(sets[-1]) * 0.14)]
+            new = rng.integers(1 << 62, size=int(len(away) * 0.14))
+            sets.append(np.union1d(away, new))
+            comp.append(1000 + k)
+    sketches, n = [s[: near_dup.KEPT] for s in sets], np.array([len(s) for s in sets])
+    may = near_dup._may_link(sketches, n, np.array(comp), 75)
+    linked = np.zeros(len(sets), dtype=bool)
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (n[i] + n[j] - both):
+                linked[[i, j]] = True
+    assert linked.sum() > 10 and may[linked].all() and may.sum() < 0.8 * len(sets)
+
+
 @pytest.mark.parametrize("chunk", [1024, 7])
 def test_vectors_against_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(embedding_dup, "CHUNK", chunk)
