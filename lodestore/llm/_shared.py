@@ -26,6 +26,16 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(LOWER)) if text else []
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, A-Z lower-cased: bytes are lowered and split by the same ASCII rules."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def word_hash(word: bytes) -> int:
+    """64 bits, alike in any process."""
+    return xxhash.xxh3_64_intdigest(word)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound; any process gives the same ones."""
 

@@ -1,30 +1,38 @@
-"""LM scoring: a hierarchical Pitman-Yor bigram model seated by Gibbs sampling.
-
-Tokens are a text's words and one end.  The restaurant of a context (the word
-before, the end at the start of a text) has a class restaurant as its parent,
-which it shares with the other contexts of its class; the classes share one root
-restaurant, so the back-off learns from the whole corpus, and the root's parent is
-the uniform distribution over the known types and one unknown.  A class holds the
-contexts of about ``CLASS_TOKENS`` training tokens, whatever the size of the
-corpus; the root is cut by the words' hashes into shards; a context of more than half as many is split by the next word's hash into pieces,
-each a restaurant of its own, and the piece is predicted first, by counts.
-
-Seating: in a sweep the tables of each dish in each restaurant are drawn from
-their conditional distribution given the other dishes' tables (exactly, by
-generalised Stirling numbers, up to ``EXACT`` customers; above by a Poisson
-process over blocks of customers); each table sends one customer to the parent.
-After each of the first ``BURN`` sweeps the tables that the classes send up are
-summed by word and the root is seated anew; its probabilities are the classes'
-base in the next sweep.  During the ``SAMPLES`` sweeps that follow, whose
-predictive probabilities are averaged, the root stays as it is.
-
-One pass counts the training words.  A second computes the unigram base score:
-words whose share is at least ``2 ** -HEAD`` (so at most ``2 ** HEAD`` words) are
-looked up in a broadcast table, the others by a join.  A third sends the bigrams,
-as compact arrays, to their class's task, which seats them, once for each exchange
-with the root, and at last returns the sum of logarithms for each text.  What goes
-to and from the root are a class's words, table counts and seats, as arrays.  ``docs`` is read three times and must be partitioned
-alike each time, as file scans are.
+"""LM scoring: a hierarchical Pitman-Yor trigram model, seated by Gibbs sampling.
+
+Tokens are a text's words and one end.  A word's restaurant is that of the two
+tokens before it (ends at the start of a text); its parent is the restaurant of
+the one token before it, which all longer contexts with that token share; the
+parent of all of these is one root restaurant of the whole corpus, and the root's
+parent is the uniform distribution over the known types and one unknown.
+
+Seating is blocked Gibbs sampling, from the longest contexts to the root.  Given
+the parent's distribution, the restaurants below it are independent, and given an
+auxiliary gamma variable of its own, so are a restaurant's dishes: with
+``x ~ Gamma(strength / d + tables)`` the tables of a dish of c customers follow
+``S_d(c, t) * (d * x * P(dish)) ** t``, where S are generalised Stirling numbers
+(exactly up to ``EXACT`` customers; above, customers are seated by blocks).  Each
+table sends one customer to the parent, and the parent's distribution is drawn
+from its posterior by gamma variables, the part that it has yet to draw from its
+own parent taken at the mean.  The predictive probabilities of ``SAMPLES`` sweeps
+after ``BURN`` are averaged.
+
+Classes: a one-token context and all longer ones that end in it go to one of the
+classes of about ``CLASS_TOKENS`` training tokens.  A token that occurs in more
+than half as many is split by the token before it, and a pair of tokens that does
+by the text's number; every piece is a restaurant of its own below the root and
+holds about half a class, so no class grows with the corpus.  In each of the
+``EXCHANGES`` the classes send their tables, by word, to shards of the root, which
+seat the root and answer with its distribution and the words' corpus counts.
+
+Passes: one counts words and the frequent pairs.  One makes each run of texts'
+trigrams into packed arrays, one for each class, and the run's own row; these are
+dealt once and read again by every exchange.  Row numbers are given there and
+nowhere else.  The last exchange answers each run with one packed array a class,
+and a run's answers are summed by text.
+
+The base score takes the counts of the ``2 ** HEAD`` most frequent words from a
+broadcast table and those of the others from the root.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as the
 empty text for the fold; repeated rows are counted and scored one by one; without
@@ -43,34 +51,56 @@ from pyspark.sql import functions as F
 
 from lodestore.llm import _shared
 
-CLASS_TOKENS = 1 << 21
-HEAD = 20
-EXACT = 32
-BURN, SAMPLES = 3, 4
-CONTEXT_STRENGTH, CLASS_STRENGTH, ROOT_STRENGTH = 2.0, 10.0, 10.0
+CLASS_TOKENS = 1 << 20
+HEAD, HOT_PAIRS = 20, 18
+EXACT = 256
+EXCHANGES, BURN, SAMPLES = 2, 2, 4
+LONG_STRENGTH, SHORT_STRENGTH, ROOT_STRENGTH = 0.5, 2.0, 10.0
 #: Classes whose words a shard of the root holds, in number; sweeps of a shard over its own words.
 SHARD_CLASSES, ROOT_SWEEPS = 8, 3
-#: Words whose hashes a task remembers.
-REMEMBERED = 250_000
-END = ""
+#: Tokens and texts of a run, and the words that a task remembers.
+RUN_TOKENS, RUN_TEXTS, REMEMBERED = 1 << 20, 1 << 16, 300_000
+#: Occurrences in a run from which a pair is counted.
+OFTEN = 16
+END = b""
 HELD_OUT = 1
-NARROW = np.uint64((1 << 40) - 1)
-
-
-def tokens(text: str | None, hashes: _shared.WordHashes) -> np.ndarray:
-    """Hashes of the tokens, the end last."""
-    return hashes.of([*_shared.words(text), END])
-
-
-def _narrow(values: np.ndarray) -> bytes:
-    """The low 40 bits of each number."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+TAIL = np.uint64(1 << 63)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+# ---------------------------------------------------------------- packed arrays
+
+_CODEC = "zstd"
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as compressed bytes; whole ones in the least width that holds them."""
+    head, parts = [], []
+    for a in arrays:
+        if a.dtype.kind == "f":
+            kind, width = a.dtype.itemsize << 4, a.dtype.itemsize
+        else:
+            most = int(a.max()) if len(a) else 0
+            width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+            kind = width
+            a = a.astype(f"<u{width}")
+        head += [kind, len(a)]
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T).tobytes())
+    body = b"".join([np.array([len(arrays), *head], dtype="<u4").tobytes(), *parts])
+    return len(body).to_bytes(8, "little") + pa.Codec(_CODEC, 1).compress(body, asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    body = pa.Codec(_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    count = int.from_bytes(body[:4], "little")
+    head = np.frombuffer(body, "<u4", 2 * count, 4).tolist()
+    at, out = 4 + 8 * count, []
+    for kind, n in zip(head[::2], head[1::2], strict=True):
+        width = kind >> 4 or kind
+        planes = np.frombuffer(body, np.uint8, width * n, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<{'f' if kind >> 4 else 'u'}{width}").reshape(-1))
+        at += width * n
+    return out
 
 
 # ---------------------------------------------------------------- the model
@@ -87,33 +117,36 @@ def stirling(most: int, d: float) -> np.ndarray:
     return out
 
 
-def draw_tables(c, t, others, p, strength: float, d: float, table: np.ndarray, random) -> np.ndarray:
-    """New table counts of dishes with c customers, given the tables of a restaurant's other dishes."""
+def draw_tables(c: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, random) -> np.ndarray:
+    """Tables of dishes with c customers: t with probability in proportion to ``S_d(c, t) * a ** t``."""
     out = np.minimum(c, 1)
-    for n in range(2, EXACT + 1):
-        at = np.flatnonzero(c == n)
-        if not len(at):
-            continue
-        tables = np.arange(1, n + 1)
-        rise = np.cumsum(np.log(strength + d * (others[at, None] + tables - 1)), axis=1)
-        logits = table[n, 1 : n + 1] + tables * np.log(p[at])[:, None] + rise
-        weights = np.exp(logits - logits.max(axis=1, keepdims=True))
-        edge = np.cumsum(weights, axis=1)
-        out[at] = 1 + (random.random(len(at))[:, None] * edge[:, -1:] > edge).sum(axis=1)
-    at = np.flatnonzero(c > EXACT)
-    if len(at):
-        n, now, seated = c[at], np.ones(len(at)), np.ones(len(at))
+    order = np.argsort(c, kind="stable")
+    order = order[np.searchsorted(c[order], 2) :]
+    sizes, starts = np.unique(c[order], return_index=True)
+    with np.errstate(divide="ignore"):
+        log_a = np.log(a)
+    for n, s, e in zip(sizes.tolist(), starts.tolist(), np.append(starts, len(order))[1:].tolist(), strict=True):
+        if n >= len(table):
+            break
+        step = max(1, (1 << 19) // n)
+        for low in range(s, e, step):
+            at = order[low : min(e, low + step)]
+            logits = table[n, 1 : n + 1] + np.arange(1, n + 1) * np.maximum(log_a[at], -600.0)[:, None]
+            edge = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (random.random(len(at))[:, None] * edge[:, -1:] > edge).sum(axis=1)
+    at = np.flatnonzero(c >= len(table))
+    if len(at):  # by blocks of customers, each against the tables before it
+        n, now, seated, new = c[at], np.ones(len(at)), np.ones(len(at)), a[at]
         while (seated < n).any():
             then = np.minimum(n, np.maximum(seated + 1, np.floor(seated * 1.5)))
-            a = (strength + d * (others[at] + now)) * p[at]
-            mean = a * np.log((then + a - d * now) / np.maximum(seated + a - d * now, 1e-9))
+            mean = new * np.log((then + new - d * now) / np.maximum(seated + new - d * now, 1e-9))
             now = np.minimum(now + np.minimum(random.poisson(np.maximum(mean, 0)), then - seated), then)
             seated = then
         out[at] = now.astype(out.dtype)
     return out
 
 
-def discount(once: int, twice: int) -> float:
+def discount(once: float, twice: float) -> float:
     """The discount for so many dishes with one and with two customers."""
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
@@ -122,362 +155,590 @@ def _few(counts: np.ndarray) -> tuple[int, int]:
     return int((counts == 1).sum()), int((counts == 2).sum())
 
 
+class Level:
+    """The restaurants of one length of context: ``place`` and ``dish`` of each (restaurant, word)."""
+
+    def __init__(self, place: np.ndarray, parent: np.ndarray, count: np.ndarray, strength: float):
+        """parent: where the dish stands in the level above; count: customers, at first."""
+        self.place, self.parent, self.strength = place, parent, strength
+        self.places = int(place.max()) + 1 if len(place) else 0
+        self.c = count
+        self.t = np.minimum(count, 1)
+        self.d = discount(*_few(count))
+        self.table = stirling(EXACT, self.d)
+        self.refill()
+
+    def refill(self) -> None:
+        self.customers = np.bincount(self.place, weights=self.c, minlength=self.places)
+        self.tables = np.bincount(self.place, weights=self.t, minlength=self.places)
+
+    def seat(self, base: np.ndarray, random) -> None:
+        """Draws the tables; base: the parent's probability of each dish."""
+        x = random.standard_gamma(self.strength / self.d + self.tables)
+        self.t = draw_tables(self.c, self.d * x[self.place] * base, self.d, self.table, random)
+        self.tables = np.bincount(self.place, weights=self.t, minlength=self.places)
+
+    def drawn(self, base: np.ndarray, random) -> np.ndarray:
+        """The distribution given the seating, drawn; what is left to the parent is taken at its mean."""
+        own = random.standard_gamma(np.maximum(self.c - self.d * self.t, 0.0))
+        rest = random.standard_gamma(self.strength + self.d * self.tables)
+        total = np.bincount(self.place, weights=own, minlength=self.places) + rest
+        return (own + rest[self.place] * base) / total[self.place]
+
+    def predictive(self, base: np.ndarray) -> np.ndarray:
+        rest = self.strength + self.d * self.tables[self.place]
+        return (self.c - self.d * self.t + rest * base) / (self.strength + self.customers[self.place])
+
+
 class Seating:
-    """The restaurants of a class's contexts and the class's own.
+    """The restaurants of a class.
 
-    context, word: numbers from 0; count: training customers; spread: by how much
-    the parent's probability is to be raised (the pieces of the word's context).
-    ``root`` holds the root's probability of each word.
+    For each distinct trigram, sorted: ``long`` and ``short``, the numbers of its two
+    contexts, ``word`` and ``count`` of training customers; trigrams of one short
+    context and word stand together.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, spread: np.ndarray, seed):
-        self.random = np.random.default_rng(seed)
-        self.context, self.word, self.count, self.spread = context, word, count, spread
-        self.contexts, self.words = int(context.max()) + 1, int(word.max()) + 1
-        self.total = np.bincount(context, weights=count, minlength=self.contexts)
-        self.d1 = discount(*_few(count))
-        self.table1 = stirling(EXACT, self.d1)
-        self.t = np.minimum(count, 1)
-        self.several = np.flatnonzero(count >= 2)
-        customers = self._customers()
-        self.d0 = discount(*_few(customers))
-        self.table0 = stirling(EXACT, self.d0)
-        self.parent_t = np.minimum(customers, 1)
-
-    def _customers(self) -> np.ndarray:
-        return np.bincount(self.word, weights=self.t, minlength=self.words).astype(np.int64)
-
-    def sweep(self, root: np.ndarray) -> np.ndarray:
-        """Seats everybody anew; the class's probability of each pair's word, raised."""
-        customers, d0 = self._customers(), self.d0
-        self.parent_t = draw_tables(customers, self.parent_t, self.parent_t.sum() - self.parent_t, root, CLASS_STRENGTH, d0, self.table0, self.random)
-        p = (customers - d0 * self.parent_t + (CLASS_STRENGTH + d0 * self.parent_t.sum()) * root) / (CLASS_STRENGTH + customers.sum())
-        base = np.minimum(p[self.word] * self.spread, 1.0)
-        at = self.several
-        if len(at):
-            others = np.bincount(self.context, weights=self.t, minlength=self.contexts)[self.context[at]] - self.t[at]
-            self.t[at] = draw_tables(self.count[at], self.t[at], others, base[at], CONTEXT_STRENGTH, self.d1, self.table1, self.random)
-        return base
-
-    def sampled(self, root: np.ndarray) -> np.ndarray:
-        """Averaged probability of each pair."""
-        out = np.zeros(len(self.count))
-        for _ in range(SAMPLES):
-            base = self.sweep(root)
-            open_tables = np.bincount(self.context, weights=self.t, minlength=self.contexts)
-            out += (self.count - self.d1 * self.t + (CONTEXT_STRENGTH + self.d1 * open_tables[self.context]) * base) / (CONTEXT_STRENGTH + self.total[self.context])
+    def __init__(self, long: np.ndarray, short: np.ndarray, word: np.ndarray, count: np.ndarray, words: int):
+        new = np.ones(len(word), dtype=bool)
+        new[1:] = (short[1:] != short[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(new)
+        pair = np.cumsum(new) - 1
+        self.words, self.word = words, word[first]
+        self.long = Level(long, pair, count, LONG_STRENGTH)
+        self.short = Level(short[first], self.word, np.bincount(pair, weights=self.long.t, minlength=len(first)).astype(np.int64), SHORT_STRENGTH)
+
+    def sweep(self, root: np.ndarray, random) -> None:
+        """Seats everybody anew, the shared restaurants first; root: the root's probability of each word."""
+        base = root[self.word]
+        self.short.seat(base, random)
+        self.long.seat(self.short.drawn(base, random)[self.long.parent], random)
+        self.short.c = np.bincount(self.long.parent, weights=self.long.t, minlength=len(self.word)).astype(np.int64)
+        # a dish that has lost customers can't hold more tables than are left
+        self.short.t = np.minimum(self.short.t, self.short.c)
+        self.short.refill()
+
+    def sampled(self, root: np.ndarray, random) -> np.ndarray:
+        """Averaged predictive probability of each trigram."""
+        out = np.zeros(len(self.long.c))
+        for k in range(BURN + SAMPLES):
+            self.sweep(root, random)
+            if k >= BURN:
+                base = root[self.word]
+                self.short.seat(base, random)
+                out += self.long.predictive(self.short.predictive(base)[self.long.parent])
         return out / SAMPLES
 
+    def sent(self, root: np.ndarray, random) -> np.ndarray:
+        """The tables of each word that go up to the root."""
+        self.short.seat(root[self.word], random)
+        return np.bincount(self.word, weights=self.short.t, minlength=self.words).astype(np.int64)
 
-def predictive(context: np.ndarray, word: np.ndarray, count: np.ndarray, types: int, spread: np.ndarray, seed: int) -> np.ndarray:
-    """Averaged probability of each (context, word) under a class by itself, with the uniform distribution as its parent."""
-    seating = Seating(context, word, count, spread, seed)
-    uniform = np.full(seating.words, 1.0 / (types + 1))
-    for _ in range(BURN):
-        seating.sweep(uniform)
-    return seating.sampled(uniform)
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.long.t, self.short.t
 
+    def resume(self, long: np.ndarray, short: np.ndarray) -> None:
+        self.long.t = long.astype(np.int64)
+        self.long.refill()
+        self.short.c = np.bincount(self.long.parent, weights=self.long.t, minlength=len(self.word)).astype(np.int64)
+        self.short.t = short.astype(np.int64)
+        self.short.refill()
 
-# ---------------------------------------------------------------- the passes
 
+# ---------------------------------------------------------------- texts
 
-class Head:
-    """Counts of the frequent words, by hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+class Words(dict):
+    """Numbers of the words that a task has met, and their hashes."""
 
-    def of(self, wanted: np.ndarray) -> np.ndarray:
-        """Counts, 0 where a word isn't among the frequent ones."""
-        if not len(self.hashes):
-            return np.zeros(len(wanted), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == wanted, self.counts[at], 0)
+    def __init__(self):
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.hashes)
+        self.hashes.append(_shared.word_hash(word))
+        return number
+
+    def forget(self) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.hashes = []
+
+
+class Run:
+    """The tokens of some texts: their numbers in ``words``, the ends included, and the texts' sizes."""
+
+    def __init__(self, found: list[np.ndarray]):
+        self.tokens = np.concatenate(found)
+        self.sizes = np.array([len(x) for x in found], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def before(self, tokens: np.ndarray, end: int) -> np.ndarray:
+        """Each token's predecessor; the end before a text's first."""
+        out = np.empty_like(tokens)
+        out[1:] = tokens[:-1]
+        out[self.starts] = end
+        return out
 
 
-def _token_runs(batches, base: int, hashes: _shared.WordHashes, most: int = 1 << 20):
-    """(batch, first text in it, number of the first text, sizes, tokens) of runs of texts of about ``most`` tokens."""
-    at = base
+def runs(batches, words: Words):
+    """(Run, the other columns of its texts) for all texts, in order."""
+    found, size, columns = [], 0, []
     for b in batches:
-        found: list[np.ndarray] = []
-        size = first = 0
+        first = 0
         for i, text in enumerate(b.column(0).to_pylist()):
-            found.append(tokens(text, hashes))
-            size += len(found[-1])
-            if size >= most:
-                yield b, first, at + first, np.array([len(x) for x in found], dtype=np.int64), np.concatenate(found)
-                found, size, first = [], 0, i + 1
-        if found:
-            yield b, first, at + first, np.array([len(x) for x in found], dtype=np.int64), np.concatenate(found)
-        at += b.num_rows
+            listed = _shared.byte_words(text)
+            listed.append(END)
+            found.append(np.fromiter(map(words.__getitem__, listed), dtype=np.int32, count=len(listed)))
+            size += len(listed)
+            if size >= RUN_TOKENS or len(found) >= RUN_TEXTS:
+                columns.append(b.slice(first, i + 1 - first))
+                yield Run(found), pa.Table.from_batches(columns)
+                found, size, columns, first = [], 0, [], i + 1
+                words.forget()
+        if first < b.num_rows:
+            columns.append(b.slice(first))
+    if found:
+        yield Run(found), pa.Table.from_batches(columns)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _shared.mix(first * _A + second)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """w (hash as long), n: the tokens of the training rows."""
+    """w (hash as long), pair, n: the tokens of the training rows, and their pairs that are frequent in a run."""
 
     def run(batches):
-        for *_, found in _token_runs(batches, 0, _shared.WordHashes(REMEMBERED)):
-            w, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+        words = Words()
+        for r, _ in runs(batches, words):
+            hashes = np.array(words.hashes, dtype=np.uint64)
+            n = np.bincount(r.tokens, minlength=len(hashes))
+            met = np.flatnonzero(n)
+            both = np.sort(r.before(r.tokens, words[END]).astype(np.int64) << 32 | r.tokens)
+            start = np.flatnonzero(np.diff(both, prepend=-1))
+            times = np.diff(np.append(start, len(both)))
+            often = both[start[times >= OFTEN]]
+            pairs, times = _pair(hashes[often >> 32], hashes[often & 0xFFFFFFFF]), times[times >= OFTEN]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([hashes[met], pairs]).view(np.int64)), pa.array(np.repeat([False, True], [len(met), len(pairs)])), pa.array(np.concatenate([n[met], times]))], ["w", "pair", "n"]
+            )
 
     training = docs.where(_shared.fold() != HELD_OUT).select("text")
-    return training.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "w long, pair boolean, n long").groupBy("w", "pair").agg(F.sum("n").alias("n"))
+
+
+class Table:
+    """Numbers by hash, 0 for hashes that it lacks."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each is, -1 for those it lacks."""
+        if not len(self.hashes):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.places(wanted)
+        return np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
+
+
+def _table(rows: DataFrame) -> Table:
+    found = rows.select("w", "n").toPandas()
+    return Table(found["w"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64))
+
+
+PLACED = "key int, run long, ids array<{}>, data binary"
 
 
-def base_rows(docs: DataFrame, head, denominator: float) -> DataFrame:
-    """A row for each text with its frequent words' sums, and a row for each of its other words (w, n)."""
+def placed_runs(docs: DataFrame, shared, classes: int) -> DataFrame:
+    """For each run its own row (a key below 0: ids of the texts, sizes, base sums) and a row for each class (a key from 0)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "w", "n"]
 
     def run(batches):
-        log = math.log10(denominator)
-        for b, start, at, sizes, found in _token_runs(batches, TaskContext.get().partitionId() << 40, _shared.WordHashes(REMEMBERED)):
-            m = len(sizes)
-            owner = np.repeat(np.arange(m), sizes)
-            types, w = np.unique(found, return_inverse=True)
-            c = head.value.of(types)
-            value = np.where(c > 0, np.log10(c + 0.5) - log, 0.0)
-            known = (c > 0)[w]
-            sums = np.bincount(owner, weights=value[w], minlength=m)
-            n_known = np.bincount(owner[known], minlength=m)
-            nulls = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at + np.arange(m, dtype=np.int64)), b.column(1).slice(start, m), b.column(2).slice(start, m), pa.array(sizes), pa.array(n_known.astype(np.int64)), pa.array(sums), nulls, nulls], names
-            )
-            pairs, counts = np.unique(owner[~known] * len(types) + w[~known], return_counts=True)
-            empty = [pa.nulls(len(pairs), t) for t in (b.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at + pairs // len(types)), *empty, pa.array(types[pairs % len(types)].view(np.int64)), pa.array(counts.astype(np.int64))], names
-            )
+        head, hot = shared.value
+        words, number = Words(), TaskContext.get().partitionId() << 32
+        for r, columns in runs(batches, words):
+            number += 1
+            yield from _rows(r, columns, words, head, hot, classes, number)
 
     prepared = docs.select("text", "doc_id", (_shared.fold() == HELD_OUT).alias("held_out"))
-    return prepared.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, w long, n long")
+    return prepared.mapInArrow(run, PLACED.format(kind))
+
+
+def _rows(r: Run, columns: pa.Table, words: Words, head: Table, hot: Table, classes: int, number: int):
+    """The run's own row, then a batch of its classes' rows."""
+    n, m = len(r.tokens), len(r.sizes)
+    met = np.flatnonzero(np.bincount(r.tokens, minlength=len(words.hashes)))
+    renamed = np.zeros(len(words.hashes), dtype=np.int64)
+    renamed[met] = np.arange(len(met))
+    hashes = np.array(words.hashes, dtype=np.uint64)[met]
+    w = renamed[r.tokens]
+    end = int(renamed[words[END]])
+    v = r.before(w, end)
+    u = r.before(v, end)
+    owner = np.repeat(np.arange(m), r.sizes)
+    at = head.places(hashes)
+    count = np.where(at >= 0, head.counts[at] if len(head.counts) else 0, 0)
+    codes = np.where(at >= 0, at.astype(np.uint64), hashes | TAIL)
+    known = at >= 0
+    base = np.bincount(owner, weights=np.where(known, np.log10(count + 0.5), 0.0)[w], minlength=m)
+    n_known = np.bincount(owner, weights=known[w], minlength=m).astype(np.int64)
+    held = columns.column(2).to_numpy().astype(np.uint8)
+    ids = columns.column(1).combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    own = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), ids)
+    yield pa.RecordBatch.from_arrays([pa.array([-1 - int(_shared.mix(np.array([number], dtype=np.uint64))[0] % np.uint64(classes))], pa.int32()), pa.array([number], pa.int64()), own, pa.array([pack(r.sizes, n_known, held, base)], pa.binary())], NAMES)
+
+    # the restaurant of the token before: by its word, where that is too frequent also by the word before it
+    of_word = _shared.mix(hashes)
+    place = of_word[v]
+    pieces = 1 + 2 * count // CLASS_TOKENS
+    split = np.flatnonzero(pieces[v] > 1)
+    if len(split):
+        piece = of_word[u[split]] % pieces[v[split]].astype(np.uint64)
+        both = _pair(hashes[u[split]], hashes[v[split]])
+        times = hot.of(both)
+        often = np.flatnonzero(times)
+        copies = (1 + 2 * times[often] // CLASS_TOKENS).astype(np.uint64)
+        texts = _shared.mix((owner[split[often]].astype(np.uint64) + np.uint64(1)) * _A + np.uint64(number))
+        piece[often] = both[often] + texts % copies
+        place[split] = _shared.mix(place[split] + (piece + np.uint64(1)) * _B)
+    where = (place % np.uint64(classes)).astype(np.int64)
+    # places in the order of their classes
+    distinct, place_of = np.unique(place, return_inverse=True) if len(split) else (None, None)
+    if distinct is None:
+        class_of = (of_word % np.uint64(classes)).astype(np.int64)
+        rank = np.empty(len(met), dtype=np.int64)
+        rank[np.argsort(class_of, kind="stable")] = np.arange(len(met))
+        slot = rank[v]
+    else:
+        class_of = (distinct % np.uint64(classes)).astype(np.int64)
+        rank = np.empty(len(distinct), dtype=np.int64)
+        rank[np.argsort(class_of, kind="stable")] = np.arange(len(distinct))
+        slot = rank[place_of]
+    if len(met) < 1 << 21 and int(slot.max()) < 1 << 21:
+        order = np.argsort(slot << 42 | w << 21 | u)
+    else:
+        order = np.lexsort((u, w, slot))
+    slot, w, u, v, place, where = slot[order], w[order], u[order], v[order], place[order], where[order]
+    text = owner[order] << 1 | held[owner[order]]
+    new = np.ones(n, dtype=bool)
+    new[1:] = slot[1:] != slot[:-1]
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, n))
+    spread = np.where(pieces[v[first]] > 1, place[first], np.uint64(0))  # others follow from the word
+    bounds = np.searchsorted(where, np.arange(classes + 1)).tolist()
+    groups = np.searchsorted(first, bounds).tolist()
+    seen = np.zeros(len(met), dtype=bool)
+    local = np.zeros(len(met), dtype=np.int64)
+    keys, rows = [], []
+    for k in range(classes):
+        a, b, g, h = bounds[k], bounds[k + 1], groups[k], groups[k + 1]
+        if a == b:
+            continue
+        mine = (w[a:b], u[a:b], v[first[g:h]])
+        if (b - a) * 4 > len(met):
+            for x in mine:
+                seen[x] = True
+            used = np.flatnonzero(seen)
+            seen[used] = False
+        else:
+            used = np.unique(np.concatenate(mine))
+        order = np.argsort(codes[used])
+        used = used[order]
+        local[used] = np.arange(len(used))
+        code = codes[used]
+        frequent = int(np.searchsorted(code, TAIL))
+        ws = local[mine[0]]
+        keys.append(k)
+        rows.append(pack(np.diff(code[:frequent], prepend=np.uint64(0)), code[frequent:], local[mine[2]], spread[g:h], sizes[g:h], _steps(ws, len(used)), local[mine[1]], text[a:b]))
+        if len(rows) >= 256:
+            yield _class_rows(keys, number, rows, ids.type)
+            keys, rows = [], []
+    if rows:
+        yield _class_rows(keys, number, rows, ids.type)
 
 
-def bigram_arrays(docs: DataFrame, head, classes: int) -> DataFrame:
-    """class, and the bigrams of some texts whose contexts are in it, as arrays."""
+NAMES = ["key", "run", "ids", "data"]
+
+
+def _class_rows(keys: list[int], number: int, rows: list[bytes], kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([number] * len(keys), pa.int64()), pa.nulls(len(keys), pa.list_(kind)), pa.array(rows, pa.binary())], NAMES)
 
-    def run(batches):
-        hashes = _shared.WordHashes(REMEMBERED)
-        end = np.uint64(hashes[END])
-        for b, start, at, sizes, w in _token_runs(batches, TaskContext.get().partitionId() << 40, hashes):
-            m = len(sizes)
-            types, local = np.unique(w, return_inverse=True)
-            frequency = head.value.of(types)
-            begins = np.cumsum(sizes) - sizes
-            before = np.empty_like(local)
-            before[1:] = local[:-1]
-            before[begins] = np.searchsorted(types, end)
-            held = b.column(1).slice(start, m).to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(m) << 1 | held, sizes).astype(np.uint32)
-            pieces = (1 + frequency * 2 // CLASS_TOKENS)[before]
-            # one number for the context and its piece
-            context = _shared.mix(types[before] + w % pieces.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            where = (context % np.uint64(classes)).astype(np.int64)
-            if len(types) < 1 << 21 and classes < 1 << 21:  # one number to sort by
-                order = np.argsort(where << 42 | before << 21 | local)
-            else:
-                order = np.lexsort((local, before, where))
-            where, context, w, text, pieces = where[order], context[order] & NARROW, w[order] & NARROW, text[order], pieces[order]
-            whole_of = frequency[before[order]]
-            new_context = np.ones(len(w), dtype=bool)
-            new_context[1:] = (context[1:] != context[:-1]) | (where[1:] != where[:-1])
-            new_pair = new_context.copy()
-            new_pair[1:] |= w[1:] != w[:-1]
-            bounds = np.searchsorted(where, np.arange(classes + 1))
-            rows: list[tuple] = []
-            for k in np.flatnonzero(np.diff(bounds)).tolist():
-                s = slice(bounds[k], bounds[k + 1])
-                contexts, pairs = np.flatnonzero(new_context[s]), np.flatnonzero(new_pair[s])
-                per_context = np.diff(np.append(np.searchsorted(pairs, contexts), len(pairs)))
-                per_pair = np.diff(np.append(pairs, bounds[k + 1] - bounds[k]))
-                split = pieces[s][contexts]
-                whole = np.where(split > 1, whole_of[s][contexts], 0)
-                rows.append((k, at, _narrow(context[s][contexts]), per_context.astype("<u4").tobytes(), split.astype("<u4").tobytes(), whole.astype("<u8").tobytes() if (split > 1).any() else b"",
-                             _narrow(w[s][pairs]), per_pair.astype("<u4").tobytes(), text[s].astype("<u2" if m < 1 << 15 else "<u4").tobytes()))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ARRAYS)
-
-    prepared = docs.select("text", (_shared.fold() == HELD_OUT).alias("held_out"))
-    return prepared.mapInArrow(run, "class int, first long, contexts binary, per_context binary, pieces binary, whole binary, words binary, per_pair binary, texts binary")
-
-
-ARRAYS = ["class", "first", "contexts", "per_context", "pieces", "whole", "words", "per_pair", "texts"]
-
-
-class Pairs:
-    """The distinct (context, word) pairs of a class in a fixed order; with ``texts`` also the texts' tokens."""
+
+def _mask(size: int) -> int:
+    return 0xFFFF if size <= 1 << 16 else 0xFFFFFFFF
+
+
+def _steps(values: np.ndarray, size: int) -> np.ndarray:
+    """Differences of numbers below ``size``; those below 0 wrap."""
+    return np.diff(values, prepend=0) & _mask(size)
+
+
+def _summed(steps: np.ndarray, size: int) -> np.ndarray:
+    return np.cumsum(steps.astype(np.int64)) & _mask(size)
+
+
+class Trigrams:
+    """The distinct trigrams of a class in a fixed order; with ``texts`` also the runs' tokens."""
 
     def __init__(self, found: pa.Table, texts: bool):
-        parts: list[list[np.ndarray]] = []
-        for r in found.to_pylist():
-            per_context, per_pair = np.frombuffer(r["per_context"], "<u4"), np.frombuffer(r["per_pair"], "<u4")
-            refs = np.frombuffer(r["texts"], "<u2" if len(r["texts"]) == 2 * int(per_pair.sum()) else "<u4")
-            pieces = np.frombuffer(r["pieces"], "<u4")
-            whole = np.frombuffer(r["whole"], "<u8") if r["whole"] else np.zeros(len(pieces), np.uint64)
-            training = np.add.reduceat(1 - (refs & 1).astype(np.int64), np.cumsum(per_pair, dtype=np.int64) - per_pair)
-            parts.append([np.repeat(_wide(r["contexts"]), per_context), np.repeat(pieces, per_context), np.repeat(whole, per_context), _wide(r["words"]), training])
-            if texts:
-                parts[-1] += [per_pair, (refs >> 1).astype(np.int64) + r["first"]]
-        context, pieces, whole, word, training, *tokens_of = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        self.words, word = np.unique(word, return_inverse=True)
-        _, context = np.unique(context, return_inverse=True)
-        order = np.argsort(context * len(self.words) + word)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (word[order][1:] != word[order][:-1]) | (context[order][1:] != context[order][:-1])
-        pair = np.empty(len(order), dtype=np.int64)
-        pair[order] = np.cumsum(new) - 1
+        runs_of, data = found.column("run").to_pylist(), found.column("data").to_pylist()
+        parts, dictionaries = [], []
+        for blob in data:
+            steps, tail, v, spread, sizes, w, u, text = unpack(blob)
+            code = np.concatenate([np.cumsum(steps, dtype=np.uint64), tail.astype(np.uint64)])
+            dictionaries.append(code)
+            parts.append((v, spread, sizes, _summed(w, len(code)), u, text))
+        self.codes, at = np.unique(np.concatenate(dictionaries), return_inverse=True)
+        size = len(self.codes)
+        starts = np.cumsum([0, *map(len, dictionaries)]).tolist()
+        names = [at[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        v, spread, sizes = (np.concatenate([x for x in column]) for column in ([n[p[0]] for n, p in zip(names, parts, strict=True)], [p[1].astype(np.uint64) for p in parts], [p[2].astype(np.int64) for p in parts]))
+        w = np.concatenate([n[p[3]] for n, p in zip(names, parts, strict=True)])
+        u = np.concatenate([n[p[4]] for n, p in zip(names, parts, strict=True)])
+        text = np.concatenate([p[5].astype(np.int64) for p in parts])
+        lengths = [len(p[5]) for p in parts]
+        del parts, dictionaries, at, names
+        # a piece's own number, or the word's; numbers of pieces are hashes, those of words are small
+        place = np.where(spread > 0, spread, v.astype(np.uint64))
+        places, short = np.unique(place, return_inverse=True)
+        short = np.repeat(short, sizes)
+        if size < 1 << 21 and len(places) < 1 << 21:
+            key = short << 42 | w << 21 | u
+            order = np.argsort(key)
+            key = key[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            del key
+        else:
+            order = np.lexsort((u, w, short))
+            new = np.zeros(len(order), dtype=bool)
+            new[0] = True
+            for x in (short[order], w[order], u[order]):
+                new[1:] |= x[1:] != x[:-1]
         one = order[new]
-        self.context, self.word, self.pieces, self.whole = context[one], word[one], pieces[one].astype(np.int64), whole[one].astype(np.int64)
-        self.count = np.bincount(pair, weights=training, minlength=len(one)).astype(np.int64)
+        trigram = np.empty(len(order), dtype=np.int32)
+        trigram[order] = np.cumsum(new) - 1
+        self.short, self.word = short[one], w[one]
+        context = self.short * size + u[one]
+        self.long = np.unique(context, return_inverse=True)[1]
+        training = 1 - (text & 1)
+        self.count = np.bincount(trigram, weights=training, minlength=len(one)).astype(np.int64)
+        self.uses = np.bincount(w, weights=training, minlength=size).astype(np.int64)
         if texts:
-            self.token_pair, self.rows = np.repeat(pair, tokens_of[0]), tokens_of[1]
+            self.trigram, self.text, self.lengths, self.runs, self.token = trigram, text >> 1, lengths, runs_of, w
+
+    def seating(self) -> Seating:
+        return Seating(self.long, self.short, self.word, self.count, len(self.codes))
 
-    def seating(self, seed) -> Seating:
-        return Seating(self.context, self.word, self.count, self.pieces.astype(np.float64), seed)
 
+# ---------------------------------------------------------------- exchanges with the root
 
-def _small(values: np.ndarray) -> bytes:
-    return values.astype("<u4").tobytes()
+UP = "shard int, key int, data binary, state binary, totals array<double>"
+DOWN = "key int, shard int, data binary, state binary, totals array<double>"
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u4").astype(np.int64)
+def _batch(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-UP = "shard int, class int, words binary, tables binary, held binary, outside double, d double"
-DOWN = "class int, shard int, tables binary, held binary, customers binary, seated binary, totals array<double>"
+def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    return (_shared.mix(codes * _A + _B) % np.uint64(shards)).astype(np.int64)
 
 
 class FromRoot:
-    """What the shards of the root answer to a class: its own tables and held seats again, and the root's probabilities."""
-
-    def __init__(self, answers: pa.Table, types: int):
-        rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-        self.totals = np.array([r["totals"] for r in rows])  # customers, tables, dishes of one and of two customers
-        customers, tables, once, twice = self.totals.sum(axis=0).tolist()
-        self.d = discount(once, twice)
-        self.parent_t, self.held, c, t = (np.concatenate([_counts(r[k]) for r in rows]) for k in ("tables", "held", "customers", "seated"))
-        self.p = (c - self.d * t + (ROOT_STRENGTH + self.d * tables) / (types + 1)) / (ROOT_STRENGTH + customers)
-        self.outside = tables - self.totals[:, 1]
-
-    def resume(self, seating: Seating) -> Seating:
-        seating.parent_t, seating.t[seating.several] = self.parent_t, self.held
-        return seating
-
-
-def seat_class(found: pa.Table, answers: pa.Table | None, types: int, shards: int, seed) -> pa.Table:
-    """One sweep of a class, and its tables, a row for each shard of the root."""
-    pairs = Pairs(found, False)
-    seating = pairs.seating(seed)
-    root = FromRoot(answers, types) if answers is not None else None
-    if root:
-        root.resume(seating).sweep(root.p)
+    """The root's answer to a class: probabilities and corpus counts of its words, and the class's own state."""
+
+    def __init__(self, answers: pa.Table, codes: np.ndarray, types: int, shards: int, seed: list[int] | None):
+        """seed None: the answers are means, else they are drawn and the rest is drawn here, alike in all classes."""
+        rows = {r["shard"]: r for r in answers.to_pylist()}
+        self.own, self.uses = np.zeros(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        order = np.argsort(_shard_of(codes, shards), kind="stable")
+        cuts = np.searchsorted(_shard_of(codes, shards)[order], np.arange(shards + 1))
+        state = b""
+        for s in range(shards):
+            self.own[order[cuts[s] : cuts[s + 1]]], self.uses[order[cuts[s] : cuts[s + 1]]] = unpack(rows[s]["data"])
+            state = rows[s]["state"] or state
+        self.state = unpack(state)
+        # every shard answers every class, so each class knows the totals
+        self.shares = np.array([rows[s]["totals"] for s in range(shards)])
+        drawn, tables, once, twice = self.shares.sum(axis=0)
+        rest = ROOT_STRENGTH + discount(once, twice) * tables
+        if seed is not None:
+            rest = np.random.default_rng(seed).standard_gamma(rest)
+        self.p = (self.own + rest / (types + 1)) / (drawn + rest)
+
+
+def seat_class(key: int, found: pa.Table, answers: pa.Table | None, types: int, shards: int, seed: list[int]) -> pa.Table:
+    """Sweeps of a class, and its tables, a row for each shard of the root."""
+    trigrams = Trigrams(found, False)
+    seating, random = trigrams.seating(), np.random.default_rng([*seed, key])
+    told = None
+    if answers is None:
+        root = np.full(len(trigrams.codes), 1.0 / (types + 1))
     else:
-        seating.sweep(np.full(seating.words, 1.0 / (types + 1)))
-    edges = (np.arange(shards + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(shards)
-    cuts = np.searchsorted(pairs.words, edges)
-    held = np.array_split(seating.t[seating.several], shards)
-    k = found.column("class")[0].as_py()
+        told = FromRoot(answers, trigrams.codes, types, shards, seed)
+        seating.resume(*told.state)
+        root = told.p
+    for _ in range(BURN):
+        seating.sweep(root, random)
+    sent = seating.sent(root, random)
+    shard = _shard_of(trigrams.codes, shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     rows = []
     for s in range(shards):
-        at = slice(cuts[s], cuts[s + 1])
-        rows.append((s, k, _narrow(pairs.words[at]), _small(seating.parent_t[at]), _small(held[s]), float(root.outside[s]) if root else None, root.d if root else None))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
-    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in UP.split(", ")])
+        at = order[cuts[s] : cuts[s + 1]]
+        before = [*told.shares.sum(axis=0).tolist(), told.shares[s, 1]] if told else None
+        rows.append((s, key, pack(trigrams.codes[at], sent[at], trigrams.uses[at]), pack(*seating.state()) if s == key % shards else None, before))
+    return _batch(rows, UP)
 
 
-def seat_root(found: pa.Table, types: int, seed) -> pa.Table:
-    """Seats a shard of the root from all classes' tables; a row for each class with its words' customers and tables there."""
+def seat_root(found: pa.Table, types: int, last: bool, seed: list[int]) -> pa.Table:
+    """Seats a shard of the root from all classes' tables; a row for each class with its words' part of the distribution and corpus counts."""
     rows = found.to_pylist()
-    words = [_wide(r["words"]) for r in rows]
-    sent = np.concatenate([_counts(r["tables"]) for r in rows])
-    dishes, at = np.unique(np.concatenate(words), return_inverse=True)
-    c = np.bincount(at, weights=sent, minlength=len(dishes)).astype(np.int64)
+    shard = rows[0]["shard"]
+    parts = [unpack(r["data"]) for r in rows]
+    dishes, at = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
+    c = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(dishes)).astype(np.int64)
+    uses = np.bincount(at, weights=np.concatenate([p[2] for p in parts]), minlength=len(dishes)).astype(np.int64)
     t = np.minimum(c, 1)
-    # at first each known type has one table
-    outside = types - t.sum() if rows[0]["outside"] is None else rows[0]["outside"]
-    d = discount(*_few(c)) if rows[0]["d"] is None else rows[0]["d"]
-    table, random, uniform = stirling(EXACT, d), np.random.default_rng(seed), np.full(len(c), 1.0 / (types + 1))
+    before = rows[0]["totals"]  # the totals of the exchange before and this shard's tables; at first each type has one
+    random = np.random.default_rng([*seed, shard])
+    d = discount(before[2], before[3]) if before else discount(*_few(c))
+    outside = max(0.0, before[1] - before[4] if before else float(types - t.sum()))
+    stirlings = stirling(EXACT, d)
     for _ in range(ROOT_SWEEPS):
-        t = draw_tables(c, t, outside + t.sum() - t, uniform, ROOT_STRENGTH, d, table, random)
-    totals = [float(x) for x in (c.sum(), t.sum(), *_few(c))]
+        x = random.standard_gamma(ROOT_STRENGTH / d + outside + t.sum())
+        t = draw_tables(c, np.full(len(c), d * x / (types + 1)), d, stirlings, random)
+    own = np.maximum(c - d * t, 0.0)
+    if not last:
+        own = random.standard_gamma(own)
+    totals = [float(own.sum()), float(t.sum()), *map(float, _few(c))]
+    out, begin = [], 0
+    for r, p in zip(rows, parts, strict=True):
+        here = at[begin : begin + len(p[0])]
+        begin += len(p[0])
+        out.append((r["key"], shard, pack(own[here].astype("<f4"), uses[here]), r["state"], totals))
+    return _batch(out, DOWN)
+
+
+def score_class(key: int, found: pa.Table, answers: pa.Table, types: int, shards: int, seed: list[int]) -> list[tuple[int, bytes]]:
+    """(run, packed sums of the texts' tokens in this class) of every run."""
+    trigrams = Trigrams(found, True)
+    told = FromRoot(answers, trigrams.codes, types, shards, None)
+    seating = trigrams.seating()
+    seating.resume(*told.state)
+    logs = np.log10(seating.sampled(told.p, np.random.default_rng([*seed, key])))
+    rare = np.log10(told.uses + 0.5)
+    tail = trigrams.codes >= TAIL
     out, begin = [], 0
-    for r, w in zip(rows, words, strict=True):
-        here = at[begin : begin + len(w)]
-        begin += len(w)
-        out.append((r["class"], r["shard"], r["tables"], r["held"], _small(c[here]), _small(t[here]), totals))
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.float64())]
-    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DOWN.split(", ")])
+    for run, n in zip(trigrams.runs, trigrams.lengths, strict=True):
+        s = slice(begin, begin + n)
+        begin += n
+        texts, at = np.unique(trigrams.text[s], return_inverse=True)
+        score = np.bincount(at, weights=logs[trigrams.trigram[s]])
+        token = trigrams.token[s]
+        few = np.flatnonzero(tail[token])
+        others, place = np.unique(trigrams.text[s][few], return_inverse=True)
+        base = np.bincount(place, weights=rare[token[few]], minlength=len(others))
+        n_known = np.bincount(place, weights=told.uses[token[few]] > 0, minlength=len(others)).astype(np.int64)
+        out.append((run, pack(texts, score.astype("<f4"), others, base, n_known)))
+    return out
 
 
-def score_class(found: pa.Table, answers: pa.Table, types: int, seed) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, sums of log10 probabilities) of the texts that have bigrams in a class."""
-    pairs, root = Pairs(found, True), FromRoot(answers, types)
-    p = root.resume(pairs.seating(seed)).sampled(root.p)
-    here = np.bincount(pairs.context, weights=pairs.count)[pairs.context]
-    p = np.where(pairs.pieces > 1, p * (here + 1) / (pairs.whole + pairs.pieces), p)
-    logs = np.log10(p)[pairs.token_pair]
-    owners, at = np.unique(pairs.rows, return_inverse=True)
-    return owners, np.bincount(at, weights=logs, minlength=len(owners))
+def summed(found: pa.Table, n: int, denominator: float) -> pa.Table:
+    """The scored texts of a run, from its own row and its classes' answers."""
+    ids = found.column("ids").combine_chunks()
+    own = next(i for i, x in enumerate(found.column("key").to_pylist()) if x < 0)
+    data = found.column("data").to_pylist()
+    sizes, n_known, held, base = unpack(data[own])
+    n_known, base = n_known.astype(np.int64), base.astype(np.float64)
+    score = np.zeros(len(sizes))
+    for i, blob in enumerate(data):
+        if i != own:
+            texts, sums, others, rare, known = unpack(blob)
+            score[texts] += sums
+            base[others] += rare
+            n_known[others] += known.astype(np.int64)
+    chunk = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    return pa.table({
+        "doc_id": chunk[own].values, "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(n_known),
+        "train_tokens": pa.array(np.full(len(sizes), n, dtype=np.int64)), "base_score": pa.array(base - sizes * math.log10(denominator)), "score": pa.array(score),
+    })
 
 
 def score_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
+    _shared.batches_by_bytes(spark)
     docs = docs.select("doc_id", "text")
     counts = _shared.written(count_words(docs))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, types = int(totals.n), int(totals.v)
-    denominator = n + 0.5 * (types + 1)
-    frequent = counts.where(F.col("n") >= max(1, -(-n >> HEAD))).toPandas()  # 2 ** HEAD words at most
-    head = spark.sparkContext.broadcast(Head(frequent["w"].to_numpy(dtype=np.int64).view(np.uint64), frequent["n"].to_numpy(dtype=np.int64)))
-
-    rows = _shared.written(base_rows(docs, head, denominator))
-    per_text = rows.where("w is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", F.lit(0.0).alias("score"))
-    others = rows.where("w is not null").select("row", "w", F.col("n").alias("times")).join(counts, "w", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in per_text.schema.fields[1:4]]
-    others = others.select(
-        "row", *empty, F.when(c > 0, F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * (F.log10(c + 0.5) - F.lit(math.log10(denominator)))).alias("base"), F.lit(0.0).alias("score"),
-    )
+    words = counts.where("not pair")
+    n, types, head_from = _totals(words)
+    head = _table(words.where(F.col("n") >= head_from))  # 2 ** HEAD words at most
+    hot = _table(counts.where("pair").where(F.col("n") >= max(CLASS_TOKENS // 2, -(-n >> HOT_PAIRS))))  # 2 ** HOT_PAIRS pairs at most
+    shared = spark.sparkContext.broadcast((head, hot))
     classes = max(1, round(n / CLASS_TOKENS))
-
     shards = -(-classes // SHARD_CLASSES)
-    number = lambda found, column: found.column(column)[0].as_py()
+    denominator = n + 0.5 * (types + 1)
 
-    def exchange(sweep: int, arrays: DataFrame, answers: DataFrame | None) -> DataFrame:
+    key_of = lambda found: found.column("key")[0].as_py()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def exchange(turn: int, placed: DataFrame, answers: DataFrame | None) -> DataFrame:
         def first(found: pa.Table) -> pa.Table:
-            return seat_class(found, None, types, shards, [seed, sweep, number(found, "class")])
+            return again(found, None)
 
-        def again(found: pa.Table, told: pa.Table) -> pa.Table:
-            return seat_class(found, told, types, shards, [seed, sweep, number(found, "class")])
+        def again(found: pa.Table, told: pa.Table | None) -> pa.Table:
+            if not found.num_rows or key_of(found) < 0:
+                return _batch([], UP)
+            return seat_class(key_of(found), found, told, types, shards, [seed, turn])
 
         def root(found: pa.Table) -> pa.Table:
-            return seat_root(found, types, [seed, sweep, classes + number(found, "shard")])
+            return seat_root(found, types, turn == EXCHANGES - 1, [seed, turn, 1])
 
-        by_class = arrays.groupBy("class")
-        up = by_class.applyInArrow(first, UP) if answers is None else by_class.cogroup(answers.groupBy("class")).applyInArrow(again, UP)
+        by_class = placed.groupBy("key")
+        up = by_class.applyInArrow(first, UP) if answers is None else by_class.cogroup(answers.groupBy("key")).applyInArrow(again, UP)
         return up.groupBy("shard").applyInArrow(root, DOWN)
 
     def score(found: pa.Table, told: pa.Table) -> pa.Table:
-        owners, sums = score_class(found, told, types, [seed, BURN, number(found, "class")])
-        return pa.table({"row": pa.array(owners), "score": pa.array(sums)})
-
-    # one plan, so that the shuffle of the arrays is written once and read by every sweep
-    arrays, answers = bigram_arrays(docs, head, classes), None
-    for sweep in range(BURN):
-        answers = exchange(sweep, arrays, answers)
-    scores = arrays.groupBy("class").cogroup(answers.groupBy("class")).applyInArrow(score, "row long, score double")
-    scores = scores.select("row", *empty, F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score")
-    together = per_text.unionByName(others).unionByName(scores).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+        if not found.num_rows or key_of(found) < 0:
+            return found
+        rows = score_class(key_of(found), found, told, types, shards, [seed, EXCHANGES])
+        return pa.table([pa.array([key_of(found)] * len(rows), pa.int32()), pa.array([r for r, _ in rows], pa.int64()), pa.nulls(len(rows), found.schema.field("ids").type), pa.array([x for _, x in rows], pa.binary())], schema=found.schema)
+
+    # one plan, so that the shuffle of the runs is written once and read by every exchange
+    placed, answers = placed_runs(docs, shared, classes), None
+    for turn in range(EXCHANGES):
+        answers = exchange(turn, placed, answers)
+    scored = placed.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(score, PLACED.format(kind))
+    return scored.groupBy("run").applyInArrow(
+        lambda found: summed(found, n, denominator), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return together.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _totals(words: DataFrame) -> tuple[int, int, int]:
+    """(tokens, types, the count from which at most ``2 ** HEAD`` words are frequent)."""
+    step = 1 << 12
+    sizes = words.groupBy(F.least("n", F.lit(step)).alias("n")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"))
+    rows = sorted(((r.n, r.types, r.tokens) for r in sizes.collect()), reverse=True)  # 4096 rows at most
+    n, types = sum(r[2] for r in rows), sum(r[1] for r in rows)
+    least, together = max(step, -(-n >> HEAD)), 0
+    for count, some, _ in rows:
+        together += some
+        if together > 1 << HEAD:
+            break
+        least = count
+    return n, types, max(1, least)
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

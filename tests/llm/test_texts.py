@@ -215,32 +215,137 @@ def test_media_columns(spark, docs, texts):
 # ---------------------------------------------------------------- language model
 
 
-def test_model_base_and_gain(spark, docs, texts):
+@pytest.mark.parametrize("class_tokens", [1 << 20, 300])
+def test_model_base_and_gain(spark, docs, texts, monkeypatch, class_tokens):
+    """Also with so small classes that contexts and pairs are split, and runs of a few texts."""
+    monkeypatch.setattr(pitman_yor, "CLASS_TOKENS", class_tokens)
+    monkeypatch.setattr(pitman_yor, "HEAD", 20 if class_tokens > 300 else 5)
+    monkeypatch.setattr(pitman_yor, "RUN_TOKENS", 1 << 20 if class_tokens > 300 else 2000)
     words = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ""] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     c = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
     n, v = sum(c.values()), len(c)
     got = {r.doc_id: r for r in pitman_yor.score_documents(docs).collect()}
+    assert len(got) == len(texts)
     for i, ws in enumerate(words):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-12)
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def trigrams(rng, long, short, types):
+    """(long, short, word, count), sorted as a class has them; long contexts are spread over the short ones."""
+    rows = {(k, k % short, w): 0 for k in range(long) for w in range(types)}
+    for k, s, w in rows:
+        if k:  # one restaurant stays empty
+            rows[k, s, w] = int(rng.poisson(rng.gamma(0.4, 2.0) * (1 + (w + s) % 3)))
+    rows[2, 2 % short, 0] = 400  # beyond the exact numbers
+    found = sorted((s, w, k, n) for (k, s, w), n in rows.items())
+    s, w, k, n = (np.array(x) for x in zip(*found, strict=True))
+    return k, s, w, n
+
+
 def test_model_is_a_distribution():
-    rng = np.random.default_rng(4)
-    contexts, types = 5, 30
-    context, word = (x.reshape(-1) for x in np.meshgrid(np.arange(contexts), np.arange(types), indexing="ij"))
-    count = rng.poisson(rng.gamma(0.3, 6.0, size=contexts * types))
-    count[:types] = 0  # an empty restaurant
-    count[types] = 500  # beyond the exact numbers
-    seen = np.bincount(word, weights=count, minlength=types) > 0
-    p = pitman_yor.predictive(context, word, count, int(seen.sum()), np.ones(len(count)), 1)
-    unknown = (~seen).sum()  # each of them has the unknown type's probability
-    for k in range(contexts):
-        at = context == k
-        assert p[at & seen[word]].sum() + p[at & ~seen[word]].sum() / max(1, unknown) == pytest.approx(1, abs=1e-9)
+    types = 12
+    root = np.random.default_rng(1).dirichlet(np.ones(types))
+    long, short, word, count = trigrams(np.random.default_rng(4), 9, 3, types)
+    p = pitman_yor.Seating(long, short, word, count, types).sampled(root, np.random.default_rng(2))
+    assert np.bincount(long, weights=p) == pytest.approx(np.ones(9), abs=1e-9)
+
+
+class Franchise:
+    """The same model by the plain sampler: one customer after another leaves and is seated anew."""
+
+    def __init__(self, long, short, word, count, root, d, strength, random):
+        self.root, self.d, self.strength, self.random = root, d, strength, random
+        self.parent = dict(zip(long.tolist(), short.tolist(), strict=True))
+        self.tables = {"long": defaultdict(list), "short": defaultdict(list)}  # (place, word) -> customers of each table
+        self.customers = [(k, w) for k, w, n in zip(long.tolist(), word.tolist(), count.tolist(), strict=True) for _ in range(n)]
+        self.total = {"long": Counter(), "short": Counter()}
+        self.open = {"long": Counter(), "short": Counter()}
+        for k, w in self.customers:
+            self.add("long", k, w)
+
+    def p(self, level, place, w):
+        base = self.p("short", self.parent[place], w) if level == "long" else self.root[w]
+        tables = self.tables[level].get((place, w), [])
+        own = sum(tables) - self.d[level] * len(tables)
+        return (own + (self.strength[level] + self.d[level] * self.open[level][place]) * base) / (self.strength[level] + self.total[level][place])
+
+    def add(self, level, place, w):
+        base = self.p("short", self.parent[place], w) if level == "long" else self.root[w]
+        tables = self.tables[level][place, w]
+        weights = [n - self.d[level] for n in tables] + [(self.strength[level] + self.d[level] * self.open[level][place]) * base]
+        at = self.random.choices(range(len(weights)), weights)[0]
+        self.total[level][place] += 1
+        if at < len(tables):
+            tables[at] += 1
+            return
+        tables.append(1)
+        self.open[level][place] += 1
+        if level == "long":
+            self.add("short", self.parent[place], w)
+
+    def remove(self, level, place, w):
+        tables = self.tables[level][place, w]
+        at = self.random.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        self.total[level][place] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            self.open[level][place] -= 1
+            if level == "long":
+                self.remove("short", self.parent[place], w)
+
+    def sweep(self):
+        for k, w in self.customers:
+            self.remove("long", k, w)
+            self.add("long", k, w)
+
+
+def test_seating_against_the_plain_sampler(monkeypatch):
+    """Predictive probabilities of blocked and of one-by-one sampling agree, and so do the tables that go up."""
+    types = 6
+    rng = np.random.default_rng(8)
+    long, short, word, count = trigrams(rng, 8, 2, types)
+    count = np.minimum(count, 9)
+    root = rng.dirichlet(np.ones(types) * 2)
+    monkeypatch.setattr(pitman_yor, "BURN", 100)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 4000)
+    seating = pitman_yor.Seating(long, short, word, count, types)
+    mine = seating.sampled(root, np.random.default_rng(3))
+    plain = Franchise(long, short, word, count, root, {"long": seating.long.d, "short": seating.short.d}, {"long": pitman_yor.LONG_STRENGTH, "short": pitman_yor.SHORT_STRENGTH}, random.Random(5))
+    total, turns = np.zeros(len(count)), 1500
+    for k in range(100 + turns):
+        plain.sweep()
+        if k >= 100:
+            total += [plain.p("long", x, y) for x, y in zip(long.tolist(), word.tolist(), strict=True)]
+    assert np.abs(mine - total / turns).max() < 0.012 and np.abs(np.log(mine / (total / turns))).max() < 0.12
+
+
+def test_tables_of_one_dish_against_enumeration():
+    d, most = 0.6, 7
+    table = pitman_yor.stirling(most + 1, d)
+    weights = {0: 1.0}  # by hand: a customer joins one of t tables (c - d * t) or opens one (a)
+    a, rng = 1.7, np.random.default_rng(0)
+    weights = {1: a}
+    for c in range(1, most):
+        weights = {t: weights.get(t, 0) * (c - d * t) + weights.get(t - 1, 0) * a for t in range(1, c + 2)}
+    drawn = pitman_yor.draw_tables(np.full(200_000, most), np.full(200_000, a), d, table, rng)
+    for t, w in weights.items():
+        assert (drawn == t).mean() == pytest.approx(w / sum(weights.values()), abs=0.005)
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(1)
+    arrays = [np.empty(0, np.int64), rng.integers(0, 200, 7), rng.integers(0, 1 << 40, 9).astype(np.uint64), rng.normal(size=5), rng.normal(size=3).astype("<f4"), np.array([1 << 63], dtype=np.uint64)]
+    for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
+        assert a.tolist() == b.tolist()
+    values = rng.integers(0, 70_000, 1000)
+    for most in (70_000, 1 << 16):
+        v = values % most
+        assert (pitman_yor._summed(pitman_yor._steps(v, most), most) == v).all()
 
 
 def test_model_shares_words_between_classes(spark, monkeypatch):
