@@ -5,10 +5,10 @@ into lines: a line is the text of one block, with the number of tags and of link
 characters in it and the region it lies in.  Regions that elements or their
 class, id and role names mark as something other than the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, hidden parts)
-give no lines, and neither do scripts, styles and markup.  A part that only its
-name marks is judged when the page has been read: its lines stay if the article
-or main regions in it hold most of all regions' text, or, where there are none,
-if it holds most of the page's text.
+give no lines, and neither do scripts, styles and markup.  A form and a part that
+only its name marks are judged when the page has been read: their lines stay if
+the article or main regions in them hold most of all regions' text, or, where
+there are none, if they hold most of the page's text.
 
 The text-to-tag ratio of each line (text outside links by tags) is smoothed with
 a Gaussian kernel over neighbouring lines.  Lines above the threshold (the
@@ -16,7 +16,9 @@ ratios' standard deviation, or a share of their mean when they hardly differ)
 form clusters.  The content is the lowest container of nearly all the clusters'
 text (of that in article and main regions, if they hold most of it), or the
 innermost such region around it; all lines of that container are the text, so
-short paragraphs between long ones stay.
+short paragraphs between long ones stay.  Where the container lies in no article
+or main region, article elements in it that hold less than half of its text are
+others' (readers' comments, teasers) and go.
 
 Defined cases: a null or empty page and a page without such lines give the empty
 string; unclosed and truncated markup is closed at the end; repeated rows are
@@ -36,7 +38,7 @@ from lodestore.llm import _shared
 
 #: Elements that never hold the article's text.
 SKIPPED = frozenset(
-    "script style noscript template head nav footer aside form button select option textarea input label fieldset legend datalist iframe object "
+    "script style noscript template head nav footer aside button select option textarea input label fieldset legend datalist iframe object "
     "embed applet svg canvas map audio video menu dialog noframes frameset title".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame".split())
@@ -60,7 +62,7 @@ KEPT_NAMES = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|b
 FLAGS = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
 #: Headers inside an article or main region are its own.
 HEADERS = re.compile(r"(?<![^-_\s])header(?![^-_\s\d])", re.I)
-#: Article elements of such names are not the page's article.
+#: Article elements of such names, or in parts of such names, are not the page's article.
 BESIDE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser|comments?|reply|replies)(?:$|[-_\s\d])", re.I)
 #: The share of the clusters' text that their container holds at least.
 NEARLY = 0.95
@@ -87,6 +89,8 @@ class Events(HTMLParser):
         self.number = self.tags = self.links = self.linked = 0
         self.skipping = 0
         self.regions: set[int] = set()  # numbers of article and main elements
+        self.articles: set[int] = set()  # of article elements only
+        self.beside: set[int] = set()  # of elements whose articles are not the page's
         self.marked: set[int] = set()  # numbers of elements that their names mark
         self.parts: list[str] = []
 
@@ -136,11 +140,15 @@ class Events(HTMLParser):
         self.number += 1
         skipped = (tag in SKIPPED and tag != "header") or self._hidden(tag, found)
         names = FLAGS.sub("", " ".join(found[k] for k in ("class", "id", "role") if k in found))
-        if not skipped and self._named(tag, names):
+        if not skipped and (tag == "form" or self._named(tag, names)):
             self.marked.add(self.number)
+        if tag == "article" or found.get("role") == "article":
+            self.articles.add(self.number)
         if tag == "article" or tag == "main" or found.get("role") in ("article", "main") or found.get("itemprop") == "articleBody":
-            if not BESIDE.search(names):
+            if not BESIDE.search(names) and not any(n in self.beside for _, n, _ in self.stack):
                 self.regions.add(self.number)
+        elif tag not in ("html", "body") and names and BESIDE.search(names):
+            self.beside.add(self.number)
         self.stack.append((tag, self.number, skipped))
         self.skipping += skipped
         if tag == "a":
@@ -241,6 +249,12 @@ def unmarked(events: Events) -> list[Line]:
     return [x for x in events.lines if dropped.isdisjoint(x.path)]
 
 
+def _without_others(lines: list[Line], articles: set[int], container: int) -> list[Line]:
+    """The container's lines without those of article elements below it, if these hold less than half of the text."""
+    own = [x for x in lines if not any(n > container and n in articles for n in x.path)]
+    return own if 2 * sum(map(_own, own)) > sum(map(_own, lines)) else lines
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds."""
     if not html:
@@ -268,6 +282,8 @@ def extract(html: str | None) -> str:
     if around:
         best = around[-1]
     inside = [x for x in lines if best in x.path and (around or not in_regions or not events.regions.isdisjoint(x.path))]
+    if not around:
+        inside = _without_others(inside, events.articles, best)
     if len(inside) == 1 and len(lines) > 1 and not around:  # the holder is one block: its parent's blocks are the text
         inside = high
     return "\n".join(x.text for x in inside)

@@ -159,6 +159,60 @@ def test_article_headers_stay(name):
     assert html_text.extract(page(f"<div class=header>Site</div><article><div class='{name}'><h1>Head</h1></div><p>{LONG}</p><div class='comments'><article class=comment><p>{LONG}</p></article></div></article>")) == f"Head\n{LONG}"
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    (page(f"<form id=aspnetForm><div class=nav><a>Home</a></div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><input name=q></form>"), f"Head\n{LONG}\n{LONG}"),
+    (page(f"<form><article><h1>Head</h1><p>{LONG}</p></article><p>{LONG}</p></form>"), f"Head\n{LONG}"),
+    (page(f"<div id=c><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><form class=contact><p>Write to us about this page and more.</p></form>"), f"Head\n{LONG}\n{LONG}"),
+    (page(f"<div class='post category-legal'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>"), f"Head\n{LONG}\n{LONG}"),
+    (page(f"<div class=story><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><section id=reader><article><p>{LONG}</p><p>{LONG}</p></article></section>"), "\n".join([LONG] * 3)),
+])
+def test_forms_and_readers(html, want):
+    assert html_text.extract(html) == want
+
+
+def test_all_pages_against_a_plain_reading():
+    """Every page of the test data: the blocks of its only article, cut out by patterns."""
+    import html as entities
+
+    import duckdb
+
+    found = duckdb.sql("select html from read_parquet('/root/testdata/sf0.01/pages.parquet')").fetchall()
+    assert len(found) > 50
+    for (text,) in found:
+        assert text.count("<article") == 1
+        body = re.search(r"<article[^>]*>(.*)", text, re.S)[1].split("</article>")[0]
+        body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body, flags=re.S)
+        body = re.split(r"<footer", body)[0]
+        blocks = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", re.sub(r"<br[^>]*>", " ", body))
+        plain = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert html_text.extract(text) == "\n".join(b for b in plain if b)
+
+
+def laid_out(r):
+    """(html, text) of a made-up page: an article in one of many layouts, and parts around it that are not the article."""
+    sentence = lambda n: " ".join("".join(r.choice("abcdeilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(n)).capitalize() + "."
+    blocks = [sentence(r.randint(2, 5))] + [" ".join(sentence(r.randint(6, 14)) for _ in range(r.randint(2, 4))) for _ in range(r.randint(4, 8))]
+    blocks.insert(r.randint(2, len(blocks) - 1), sentence(3))
+    inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b} </p>\n" if k % 3 else f"<p>{b.replace(' ', ' <em>', 1)}</em>" for k, b in enumerate(blocks[1:]))
+    if r.random() < 0.5:
+        inner += r.choice(["<script>var x = '<p>no</p>';</script>", "<div class=ad>Buy this thing now</div>", f"<aside><p>{sentence(9)}</p></aside>", f"<form class=newsletter><p>{sentence(8)}</p><input></form>"])
+    links = "".join(f"<li><a href=/{k}>{sentence(2)}</a></li>" for k in range(r.randint(4, 9)))
+    layout = r.choice([
+        "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div id=content>{}</div>", "<div class='post category-legal'>{}</div>", "<div class='layout with-sidebar'><div>{}</div></div>",
+        "<div id=page class=has-header><section>{}</section></div>", "<form id=aspnetForm><div class=story>{}</div></form>", "<div role=main>{}</div>", "<table><tr><td>{}</td></tr></table>",
+    ])
+    before = r.sample([f"<nav><ul>{links}</ul></nav>", f"<div class=menu><ul>{links}</ul></div>", f"<header><p>{sentence(4)}</p></header>", f"<div id=header>{sentence(4)}</div>", f"<div class='cookie-notice'><p>{sentence(12)}</p></div>"], r.randint(1, 3))
+    after = r.sample([f"<footer>&copy; {sentence(5)}</footer>", f"<div class=sidebar><p>{sentence(9)}</p></div>", f"<div class=related><ul>{links}</ul></div>", f"<div id=comments><p>{sentence(12)}</p><p>{sentence(9)}</p></div>", f"<section class=reader-comments><article><p>{sentence(14)}</p></article></section>"], r.randint(1, 3))
+    return page("".join(before) + layout.format(inner) + "".join(after)), "\n".join(blocks)
+
+
+def test_made_up_layouts():
+    r = random.Random(12)
+    for k in range(300):
+        html, want = laid_out(r)
+        assert html_text.extract(html) == want, (k, html)
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, page("<article><p>é😀</article>"))], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract_pages(df).collect()) == [("1", "", 0), ("None", "é😀", 2)]
