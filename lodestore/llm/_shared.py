@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import contextlib
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -11,23 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: A word: a maximal run of characters other than ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-#: Lower-cases A-Z and nothing else.
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 BATCH_BYTES = 8 << 20
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text, A-Z lower-cased; none for null."""
-    return WORD.findall(text.translate(LOWER)) if text else []
-
-
 def byte_words(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8, A-Z lower-cased: bytes are lowered and split by the same ASCII rules."""
+    """The words of a text (runs of characters other than ASCII white space) as UTF-8, A-Z lower-cased.
+
+    Bytes are lowered and split by ASCII rules, so other letters and spaces stay as they are.
+    """
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
@@ -37,19 +32,19 @@ def word_hash(word: bytes) -> int:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound; any process gives the same ones."""
+    """64-bit hashes of words as UTF-8, remembered up to a bound; any process gives the same ones."""
 
     def __init__(self, bound: int = 200_000):
         self.bound = bound
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = word_hash(word)
         return value
 
-    def of(self, found: list[str]) -> np.ndarray:
-        return np.fromiter((self[w] for w in found), dtype=np.uint64, count=len(found))
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,6 +78,28 @@ def whole_groups(batches, names: list[str]):
         yield pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers wait for their next task beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run):
+    """The function over batches, which gives its memory back when a task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -139,7 +139,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, ids array<int>")
+    return docs.select(id_column, text_column).mapInArrow(_shared.released(run), f"{id_column} {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
@@ -152,7 +152,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_column: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], [id_column, "decoded"])
 
     kind = encoded.schema[id_column].dataType.simpleString()
-    return encoded.select(id_column, "ids").mapInArrow(run, f"{id_column} {kind}, decoded binary")
+    return encoded.select(id_column, "ids").mapInArrow(_shared.released(run), f"{id_column} {kind}, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -172,7 +172,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_shared.released(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,7 @@ def _links_of_length(spark: SparkSession, classes: DataFrame, length: int, large
                 ["cid", "label", "keys", "unit", "codes", "m"],
             )
 
-    indexed = _shared.written(classes.select("cid", "label", "e", "m").mapInArrow(index, "cid string, label string, keys array<long>, unit binary, codes binary, m long"))
+    indexed = _shared.written(classes.select("cid", "label", "e", "m").mapInArrow(_shared.released(index), "cid string, label string, keys array<long>, unit binary, codes binary, m long"))
     slots = indexed.select("cid", "label", F.explode("keys").alias("key"))
     sizes = slots.groupBy("label", "key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     chunks = F.ceil(F.col("g") / CHUNK).cast("int")
@@ -221,7 +221,7 @@ def _links_of_length(spark: SparkSession, classes: DataFrame, length: int, large
             ids = table.column("cid").combine_chunks()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(live)), pa.array(counted[live]), ids.take(pa.array(tops[live]))], ["cid", "links", "root"])
 
-    return loaded.repartition(*names).sortWithinPartitions(*names).mapInArrow(rerank, "cid string, links long, root string")
+    return loaded.repartition(*names).sortWithinPartitions(*names).mapInArrow(_shared.released(rerank), "cid string, links long, root string")
 
 
 def op2_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def store(rows: DataFrame, id_column: str, bytes_column: str) -> DataFrame:
             )
 
     kind = rows.schema[id_column].dataType.simpleString()
-    return rows.select(id_column, bytes_column).mapInArrow(run, f"{id_column} {kind}, n_bytes long, media binary")
+    return rows.select(id_column, bytes_column).mapInArrow(_shared.released(run), f"{id_column} {kind}, n_bytes long, media binary")
 
 
 def read_back(stored: DataFrame, id_column: str) -> DataFrame:
@@ -88,7 +88,7 @@ def read_back(stored: DataFrame, id_column: str) -> DataFrame:
 
     kind = stored.schema[id_column].dataType.simpleString()
     return stored.select(id_column, "n_bytes", "media").mapInArrow(
-        run, f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        _shared.released(run), f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 

@@ -56,7 +56,7 @@ FEW_BITS, MOST_BITS = 20, 26
 
 def shingles(text: str | None, hashes: _shared.WordHashes) -> np.ndarray:
     """The sorted distinct 63-bit hashes of a text's word shingles."""
-    found = _shared.words(text)
+    found = _shared.byte_words(text)
     if not found:
         return np.empty(0, np.int64)
     w = hashes.of(found)
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, n long, fp binary, sketch array<long>")
+    return docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(_shared.released(run), f"doc_id {kind}, mark long, n long, fp binary, sketch array<long>")
 
 
 def _mark():
@@ -153,7 +153,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = [s for s in part if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in part], pa.binary()), lists_type(part)], ["fp", "whole"])
 
-    found = docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "fp binary, whole array<long>")
+    found = docs.select("text", bit("doc_id").alias("bit")).mapInArrow(_shared.released(run), "fp binary, whole array<long>")
     return found.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
 
@@ -236,8 +236,8 @@ def remaining(lists: DataFrame, roots: DataFrame | None, sketches: DataFrame, se
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     rows = _with_components(lists, roots).select("v", "fp", "n", "comp")
-    screened = _shared.written(_blocks(rows, sketches).mapInArrow(screen, "v long, fp binary, n long, comp binary").distinct())
-    return _blocks(screened, sets).mapInArrow(settle, "a binary, b binary").distinct()
+    screened = _shared.written(_blocks(rows, sketches).mapInArrow(_shared.released(screen), "v long, fp binary, n long, comp binary").distinct())
+    return _blocks(screened, sets).mapInArrow(_shared.released(settle), "a binary, b binary").distinct()
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:

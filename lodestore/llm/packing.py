@@ -136,7 +136,7 @@ class WordEncoder:
 
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
-    """One encoder a worker process, with its memory, for all tasks that it runs."""
+    """One encoder a worker process for all tasks that it runs; a task leaves its memory empty."""
     return WordEncoder(path)
 
 
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, window
 
     def run(batches):
         encoder = encoder_of(path)
+        encoder.young, encoder.old = {}, {}
         windows = Windows(length, window_count, min_cut)
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}
@@ -206,10 +207,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, window
                 for w in [w for w in held if w not in still]:
                     rows += [(*x, False) for x in held.pop(w)]
             yield frame(rows)
+        encoder.young, encoder.old = {}, {}
         still = {w for _, w in windows.room}
         yield frame([(*x, w in still) for w, found in held.items() for x in found])
 
-    pieces = _shared.written(docs.select("doc_id", "text").mapInArrow(run, PIECES.format(kind)))
+    pieces = _shared.written(docs.select("doc_id", "text").mapInArrow(_shared.released(run), PIECES.format(kind)))
     numbered = F.col("part").cast("long") * F.lit(1 << 36) + F.col("win")
 
     def merge(found: pd.DataFrame) -> pd.DataFrame:

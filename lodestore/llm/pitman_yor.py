@@ -324,7 +324,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             )
 
     training = docs.where(_shared.fold() != HELD_OUT).select("text")
-    return training.mapInArrow(run, "w long, pair boolean, n long").groupBy("w", "pair").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(_shared.released(run), "w long, pair boolean, n long").groupBy("w", "pair").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -366,7 +366,7 @@ def placed_runs(docs: DataFrame, shared, classes: int) -> DataFrame:
             yield from _rows(r, columns, words, head, hot, classes, number)
 
     prepared = docs.select("text", "doc_id", (_shared.fold() == HELD_OUT).alias("held_out"))
-    return prepared.mapInArrow(run, PLACED.format(kind))
+    return prepared.mapInArrow(_shared.released(run), PLACED.format(kind))
 
 
 def _rows(r: Run, columns: pa.Table, words: Words, head: Table, hot: Table, classes: int, number: int):

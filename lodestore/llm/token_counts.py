@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (tokens, pre, chars))], [id_column, "n_tokens", "n_pretokens", "n_chars"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, n_tokens long, n_pretokens long, n_chars long")
+    return docs.select(id_column, text_column).mapInArrow(_shared.released(run), f"{id_column} {kind}, n_tokens long, n_pretokens long, n_chars long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

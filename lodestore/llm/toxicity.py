@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         weights, bias = fit(parts, np.array(y, dtype=np.int64)[order])
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
-    found = texts.mapInArrow(extract, "doc_id long, toxic int, cells binary").repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    found = texts.mapInArrow(_shared.released(extract), "doc_id long, toxic int, cells binary").repartition(1).mapInArrow(_shared.released(learn), "weights binary, bias double").collect()
     if not found:
         return np.zeros(1 << BITS, np.float32), float(np.log(1e-6))
     return np.frombuffer(bytes(found[0]["weights"]), "<f4"), found[0]["bias"]
@@ -198,7 +198,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(texts, weights, bias))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(_shared.released(run), f"doc_id {kind}, score double")
 
 
 def reject(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
@@ -211,7 +211,7 @@ def reject(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
             clean = score(b.column("text").to_pylist(), weights, bias) < threshold
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_shared.released(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
