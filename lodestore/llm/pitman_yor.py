@@ -45,6 +45,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,14 +53,14 @@ from pyspark.sql import functions as F
 from lodestore.llm import _shared
 
 CLASS_TOKENS = 1 << 20
-HEAD, HOT_PAIRS = 20, 18
+HEAD, HOT_PAIRS = 18, 17
 EXACT = 256
-EXCHANGES, BURN, SAMPLES = 2, 2, 4
+EXCHANGES, BURN, SAMPLES = 1, 2, 4
 LONG_STRENGTH, SHORT_STRENGTH, ROOT_STRENGTH = 0.5, 2.0, 10.0
 #: Classes whose words a shard of the root holds, in number; sweeps of a shard over its own words.
 SHARD_CLASSES, ROOT_SWEEPS = 8, 3
-#: Tokens and texts of a run, and the words that a task remembers.
-RUN_TOKENS, RUN_TEXTS, REMEMBERED = 1 << 20, 1 << 16, 300_000
+#: Tokens and texts of a run, the words that a task remembers, and the tokens that are looked up together.
+RUN_TOKENS, RUN_TEXTS, REMEMBERED, TOGETHER = 1 << 20, 1 << 16, 300_000, 1 << 14
 #: Occurrences in a run from which a pair is counted.
 OFTEN = 16
 END = b""
@@ -117,32 +118,36 @@ def stirling(most: int, d: float) -> np.ndarray:
     return out
 
 
-def draw_tables(c: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, random) -> np.ndarray:
+def by_size(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(customers, dishes with so many) from two customers on; those beyond ``EXACT`` are together at the end."""
+    at = np.flatnonzero(c >= 2)
+    sizes = np.minimum(c[at], EXACT + 1).astype(np.uint16)
+    at = at[np.argsort(sizes, kind="stable")]
+    edges = np.cumsum(np.bincount(sizes, minlength=EXACT + 2)).tolist()
+    return [(n, at[edges[n - 1] : edges[n]]) for n in range(2, EXACT + 2) if edges[n] > edges[n - 1]]
+
+
+def draw_tables(c: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, random, sizes: list | None = None) -> np.ndarray:
     """Tables of dishes with c customers: t with probability in proportion to ``S_d(c, t) * a ** t``."""
     out = np.minimum(c, 1)
-    order = np.argsort(c, kind="stable")
-    order = order[np.searchsorted(c[order], 2) :]
-    sizes, starts = np.unique(c[order], return_index=True)
-    with np.errstate(divide="ignore"):
-        log_a = np.log(a)
-    for n, s, e in zip(sizes.tolist(), starts.tolist(), np.append(starts, len(order))[1:].tolist(), strict=True):
-        if n >= len(table):
-            break
-        step = max(1, (1 << 19) // n)
-        for low in range(s, e, step):
-            at = order[low : min(e, low + step)]
-            logits = table[n, 1 : n + 1] + np.arange(1, n + 1) * np.maximum(log_a[at], -600.0)[:, None]
-            edge = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
-            out[at] = 1 + (random.random(len(at))[:, None] * edge[:, -1:] > edge).sum(axis=1)
-    at = np.flatnonzero(c >= len(table))
-    if len(at):  # by blocks of customers, each against the tables before it
-        n, now, seated, new = c[at], np.ones(len(at)), np.ones(len(at)), a[at]
-        while (seated < n).any():
-            then = np.minimum(n, np.maximum(seated + 1, np.floor(seated * 1.5)))
-            mean = new * np.log((then + new - d * now) / np.maximum(seated + new - d * now, 1e-9))
-            now = np.minimum(now + np.minimum(random.poisson(np.maximum(mean, 0)), then - seated), then)
-            seated = then
-        out[at] = now.astype(out.dtype)
+    for n, dishes in by_size(c) if sizes is None else sizes:
+        if n == 2:
+            out[dishes] = 1 + (random.random(len(dishes)) * (1 - d + a[dishes]) < a[dishes])
+        elif n <= EXACT:
+            step = (1 << 19) // n
+            for low in range(0, len(dishes), step):
+                at = dishes[low : low + step]
+                logits = table[n, 1 : n + 1] + np.arange(1, n + 1) * np.log(np.maximum(a[at], 1e-250))[:, None]
+                edge = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
+                out[at] = 1 + (random.random(len(at))[:, None] * edge[:, -1:] > edge).sum(axis=1)
+        else:  # by blocks of customers, each against the tables before it
+            most, now, seated, new = c[dishes], np.ones(len(dishes)), np.ones(len(dishes)), a[dishes]
+            while (seated < most).any():
+                then = np.minimum(most, np.maximum(seated + 1, np.floor(seated * 1.5)))
+                mean = new * np.log((then + new - d * now) / np.maximum(seated + new - d * now, 1e-9))
+                now = np.minimum(now + np.minimum(random.poisson(np.maximum(mean, 0)), then - seated), then)
+                seated = then
+            out[dishes] = now.astype(out.dtype)
     return out
 
 
@@ -155,121 +160,135 @@ def _few(counts: np.ndarray) -> tuple[int, int]:
     return int((counts == 1).sum()), int((counts == 2).sum())
 
 
-class Level:
-    """The restaurants of one length of context: ``place`` and ``dish`` of each (restaurant, word)."""
-
-    def __init__(self, place: np.ndarray, parent: np.ndarray, count: np.ndarray, strength: float):
-        """parent: where the dish stands in the level above; count: customers, at first."""
-        self.place, self.parent, self.strength = place, parent, strength
-        self.places = int(place.max()) + 1 if len(place) else 0
-        self.c = count
-        self.t = np.minimum(count, 1)
-        self.d = discount(*_few(count))
-        self.table = stirling(EXACT, self.d)
-        self.refill()
-
-    def refill(self) -> None:
-        self.customers = np.bincount(self.place, weights=self.c, minlength=self.places)
-        self.tables = np.bincount(self.place, weights=self.t, minlength=self.places)
-
-    def seat(self, base: np.ndarray, random) -> None:
-        """Draws the tables; base: the parent's probability of each dish."""
-        x = random.standard_gamma(self.strength / self.d + self.tables)
-        self.t = draw_tables(self.c, self.d * x[self.place] * base, self.d, self.table, random)
-        self.tables = np.bincount(self.place, weights=self.t, minlength=self.places)
-
-    def drawn(self, base: np.ndarray, random) -> np.ndarray:
-        """The distribution given the seating, drawn; what is left to the parent is taken at its mean."""
-        own = random.standard_gamma(np.maximum(self.c - self.d * self.t, 0.0))
-        rest = random.standard_gamma(self.strength + self.d * self.tables)
-        total = np.bincount(self.place, weights=own, minlength=self.places) + rest
-        return (own + rest[self.place] * base) / total[self.place]
-
-    def predictive(self, base: np.ndarray) -> np.ndarray:
-        rest = self.strength + self.d * self.tables[self.place]
-        return (self.c - self.d * self.t + rest * base) / (self.strength + self.customers[self.place])
-
-
 class Seating:
     """The restaurants of a class.
 
     For each distinct trigram, sorted: ``long`` and ``short``, the numbers of its two
     contexts, ``word`` and ``count`` of training customers; trigrams of one short
-    context and word stand together.
+    context and word stand together.  A pair is such a context and word.
     """
 
     def __init__(self, long: np.ndarray, short: np.ndarray, word: np.ndarray, count: np.ndarray, words: int):
         new = np.ones(len(word), dtype=bool)
         new[1:] = (short[1:] != short[:-1]) | (word[1:] != word[:-1])
         first = np.flatnonzero(new)
-        pair = np.cumsum(new) - 1
-        self.words, self.word = words, word[first]
-        self.long = Level(long, pair, count, LONG_STRENGTH)
-        self.short = Level(short[first], self.word, np.bincount(pair, weights=self.long.t, minlength=len(first)).astype(np.int64), SHORT_STRENGTH)
+        self.words, self.word, self.place = words, word[first], short[first]
+        self.places, self.pairs = int(short.max()) + 1, len(first)
+        self.pair, self.long, self.count = np.cumsum(new) - 1, long, count
+        self.d = discount(*_few(count))
+        self.table = stirling(EXACT, self.d)
+        self.total = np.bincount(long, weights=count)
+        # only trigrams of several customers have a choice; the others have one table each
+        self.several = np.flatnonzero(count >= 2)
+        self.sizes = by_size(count[self.several])
+        self.single_tables = np.bincount(long, weights=count == 1, minlength=len(self.total))
+        self.contexts, self.context = np.unique(long[self.several], return_inverse=True)
+        self.single_customers = np.bincount(self.pair, weights=count == 1, minlength=self.pairs)
+        # the pairs whose probability the several need, and the others by place
+        self.needed, self.need = np.unique(self.pair[self.several], return_inverse=True)
+        self.t = np.ones(len(self.several), dtype=np.int64)
+        self._customers()
+        self.short_d = discount(*_few(self.c))
+        self.short_table = stirling(EXACT, self.short_d)
+        self.short_t = np.minimum(self.c, 1)
+
+    def _customers(self) -> None:
+        """The tables of the longer contexts are the customers of the shared ones."""
+        c = self.single_customers.copy()
+        c[self.needed] += np.bincount(self.need, weights=self.t, minlength=len(self.needed))
+        self.c = c.astype(np.int64)
+        self.short_total = np.bincount(self.place, weights=c, minlength=self.places)
+
+    def _short_tables(self) -> np.ndarray:
+        return np.bincount(self.place, weights=self.short_t, minlength=self.places)
+
+    def seat_short(self, root: np.ndarray, random) -> None:
+        x = random.standard_gamma(SHORT_STRENGTH / self.short_d + self._short_tables())
+        self.short_t = draw_tables(self.c, self.short_d * x[self.place] * root[self.word], self.short_d, self.short_table, random)
+
+    def seat_long(self, root: np.ndarray, random) -> None:
+        """Draws the shared restaurants' distributions where they are needed, and the tables of the longer contexts."""
+        if not len(self.several):
+            return
+        shape = np.maximum(self.c - self.short_d * self.short_t, 0.0)
+        at = self.place[self.needed]
+        own = random.standard_gamma(shape[self.needed])
+        others = shape.copy()
+        others[self.needed] = 0.0
+        rest = random.standard_gamma(SHORT_STRENGTH + self.short_d * self._short_tables())
+        mass = np.bincount(at, weights=own, minlength=self.places) + random.standard_gamma(np.bincount(self.place, weights=others, minlength=self.places)) + rest
+        p = (own + rest[at] * root[self.word[self.needed]]) / mass[at]
+        tables = self.single_tables[self.contexts] + np.bincount(self.context, weights=self.t, minlength=len(self.contexts))
+        x = random.standard_gamma(LONG_STRENGTH / self.d + tables)
+        self.t = draw_tables(self.count[self.several], self.d * x[self.context] * p[self.need], self.d, self.table, random, self.sizes)
+        self._customers()
 
     def sweep(self, root: np.ndarray, random) -> None:
-        """Seats everybody anew, the shared restaurants first; root: the root's probability of each word."""
-        base = root[self.word]
-        self.short.seat(base, random)
-        self.long.seat(self.short.drawn(base, random)[self.long.parent], random)
-        self.short.c = np.bincount(self.long.parent, weights=self.long.t, minlength=len(self.word)).astype(np.int64)
-        # a dish that has lost customers can't hold more tables than are left
-        self.short.t = np.minimum(self.short.t, self.short.c)
-        self.short.refill()
+        """Seats everybody anew; root: the root's probability of each word."""
+        self.seat_long(root, random)
+        self.short_t = np.minimum(self.short_t, self.c)  # a dish that has lost customers has no more tables than are left
+        self.seat_short(root, random)
+
+    def predictive(self, root: np.ndarray) -> np.ndarray:
+        """The probability of each trigram given the seating."""
+        rest = SHORT_STRENGTH + self.short_d * self._short_tables()
+        p = (self.c - self.short_d * self.short_t + rest[self.place] * root[self.word]) / (SHORT_STRENGTH + self.short_total)[self.place]
+        tables, own = self.single_tables.copy(), self.count - self.d * (self.count == 1)
+        tables[self.contexts] += np.bincount(self.context, weights=self.t, minlength=len(self.contexts))
+        own[self.several] -= self.d * self.t
+        return (own + (LONG_STRENGTH + self.d * tables)[self.long] * p[self.pair]) / (LONG_STRENGTH + self.total)[self.long]
 
     def sampled(self, root: np.ndarray, random) -> np.ndarray:
         """Averaged predictive probability of each trigram."""
-        out = np.zeros(len(self.long.c))
-        for k in range(BURN + SAMPLES):
+        self.seat_short(root, random)
+        for _ in range(BURN):
             self.sweep(root, random)
-            if k >= BURN:
-                base = root[self.word]
-                self.short.seat(base, random)
-                out += self.long.predictive(self.short.predictive(base)[self.long.parent])
+        out = np.zeros(len(self.count))
+        for _ in range(SAMPLES):
+            self.sweep(root, random)
+            out += self.predictive(root)
         return out / SAMPLES
 
-    def sent(self, root: np.ndarray, random) -> np.ndarray:
+    def sent(self) -> np.ndarray:
         """The tables of each word that go up to the root."""
-        self.short.seat(root[self.word], random)
-        return np.bincount(self.word, weights=self.short.t, minlength=self.words).astype(np.int64)
+        return np.bincount(self.word, weights=self.short_t, minlength=self.words).astype(np.int64)
 
-    def state(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.long.t, self.short.t
+    def resume(self, t: np.ndarray, short_t: np.ndarray) -> None:
+        self.t, self.short_t = t.astype(np.int64), short_t.astype(np.int64)
+        self._customers()
 
-    def resume(self, long: np.ndarray, short: np.ndarray) -> None:
-        self.long.t = long.astype(np.int64)
-        self.long.refill()
-        self.short.c = np.bincount(self.long.parent, weights=self.long.t, minlength=len(self.word)).astype(np.int64)
-        self.short.t = short.astype(np.int64)
-        self.short.refill()
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.t, self.short_t
 
 
 # ---------------------------------------------------------------- texts
 
 
-class Words(dict):
+class Words:
     """Numbers of the words that a task has met, and their hashes."""
 
     def __init__(self):
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.hashes)
-        self.hashes.append(_shared.word_hash(word))
-        return number
+        self.forget()
 
     def forget(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.hashes = []
+        self.numbers: dict[bytes, int] = {}
+        self.listed: list[int] = []
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        new = set(found).difference(self.numbers)
+        self.numbers.update(zip(new, range(len(self.listed), len(self.listed) + len(new)), strict=True))
+        self.listed += map(xxhash.xxh3_64_intdigest, new)
+        return np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found))
+
+    def hashes(self) -> np.ndarray:
+        return np.array(self.listed, dtype=np.uint64)
 
 
 class Run:
     """The tokens of some texts: their numbers in ``words``, the ends included, and the texts' sizes."""
 
-    def __init__(self, found: list[np.ndarray]):
-        self.tokens = np.concatenate(found)
-        self.sizes = np.array([len(x) for x in found], dtype=np.int64)
+    def __init__(self, tokens: np.ndarray, sizes: list[int]):
+        self.tokens, self.sizes = tokens, np.array(sizes, dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def before(self, tokens: np.ndarray, end: int) -> np.ndarray:
@@ -282,23 +301,28 @@ class Run:
 
 def runs(batches, words: Words):
     """(Run, the other columns of its texts) for all texts, in order."""
-    found, size, columns = [], 0, []
+    parts, found, size, sizes, columns = [], [], 0, [], []
     for b in batches:
         first = 0
         for i, text in enumerate(b.column(0).to_pylist()):
             listed = _shared.byte_words(text)
             listed.append(END)
-            found.append(np.fromiter(map(words.__getitem__, listed), dtype=np.int32, count=len(listed)))
+            sizes.append(len(listed))
             size += len(listed)
-            if size >= RUN_TOKENS or len(found) >= RUN_TEXTS:
+            found += listed
+            if len(found) >= TOGETHER:
+                parts.append(words.of(found))
+                found = []
+            if size >= RUN_TOKENS or len(sizes) >= RUN_TEXTS:
                 columns.append(b.slice(first, i + 1 - first))
-                yield Run(found), pa.Table.from_batches(columns)
-                found, size, columns, first = [], 0, [], i + 1
-                words.forget()
+                yield Run(np.concatenate([*parts, words.of(found)]), sizes), pa.Table.from_batches(columns)
+                parts, found, size, sizes, columns, first = [], [], 0, [], [], i + 1
+                if len(words.numbers) > REMEMBERED:
+                    words.forget()
         if first < b.num_rows:
             columns.append(b.slice(first))
-    if found:
-        yield Run(found), pa.Table.from_batches(columns)
+    if sizes:
+        yield Run(np.concatenate([*parts, words.of(found)]), sizes), pa.Table.from_batches(columns)
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -309,24 +333,31 @@ def count_words(docs: DataFrame) -> DataFrame:
     """w (hash as long), pair, n: the tokens of the training rows, and their pairs that are frequent in a run."""
 
     def run(batches):
-        words = Words()
+        words, total = Words(), np.empty(0, dtype=np.int64)
         for r, _ in runs(batches, words):
-            hashes = np.array(words.hashes, dtype=np.uint64)
+            hashes = words.hashes()
             n = np.bincount(r.tokens, minlength=len(hashes))
-            met = np.flatnonzero(n)
-            both = np.sort(r.before(r.tokens, words[END]).astype(np.int64) << 32 | r.tokens)
+            n[: len(total)] += total
+            total = n
+            both = np.sort(r.before(r.tokens, words.numbers[END]).astype(np.int64) << 32 | r.tokens)
             start = np.flatnonzero(np.diff(both, prepend=-1))
             times = np.diff(np.append(start, len(both)))
             often = both[start[times >= OFTEN]]
-            pairs, times = _pair(hashes[often >> 32], hashes[often & 0xFFFFFFFF]), times[times >= OFTEN]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([hashes[met], pairs]).view(np.int64)), pa.array(np.repeat([False, True], [len(met), len(pairs)])), pa.array(np.concatenate([n[met], times]))], ["w", "pair", "n"]
-            )
+            yield _counted(_pair(hashes[often >> 32], hashes[often & 0xFFFFFFFF]), times[times >= OFTEN], True)
+            if len(words.numbers) > REMEMBERED:  # they are forgotten before the next run
+                yield _counted(hashes, total, False)
+                total = np.empty(0, dtype=np.int64)
+        if len(total):
+            yield _counted(hashes, total, False)
 
     training = docs.where(_shared.fold() != HELD_OUT).select("text")
     return training.mapInArrow(_shared.released(run), "w long, pair boolean, n long").groupBy("w", "pair").agg(F.sum("n").alias("n"))
 
 
+def _counted(hashes: np.ndarray, n: np.ndarray, pair: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(n), pair)), pa.array(n.astype(np.int64))], ["w", "pair", "n"])
+
+
 class Table:
     """Numbers by hash, 0 for hashes that it lacks."""
 
@@ -372,18 +403,21 @@ def placed_runs(docs: DataFrame, shared, classes: int) -> DataFrame:
 def _rows(r: Run, columns: pa.Table, words: Words, head: Table, hot: Table, classes: int, number: int):
     """The run's own row, then a batch of its classes' rows."""
     n, m = len(r.tokens), len(r.sizes)
-    met = np.flatnonzero(np.bincount(r.tokens, minlength=len(words.hashes)))
-    renamed = np.zeros(len(words.hashes), dtype=np.int64)
+    hashes = words.hashes()
+    met = np.flatnonzero(np.bincount(r.tokens, minlength=len(hashes)))
+    renamed = np.zeros(len(hashes), dtype=np.int64)
+    hashes = hashes[met]
+    at = head.places(hashes)
+    codes = np.where(at >= 0, at.astype(np.uint64), hashes | TAIL)
+    order = np.argsort(codes)  # words are renamed by their codes' order
+    met, hashes, at, codes = met[order], hashes[order], at[order], codes[order]
+    count = np.where(at >= 0, head.counts[at] if len(head.counts) else 0, 0)
     renamed[met] = np.arange(len(met))
-    hashes = np.array(words.hashes, dtype=np.uint64)[met]
     w = renamed[r.tokens]
-    end = int(renamed[words[END]])
+    end = int(renamed[words.numbers[END]])
     v = r.before(w, end)
     u = r.before(v, end)
     owner = np.repeat(np.arange(m), r.sizes)
-    at = head.places(hashes)
-    count = np.where(at >= 0, head.counts[at] if len(head.counts) else 0, 0)
-    codes = np.where(at >= 0, at.astype(np.uint64), hashes | TAIL)
     known = at >= 0
     base = np.bincount(owner, weights=np.where(known, np.log10(count + 0.5), 0.0)[w], minlength=m)
     n_known = np.bincount(owner, weights=known[w], minlength=m).astype(np.int64)
@@ -448,8 +482,6 @@ def _rows(r: Run, columns: pa.Table, words: Words, head: Table, hot: Table, clas
             seen[used] = False
         else:
             used = np.unique(np.concatenate(mine))
-        order = np.argsort(codes[used])
-        used = used[order]
         local[used] = np.arange(len(used))
         code = codes[used]
         frequent = int(np.searchsorted(code, TAIL))
@@ -588,9 +620,10 @@ def seat_class(key: int, found: pa.Table, answers: pa.Table | None, types: int,
         told = FromRoot(answers, trigrams.codes, types, shards, seed)
         seating.resume(*told.state)
         root = told.p
+    seating.seat_short(root, random)
     for _ in range(BURN):
         seating.sweep(root, random)
-    sent = seating.sent(root, random)
+    sent = seating.sent()
     shard = _shard_of(trigrams.codes, shards)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))

@@ -369,7 +369,7 @@ def test_seating_against_the_plain_sampler(monkeypatch):
     monkeypatch.setattr(pitman_yor, "SAMPLES", 4000)
     seating = pitman_yor.Seating(long, short, word, count, types)
     mine = seating.sampled(root, np.random.default_rng(3))
-    plain = Franchise(long, short, word, count, root, {"long": seating.long.d, "short": seating.short.d}, {"long": pitman_yor.LONG_STRENGTH, "short": pitman_yor.SHORT_STRENGTH}, random.Random(5))
+    plain = Franchise(long, short, word, count, root, {"long": seating.d, "short": seating.short_d}, {"long": pitman_yor.LONG_STRENGTH, "short": pitman_yor.SHORT_STRENGTH}, random.Random(5))
     total, turns = np.zeros(len(count)), 1500
     for k in range(100 + turns):
         plain.sweep()
@@ -389,6 +389,8 @@ def test_tables_of_one_dish_against_enumeration():
     drawn = pitman_yor.draw_tables(np.full(200_000, most), np.full(200_000, a), d, table, rng)
     for t, w in weights.items():
         assert (drawn == t).mean() == pytest.approx(w / sum(weights.values()), abs=0.005)
+    two = pitman_yor.draw_tables(np.array([0, 1, *[2] * 100_000]), np.full(100_002, a), d, table, rng)
+    assert two[:2].tolist() == [0, 1] and (two[2:] == 2).mean() == pytest.approx(a / (1 - d + a), abs=0.006)
 
 
 def test_packed_arrays():
@@ -404,7 +406,7 @@ def test_packed_arrays():
 
 def test_model_shares_words_between_classes(spark, monkeypatch):
     """A word frequent after some contexts is likely after new ones, in whatever class they are."""
-    monkeypatch.setattr(pitman_yor, "CLASS_TOKENS", 64)
+    monkeypatch.setattr(pitman_yor, "CLASS_TOKENS", 700)  # several classes, and no context is split
     training = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 != 1]
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 1]
     # both words are frequent; one of them follows a single context
