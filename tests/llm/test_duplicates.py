@@ -164,5 +164,44 @@ def test_links_of_vectors_far_from_the_origin(share):
     assert found >= 0.98
 
 
+@pytest.mark.parametrize(("length", "floor"), [(64, 0.99), (256, 0.99), (768, 0.99)])
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_of_links(length, floor, clusters):
+    """Links at the threshold that meet in a band and pass the Hamming test, by length and with or without clusters."""
+    rng, n = np.random.default_rng(length + clusters), 3000
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    first = rng.normal(size=(n, length))
+    if clusters:
+        first = rng.normal(size=(clusters, length))[rng.integers(clusters, size=n)] + 0.6 * first
+    first = unit(first)
+    away = rng.normal(size=(n, length))
+    away = unit(away - (away * first).sum(axis=1)[:, None] * first)
+    second = 0.93 * first + np.sqrt(1 - 0.93**2) * away
+    bits = min(embedding_dup.CODE_BITS, length)
+    width, bands, tables = embedding_dup.plan(1 << 16, bits, 0.93)
+    model = embedding_dup.learn(first[:2000], tables, bits)
+    codes = [embedding_dup.encode(x, model) for x in (first, second)]
+    keys = [embedding_dup.band_keys(c, width, bands) for c in codes]
+    some = min(embedding_dup.COMPARED, tables)
+    close = np.bitwise_count(codes[0][:, :some] ^ codes[1][:, :some]).sum(axis=1) <= embedding_dup.most_apart(some * bits, 0.93)
+    met = (keys[0] == keys[1]).any(axis=1)
+    print(f"{length} numbers, {clusters} clusters: met {met.mean():.4f}, close {close.mean():.4f}, both {(met & close).mean():.4f}")
+    assert (met & close).mean() >= floor
+
+
+@pytest.mark.parametrize("largest", [10, 10**6, 10**9, 10**12])
+def test_the_plan_holds_its_recall_at_any_size(largest):
+    width, bands, tables = embedding_dup.plan(largest, 64, 0.93)
+    same = (1 - np.arccos(0.93) / np.pi) ** width
+    assert 1 - (1 - same) ** (bands * tables) >= embedding_dup.RECALL
+
+
+def test_vectors_with_repeated_and_null_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(None, a, 1, "x"), (3, a, 1, "x"), (3, b, 1, "x"), (2, b, 1, "y"), (2, b, 1, "y"), (None, b, None, "z")], "vec_id long, embedding array<double>, label int, cid string")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_dup.link_vectors(df).collect())
+    assert got == sorted([("None", 1, "3", True), ("3", 1, "3", True), ("3", 2, "2", False), ("2", 2, "2", True), ("2", 2, "2", True), ("None", 0, "None", True)])
+
+
 def test_empty_vectors(spark):
     assert embedding_dup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
