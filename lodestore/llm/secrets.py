@@ -9,11 +9,11 @@ window long.  A window slides over the candidate; the counts of its characters
 and the sum of ``c * log2(c)`` change by the entering and the leaving character
 only.  A candidate whose greatest window entropy reaches the class's threshold is
 a span, unless the allow-list suppresses it: runs without both a letter and a
-digit, UUIDs, paths, dates and version numbers, and runs that hold a known
-placeholder.
+digit, UUIDs, paths and dates.  Windows that touch a known placeholder don't count.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one
-by one; a null doc_id stays null.
+by one; a null doc_id stays null; other columns stay as they are, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,9 +46,10 @@ ALLOWED = (
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[a-z0-9_-]*(/[a-z0-9_-]+){2,}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"(?i)example|placeholder|changeme|0123456789|123456789|abcdef0123|abcdefghij|xxxxxx",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_/-]?[0-9-]*Z?$",
 )
+#: Windows that touch one of these don't count.
+PLACEHOLDER = r"(?i:example|placeholder|changeme|0123456789|123456789|abcdef0123|abcdefghij|xxxxxx)"
 
 
 def quoted(text: str) -> str:
@@ -75,10 +76,10 @@ def _spans(text: str, pattern: str, least: int, group: int, kind: int, test: str
 
 
 def _entropy(spans: str, threshold: float) -> str:
-    """The spans whose greatest window entropy reaches the threshold."""
+    """The spans with a window, free of placeholders, whose entropy reaches the threshold."""
     table = "array(" + ", ".join(f"{0.0 if c < 2 else c * math.log2(c)!r}D" for c in range(WINDOW + 2)) + ")"
     log_w = f"{math.log2(WINDOW)!r}D"
-    enter, leave = "element_at(q.ix, i)", f"if(i > {WINDOW}, element_at(q.ix, i - {WINDOW}), 0)"
+    enter, leave = "element_at(q, i)", f"if(i > {WINDOW}, element_at(q, i - {WINDOW}), 0)"
     f = lambda c: f"element_at({table}, {c} + 1)"
     was = f"element_at(a.n, {enter})"
     gone = f"(element_at(a.n, greatest({leave}, 1)) + if({enter} = {leave}, 1, 0))"
@@ -87,29 +88,42 @@ def _entropy(spans: str, threshold: float) -> str:
         'n', transform(a.n, (v, k) -> v + if(k + 1 = {enter}, 1, 0) - if(k + 1 = {leave}, 1, 0)),
         's', {total},
         'least', if(i >= {WINDOW}, least(a.least, {total}), a.least))"""
-    best = f"""aggregate(sequence(1, size(q.ix)), named_struct('n', array_repeat(0, {len(ALPHABET)}), 's', 0D, 'least', 1e9D),
+    best = f"""aggregate(sequence(1, size(q)), named_struct('n', array_repeat(0, {len(ALPHABET)}), 's', 0D, 'least', 1e9D),
         (a, i) -> {step}, a -> {log_w} - a.least / {WINDOW})"""
     allowed = " or ".join(f"x.value rlike {quoted(p)}" for p in ALLOWED)
-    candidates = f"""transform(filter({spans}, x -> not ({allowed})), x -> struct(x.start as start, x.kind as kind, x.end as end, x.value as value,
-        transform(filter(split(x.value, ''), c -> c <> ''), c -> instr('{ALPHABET}', c)) as ix))"""
-    return f"transform(filter({candidates}, q -> {best} >= {threshold}D), q -> struct(q.start as start, q.kind as kind, q.end as end, q.value as value))"
+    pieces = f"""transform(filter(split(x.value, {quoted(PLACEHOLDER)}, -1), p -> length(p) >= {WINDOW}),
+        p -> transform(filter(split(p, ''), c -> c <> ''), c -> instr('{ALPHABET}', c)))"""
+    return f"filter({spans}, x -> not ({allowed}) and exists({pieces}, q -> {best} >= {threshold}D))"
 
 
-def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``: sorted arrays of (start, kind number, end, value)."""
-    text = "__text"
-    out = docs.withColumn(text, F.coalesce(F.col(text_column), F.lit("")))
+def _free(docs: DataFrame) -> str:
+    """The start of names that no column has."""
+    prefix = "secrets: "
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def scan(docs: DataFrame, text_column: str = "text", base: str = "base_spans", spans: str = "all_spans") -> DataFrame:
+    """``docs`` with two more columns: sorted arrays of (start, kind number, end, value).
+
+    Columns of ``docs`` with these two names are replaced; all others stay.
+    """
+    prefix = _free(docs)
+    own = lambda name: f"`{prefix}{name}`"
+    put = lambda df, name, value: df.withColumn(own(name).strip("`"), value)
+    out = put(docs, "text", F.coalesce(F.col(text_column), F.lit("")))
     for k, (kind, pattern, group, least, test) in enumerate(KINDS):
-        out = out.withColumn(f"__{kind}", _spans(text, pattern, least, group, k, test))
+        out = put(out, kind, _spans(own("text"), pattern, least, group, k, test))
     for k, (kind, characters, _) in enumerate(CLASSES):
         run = f"[{characters}]{{{WINDOW},}}"
-        out = out.withColumn(f"__{kind}", _spans(text, run, WINDOW, 0, len(KINDS) + k, run))
+        out = put(out, kind, _spans(own("text"), run, WINDOW, 0, len(KINDS) + k, run))
     for kind, _, threshold in CLASSES:
-        out = out.withColumn(f"__{kind}", F.expr(_entropy(f"__{kind}", threshold)))
-    base = ", ".join(f"__{kind}" for kind, *_ in KINDS)
-    more = ", ".join(f"__{kind}" for kind, *_ in CLASSES)
-    out = out.withColumn("base_spans", F.expr(f"array_sort(concat({base}))")).withColumn("all_spans", F.expr(f"array_sort(concat({base}, {more}))"))
-    return out.drop(text, *[f"__{kind}" for kind, *_ in (*KINDS, *CLASSES)])
+        out = put(out, kind, F.expr(_entropy(own(kind), threshold)))
+    first = ", ".join(own(kind) for kind, *_ in KINDS)
+    more = ", ".join(own(kind) for kind, *_ in CLASSES)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (base, spans)]
+    return out.select(*kept, F.expr(f"array_sort(concat({first}))").alias(base), F.expr(f"array_sort(concat({first}, {more}))").alias(spans))
 
 
 def joined(spans: str) -> Column:
@@ -119,12 +133,15 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark; overlapping spans become one."""
-    scanned = scan(docs, text_column)
-    parts = f"""aggregate(all_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    prefix = _free(docs)
+    base, spans = f"{prefix}base spans", f"{prefix}all spans"
+    found, text = f"`{spans}`", f"`{text_column}`"
+    parts = f"""aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> named_struct('at', greatest(a.at, x.end),
-            'out', if(x.start >= a.at, concat(a.out, array(substring({text_column}, a.at + 1, x.start - a.at), '{mark}')), a.out)),
-        a -> concat(array_join(a.out, ''), substring({text_column}, a.at + 1, length({text_column}))))"""
-    return scanned.withColumn(text_column, F.expr(f"if(size(all_spans) > 0, {parts}, {text_column})")).drop("base_spans", "all_spans")
+            'out', if(x.start >= a.at, concat(a.out, array(substring({text}, a.at + 1, x.start - a.at), '{mark}')), a.out)),
+        a -> concat(array_join(a.out, ''), substring({text}, a.at + 1, length({text}))))"""
+    scanned = scan(docs, text_column, base, spans).withColumn(text_column, F.expr(f"if(size({found}) > 0, {parts}, {text})"))
+    return scanned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

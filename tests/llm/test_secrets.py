@@ -27,9 +27,10 @@ def entropy(text):
             if len(v) < S.WINDOW or any(re.search(p, v) for p in S.ALLOWED):
                 continue
             best = 0
-            for i in range(len(v) - S.WINDOW + 1):
-                w = v[i : i + S.WINDOW]
-                best = max(best, -sum(w.count(c) / S.WINDOW * math.log2(w.count(c) / S.WINDOW) for c in set(w)))
+            for piece in re.split(S.PLACEHOLDER, v):
+                for i in range(len(piece) - S.WINDOW + 1):
+                    w = piece[i : i + S.WINDOW]
+                    best = max(best, -sum(w.count(c) / S.WINDOW * math.log2(w.count(c) / S.WINDOW) for c in set(w)))
             if best >= threshold - 1e-9:
                 out.append((m.start(), 3 + k, m.end()))
     return out
@@ -48,7 +49,7 @@ def cases():
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
     out = [None, "", " ", "no secret", "token=api_key: 'abcdefgh12'", "PassWord\" : \"hunter2hunter2\"", "secret=short", "ſecret=abcdefghij",
            "AKIA" + "A" * 12, "AKIA" + "B" * 11, "xAKIAAKIA" + "1" * 20, "0" * 31, "0" * 32, "é漢" + "ab12" * 8 + "😀 token: " + pick(alnum, 40),
-           "123e4567-e89b-12d3-a456-426614174000", "a" * 4000, pick(alnum, 3000), "key " + pick("0123456789abcdef", 40) + " " + pick(alnum, 44) + "=="]
+           "123e4567-e89b-12d3-a456-426614174000", "a" * 4000, pick(alnum, 3000), "2024-05-01_" + pick(alnum, 40), "2024-05-01T10-20-30-40-50-60Z", pick(alnum, 40) + "example" + pick(alnum, 9), pick(alnum, 12) + "XXXXXX" + pick(alnum, 12), "key " + pick("0123456789abcdef", 40) + " " + pick(alnum, 44) + "=="]
     for _ in range(60):
         out.append(" ".join(r.choice([pick("0123456789abcdef", r.randint(20, 50)), pick(alnum, r.randint(10, 60)), "token=" + pick(alnum, 9), "api_key: '" + pick("abc.=", 7), "wort", "é" * 3, "AKIA" + pick("ABC123", r.randint(8, 20))]) for _ in range(r.randint(1, 12))))
     return out
@@ -80,6 +81,15 @@ def test_redaction_removes_every_span(spark):
     assert got == {0: "a [secret] tail", 1: None, 2: "", 3: "x [secret] y [secret]"}
 
 
+def test_other_columns_stay(spark):
+    names = ["__text", "__assign", "base_spans", "all_spans", "secrets: text", "a.b", "assign"]
+    df = spark.createDataFrame([(1, "token = 0123456789ab", *names), (None, None, *names)], ", ".join(["doc_id long, text string", *[f"`{n}` string" for n in names]]))
+    left = S.redact(df)
+    assert left.columns == df.columns and sorted(tuple(map(str, r)) for r in left.collect()) == sorted([("1", "[secret]", *names), ("None", "None", *names)])
+    scanned = S.scan(df, base="b", spans="s")
+    assert scanned.columns == [*df.columns, "b", "s"] and all(tuple(r)[2:9] == tuple(names) for r in scanned.collect())
+
+
 @pytest.mark.parametrize("schema", ["doc_id long, text string"])
 def test_empty_table(spark, schema):
     assert S.scan(spark.createDataFrame([], schema)).count() == 0
