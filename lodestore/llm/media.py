@@ -4,6 +4,10 @@ A payload is padded with zero bytes to a positive multiple of 64; four bytes are
 the samples of one pixel, sixteen pixels a row.  Payloads of more rows than an
 image may have become several images, one file after another.
 
+An image is stored with the predictor or cross-colour transform where its samples
+then take fewer bits, with a palette where it has few colours, else without; the
+file says which, and reading inverts it.
+
 Features are computed from the pixels that were read back: the number of images
 and rows, the mean of each channel and a histogram of the samples' high halves.
 
@@ -24,6 +28,35 @@ from pyspark.sql import functions as F
 from lodestore.llm import _shared, webp
 
 BLOCK, WIDTH, MOST_ROWS = 64, 16, 16384
+#: Block size of predictor and cross-colour transforms as a power of two, and the bits that one takes in a file.
+LARGE, COST = 9, 60
+
+
+def _bits(samples: np.ndarray) -> float:
+    """About how many bits a code for these samples takes, its own lengths included."""
+    n = np.bincount(samples.reshape(-1), minlength=256)
+    n = n[n > 0]
+    return float(samples.size * np.log2(samples.size) - (n * np.log2(n)).sum() + 6 * len(n))
+
+
+def transforms_of(pixels: np.ndarray) -> list | None:
+    """The transforms after which an image's samples take the fewest bits, None where none is better than none."""
+    height = len(pixels) // WIDTH
+    samples = pixels.view(np.uint8).reshape(-1, 4)
+    least, best = _bits(samples), None
+    across = [-(-WIDTH >> LARGE) * -(-height >> LARGE)]
+    for mode in (1, 2):
+        bits = _bits(webp.plain_residual(pixels, WIDTH, mode).view(np.uint8)) + COST
+        if bits < least:
+            least, best = bits, [("predictor", LARGE, [mode << 8 | webp.BLACK] * across[0])]
+    blue, green, red, alpha = samples.T
+    signed = green.view(np.int8).astype(np.int16)
+    for share in (16, 32):  # of green in red and blue, by 32nds
+        owed = (signed * share >> 5).astype(np.uint8)
+        bits = _bits(np.concatenate([green, alpha, red - owed, blue - owed])) + COST
+        if bits < least:
+            least, best = bits, [("cross", LARGE, [share << 8 | share | webp.BLACK] * across[0])]
+    return best
 
 
 def encode_payload(data: bytes) -> bytes:
@@ -35,10 +68,20 @@ def encode_payload(data: bytes) -> bytes:
         part = pixels[i : i + step]
         distinct = len(np.unique(part))
         few = len(part) >= 256 and distinct <= 16
-        files.append(webp.encode(part, WIDTH, len(part) // WIDTH, transforms=[("palette",)] if few else None, alike=not few, distinct=distinct))
+        files.append(_smallest(part, [("palette",)] if few else transforms_of(part), distinct))
     return b"".join(files)
 
 
+def _smallest(pixels: np.ndarray, transforms: list | None, distinct: int) -> bytes:
+    """The file with these transforms, or without any if that is no longer."""
+    height, few = len(pixels) // WIDTH, transforms == [("palette",)]
+    data = webp.encode(pixels, WIDTH, height, transforms=transforms, alike=not few, distinct=distinct)
+    if transforms and not few:
+        plain = webp.encode(pixels, WIDTH, height, alike=True, distinct=distinct)
+        data = plain if len(plain) <= len(data) else data
+    return data
+
+
 def decode_media(media: bytes) -> list[np.ndarray]:
     """The pixel arrays (rows, 16, 4 samples as stored: payload order) of a stored payload."""
     out, at = [], 0

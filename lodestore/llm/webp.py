@@ -85,32 +85,40 @@ def reversed_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def lookup(lengths: np.ndarray, shift: int = 0) -> tuple[list[int], int]:
-    """(table, mask): entry = symbol << shift + 6 | bits, by the next bits of the stream."""
+def _by_code(lengths: np.ndarray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, bits) for each value of the next ``width`` bits of the stream, by default the longest code's."""
     used = np.flatnonzero(lengths)
     if len(used) <= 1:
-        return [int(used[0]) << shift + 6 if len(used) else 0], 0
+        return (used if len(used) else np.zeros(1, np.int64)), np.zeros(1, np.int64)
     order = used[np.argsort(lengths[used], kind="stable")]
     n = lengths[order]
-    width = int(n[-1])
+    width = width or int(n[-1])
     if int((1 << width - n).sum()) != 1 << width:
         raise ValueError("webp: a prefix code is not complete")
-    by_code = np.repeat((order << shift + 6) + n, 1 << width - n)
-    return by_code[REVERSED[: 1 << width] >> 16 - width].tolist(), (1 << width) - 1
+    at = np.repeat(np.arange(len(order)), 1 << width - n)[REVERSED[: 1 << width] >> 16 - width]
+    return order[at], n[at]
+
+
+def lookup(lengths: np.ndarray, shift: int = 0) -> tuple[list[int], int]:
+    """(table, mask): entry = symbol << shift + 6 | bits, by the next bits of the stream."""
+    symbols, n = _by_code(lengths)
+    return ((symbols << shift + 6) + n).tolist(), len(symbols) - 1
 
 
-def read_lengths(bits: Bits, size: int) -> np.ndarray:
+def read_lengths(bits: Bits, size: int) -> tuple[np.ndarray, bool]:
+    """(lengths, whether the same bits spell the same code in an alphabet of any size that holds its symbols)."""
     out = np.zeros(size, dtype=np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         out[bits.read(8 if wide else 1)] = 1
         if two:
             out[bits.read(8)] = 1
-        return out
+        return out, True
     first = np.zeros(19, dtype=np.int64)
     for i in range(4 + bits.read(4)):
         first[LENGTH_ORDER[i]] = bits.read(3)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    counted = bits.read(1)
+    left = 2 + bits.read(2 + 2 * bits.read(3)) if counted else size
     table, mask = lookup(first)
     before, found, words, p = 8, [], bits.words, bits.at
     while len(found) < size and left:
@@ -132,6 +140,59 @@ def read_lengths(bits: Bits, size: int) -> np.ndarray:
     if len(found) > size:
         raise ValueError("webp: code lengths run over")
     out[: len(found)] = found
+    return out, bool(counted and not left)
+
+
+#: Bits that are looked up at once where all symbols of an image share a code, and the most symbols in them.
+WINDOW, IN_WINDOW = 12, 4
+
+
+def read_literals(bits: Bits, lengths: np.ndarray, count: int) -> np.ndarray:
+    """``count`` symbols of one code, several at a time."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 1:
+        return np.full(count, used[0] if len(used) else 0, dtype=np.uint8)
+    wide = WINDOW if count >= 3000 else max(WINDOW - 2, int(lengths.max()))
+    symbol, n = _by_code(lengths, wide)
+    window = np.arange(1 << wide)
+    symbols = np.zeros((1 << wide, IN_WINDOW), dtype=np.uint8)
+    symbols[:, 0] = symbol
+    step, held = n.copy(), np.ones(1 << wide, dtype=np.int64)
+    more = window
+    for k in range(1, IN_WINDOW):
+        rest = window[more] >> step[more]
+        fits = step[more] + n[rest] <= wide
+        more, rest = more[fits], rest[fits]
+        symbols[more, k] = symbol[rest]
+        step[more] += n[rest]
+        held[more] += 1
+    steps, words, p, end, mask = step.tolist(), bits.words, bits.at, bits.end, (1 << wide) - 1
+    found: list[int] = []
+    push = found.append
+    while p < end:  # four lookups take 48 of the 57 bits that are there
+        w = words[p >> 3] >> (p & 7)
+        i = w & mask
+        push(i)
+        k = steps[i]
+        w >>= k
+        i = w & mask
+        push(i)
+        j = steps[i]
+        w >>= j
+        k += j
+        i = w & mask
+        push(i)
+        j = steps[i]
+        w >>= j
+        k += j
+        i = w & mask
+        push(i)
+        p += k + steps[i]
+    at = np.array(found, dtype=np.int64)
+    out = symbols[at][np.arange(IN_WINDOW) < held[at][:, None]][:count]
+    bits.at += int(lengths[out].sum())
+    if len(out) < count or bits.at > end:
+        raise ValueError("webp: the stream ends early")
     return out
 
 
@@ -156,16 +217,24 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = []
     for _ in range(groups):
-        group, start, lengths = [], 0, np.empty(0, np.int64)
+        group, start, lengths, any_size = [], 0, np.empty(0, np.int64), False
         for size, place in zip(sizes, (8, 16, 0, 24, 0), strict=True):
             spelt = bits.at - start
-            if len(lengths) == size and _alike(bits, start, bits.at, spelt):  # the same code once more
+            fits = len(lengths) == size or any_size and not lengths[size:].any()
+            if fits and _alike(bits, start, bits.at, spelt):  # the same code once more
                 start = bits.at
                 bits.at += spelt
+                if len(lengths) != size:
+                    lengths = np.concatenate([lengths[:size], np.zeros(max(0, size - len(lengths)), np.int64)])
             else:
-                start, lengths = bits.at, read_lengths(bits, size)
-            group.append(lookup(lengths, place))
+                start, (lengths, any_size) = bits.at, read_lengths(bits, size)
+            group.append((lengths, place))
         codes.append(group)
+    first = codes[0][0][0]
+    if groups == 1 and not cache_bits and not first[256:].any() and all((c[:256] == first[:256]).all() and not c[256:].any() for c, _ in codes[0][1:4]) and int(first.max()) <= WINDOW:
+        found = read_literals(bits, first[:256], 4 * width * height).reshape(-1, 4).astype(np.uint32)
+        return found[:, 3] << np.uint32(24) | found[:, 1] << np.uint32(16) | found[:, 0] << np.uint32(8) | found[:, 2]
+    codes = [[lookup(*code) for code in group] for group in codes]
     total = width * height
     out: list[int] = []
     push = out.append
@@ -282,6 +351,33 @@ def _prediction(pixels: list[int], width: int, i: int, modes: list[int], block:
     return predict(mode, pixels[i - 1], pixels[i - width], pixels[i - width + 1], pixels[i - width - 1])
 
 
+def undo_plain_predictor(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """All blocks predict from the left (1) or from above (2): sums along rows and columns."""
+    a = pixels.view(np.uint8).reshape(-1, width, 4).copy()
+    a[0, 0, 3:] += np.uint8(255)
+    if mode == 1:
+        a[:, 0] = np.cumsum(a[:, 0], axis=0, dtype=np.uint8)
+        a = np.cumsum(a, axis=1, dtype=np.uint8)
+    else:
+        a[0] = np.cumsum(a[0], axis=0, dtype=np.uint8)
+        a = np.cumsum(a, axis=0, dtype=np.uint8)
+    return np.ascontiguousarray(a).view(np.uint32).reshape(-1)
+
+
+def plain_residual(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What such a predictor leaves."""
+    a = pixels.view(np.uint8).reshape(-1, width, 4)
+    out = a.copy()
+    if mode == 1:
+        out[:, 1:] -= a[:, :-1]
+        out[1:, 0] -= a[:-1, 0]
+    else:
+        out[1:] -= a[:-1]
+        out[0, 1:] -= a[0, :-1]
+    out[0, 0, 3:] -= np.uint8(255)
+    return out.view(np.uint32).reshape(-1)
+
+
 def undo_predictor(pixels: list[int], width: int, modes: list[int], block: int) -> None:
     for i in range(len(pixels)):
         pixels[i] = _plus(pixels[i], _prediction(pixels, width, i, modes, block))
@@ -336,7 +432,7 @@ def decode(data: bytes) -> tuple[np.ndarray, int, int]:
         kind = bits.read(2)
         if kind in (PREDICTOR, CROSS):
             block = bits.read(3) + 2
-            undo.append((kind, across, block, read_pixels(bits, -(-across >> block), -(-height >> block), False)))
+            undo.append((kind, across, block, list(map(int, read_pixels(bits, -(-across >> block), -(-height >> block), False)))))
         elif kind == SUBTRACT:
             undo.append((kind, across, 0, []))
         else:
@@ -347,7 +443,10 @@ def decode(data: bytes) -> tuple[np.ndarray, int, int]:
             across = -(-across >> _packing(size))
     pixels = np.array(read_pixels(bits, across, height, True), dtype=np.uint32)
     for kind, across, block, extra in reversed(undo):
-        if kind == PREDICTOR:
+        modes = {x >> 8 & 15 for x in extra} if kind == PREDICTOR else set()
+        if modes == {1} or modes == {2}:
+            pixels = undo_plain_predictor(pixels, across, modes.pop())
+        elif kind == PREDICTOR:
             listed = pixels.tolist()
             undo_predictor(listed, across, extra, block)
             pixels = np.array(listed, dtype=np.uint32)
@@ -426,7 +525,8 @@ def _tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return tokens
 
 
-def write_lengths(out: Writer, lengths: np.ndarray) -> None:
+def write_lengths(out: Writer, lengths: np.ndarray, counted: bool = False) -> None:
+    """counted: with the number of tokens in front, so that the bits don't depend on the alphabet's size."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = used.tolist() or [0]
@@ -438,7 +538,8 @@ def write_lengths(out: Writer, lengths: np.ndarray) -> None:
         if len(symbols) == 2:
             out.put(symbols[1], 8)
         return
-    tokens = _tokens(lengths)
+    tokens = _tokens(lengths[: used[-1] + 1] if counted else lengths)
+    counted = counted and len(tokens) >= 2
     first = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     single = np.count_nonzero(first) == 1
     codes, sizes = ([0] * 19, [0] * 19) if single else (reversed_codes(first).tolist(), first.tolist())
@@ -448,7 +549,11 @@ def write_lengths(out: Writer, lengths: np.ndarray) -> None:
     out.put(last + 1 - 4, 4)
     for s in LENGTH_ORDER[: last + 1]:
         out.put(spelt[s], 3)
-    out.put(0, 1)
+    out.put(int(counted), 1)
+    if counted:
+        wide = max(0, ((len(tokens) - 2).bit_length() - 1) // 2)
+        out.put(wide, 3)
+        out.put(len(tokens) - 2, 2 + 2 * wide)
     out.values += [codes[s] | extra << sizes[s] for s, extra, _ in tokens]
     out.sizes += [sizes[s] + n for s, _, n in tokens]
 
@@ -530,17 +635,20 @@ def write_pixels(out: Writer, pixels: np.ndarray, main: bool, cache_bits: int =
         out.put(0, 1)
     if main:
         out.put(0, 1)
-    if alike:  # the samples are bytes of one text: red, blue and alpha share a code
+    one = alike and not len(heads) and not cache_bits
+    if one:  # the samples are bytes of one text, and nothing else is written: all share a code
+        counts[0] = np.concatenate([counts[0][:256] + counts[1] + counts[2] + counts[3], counts[0][256:]])
+    elif alike:  # red, blue and alpha do
         counts[1] = counts[2] = counts[3] = counts[1] + counts[2] + counts[3]
     tables: list = []
     for k, c in enumerate(counts):
-        if alike and k in (2, 3):
+        if one and k in (1, 2, 3) or alike and k in (2, 3):
             out.values += spelt.values
             out.sizes += spelt.sizes
-            tables.append(tables[1])
+            tables.append(tables[-1])
             continue
-        lengths, spelt = code_lengths(c), Writer()
-        write_lengths(spelt, lengths)
+        lengths, spelt = code_lengths(c, LONGEST_SMALL_CODE if one else None), Writer()
+        write_lengths(spelt, lengths, one)
         out.values += spelt.values
         out.sizes += spelt.sizes
         several = np.count_nonzero(lengths) > 1

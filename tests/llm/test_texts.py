@@ -1,5 +1,6 @@
 """Tokens, packing, pages, media, the language model, toxicity and the pipeline."""
 
+import base64
 import hashlib
 import math
 import random
@@ -246,6 +247,115 @@ def test_webp_round_trips():
                 assert (a, b) == (w, h) and (back == px).all()
 
 
+@pytest.mark.parametrize(("file", "pixel"), [
+    ("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", 0),
+    ("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=", 0xFFFFFFFF),
+])
+def test_webp_files_of_another_encoder(file, pixel):
+    pixels, width, height = webp.decode(base64.b64decode(file))
+    assert (pixels.tolist(), width, height) == ([pixel], 1, 1)
+
+
+class Stream:
+    """Bits written one after another, lowest first, as the format's description has them: no code of the encoder's."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n)]
+
+    def single(self, *symbols):
+        """A simple code of one or two symbols of eight bits."""
+        self.put(1, 1)
+        self.put(len(symbols) - 1, 1)
+        self.put(1, 1)
+        for s in symbols:
+            self.put(s, 8)
+
+    def image(self, colour, main=False):
+        """One colour everywhere: five codes of one symbol each and no bits for pixels."""
+        self.put(0, 1)
+        if main:
+            self.put(0, 1)
+        a, r, g, b = colour
+        for s in (g, r, b, a):
+            self.single(s)
+        self.single(0)
+
+    def file(self):
+        body = bytes([0x2F]) + bytes(sum(b << i for i, b in enumerate(self.bits[k : k + 8])) for k in range(0, len(self.bits), 8))
+        chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+        return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def by_hand(transforms, width=5, height=3):
+    s = Stream()
+    s.put(width - 1, 14)
+    s.put(height - 1, 14)
+    s.put(1, 1)
+    s.put(0, 3)
+    for kind, colour in transforms:
+        s.put(1, 1)
+        s.put(kind, 2)
+        if kind < 2:
+            s.put(0, 3)
+            s.image(colour)
+        elif kind == 3:
+            s.put(0, 8)
+            s.image(colour)
+    return s
+
+
+def test_webp_transforms_by_hand():
+    """Files written bit by bit, whose pixels follow from the format's rules."""
+    s = by_hand([(0, (255, 0, 1, 0))])  # predictor: left
+    s.put(0, 1)
+    s.image((0, 1, 2, 3), main=True)
+    pixels, w, h = webp.decode(s.file())
+    want = [(255 & 0xFF, (x + y + 1) & 255, 2 * (x + y + 1), 3 * (x + y + 1)) for y in range(h) for x in range(w)]
+    assert [tuple(int(v) >> k & 255 for k in (24, 16, 8, 0)) for v in pixels] == want
+    s = by_hand([(0, (255, 0, 7, 0))])  # predictor: mean of left and top
+    s.put(0, 1)
+    s.image((0, 2, 0, 0), main=True)
+    red = [[0] * 5 for _ in range(3)]
+    for y in range(3):
+        for x in range(5):
+            guess = 0 if not x and not y else red[y][x - 1] if not y else red[y - 1][x] if not x else (red[y][x - 1] + red[y - 1][x]) // 2
+            red[y][x] = guess + 2
+    assert [int(v) >> 16 & 255 for v in webp.decode(s.file())[0]] == [v for row in red for v in row]
+    s = by_hand([(1, (255, 32, 224, 16))])  # cross-colour: red to blue 1, green to blue -1, green to red 1/2
+    s.put(0, 1)
+    s.image((9, 10, 200, 5), main=True)
+    green = 200 - 256
+    new_red = 10 + (16 * green >> 5) & 255
+    signed = new_red - 256 if new_red > 127 else new_red
+    assert set(map(int, webp.decode(s.file())[0])) == {9 << 24 | new_red << 16 | 200 << 8 | 5 + (-32 * green >> 5) + (32 * signed >> 5) & 255}
+    s = by_hand([(2, None), (3, (1, 2, 3, 4))])  # a palette of one colour below subtract-green
+    s.put(0, 1)
+    s.image((255, 0, 0, 0), main=True)
+    assert set(map(int, webp.decode(s.file())[0])) == {1 << 24 | 2 + 3 << 16 | 3 << 8 | 4 + 3}
+
+
+def test_transforms_are_chosen_where_they_are_smaller():
+    r = np.random.default_rng(2)
+    n = 4096
+    samples = {
+        "left": np.cumsum(r.integers(0, 3, (n, 4)), axis=0).astype(np.uint8),
+        "above": np.cumsum(r.integers(0, 3, (n // 16, 16, 4)), axis=0).astype(np.uint8).reshape(n, 4),
+        "cross": np.stack([(g := r.integers(0, 256, n)) + r.integers(0, 4, n), g, g + r.integers(0, 4, n), np.full(n, 7)], axis=1).astype(np.uint8),
+        "none": r.integers(97, 123, (n, 4)).astype(np.uint8),
+    }
+    for name, a in samples.items():
+        data = a.tobytes()
+        chosen = media.transforms_of(np.frombuffer(data, "<u4"))
+        assert {"none": chosen is None, "cross": chosen and chosen[0][0] == "cross"}.get(name, chosen and chosen[0][0] == "predictor"), name
+        stored = media.encode_payload(data)
+        assert b"".join(x.tobytes() for x in media.decode_media(stored)) == data
+        plain = webp.encode(np.frombuffer(data, "<u4"), 16, n // 16, alike=True)
+        assert len(stored) < 0.9 * len(plain) or name == "none"
+
+
 def test_webp_rejects_broken_files():
     data = webp.encode(np.arange(600, dtype=np.uint32) * 77777, 30, 20)
     for bad in (b"RIFFxxxxWEBPVP8 ", data[:40], data[: len(data) // 2]):
