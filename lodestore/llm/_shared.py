@@ -128,7 +128,18 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/lodestore-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

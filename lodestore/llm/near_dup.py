@@ -17,10 +17,11 @@ same set are one class; the work below is on classes.
   another for each list later; a pivot of many pairs is salted.  After ``ROUNDS``
   rounds the lists that still cross components are settled whole, in blocks of two
   chunks of classes.  First the sketches of a block are intersected as a matrix
-  product, which tells the classes that may have a link into another component;
-  then the full sets of these.  At most one edge a class comes out.  No link
-  between components is missed, and no list gives all its pairs.  Chunks are
-  bounded by classes (``CHUNK``) and by hashes (``LOAD``).
+  product, which tells the classes that may have a link into another component,
+  each pair in the first list that it shares; then the full sets of these.  At
+  most one edge a class comes out.  No link between components is missed, and no
+  list gives all its pairs.  Chunks are bounded by classes (``CHUNK``) and by
+  hashes (``LOAD``).
 
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; texts under five words have one shingle, the whole sequence;
@@ -204,8 +205,8 @@ def _blocks(rows: DataFrame, values: DataFrame) -> DataFrame:
 BLOCK = ["v", "i", "j"]
 
 
-def _each_block(batches, column: str):
-    """(first row, the rows' arrays, numbers of their components, table) of every block."""
+def _each_block(batches, *columns: str):
+    """(first row, the rows' arrays for each column, numbers of their components, table) of every block."""
     for table in _shared.whole_groups(batches, BLOCK):
         keys = [table.column(c).to_numpy() for c in BLOCK]
         new = np.zeros(table.num_rows, dtype=bool)
@@ -213,19 +214,22 @@ def _each_block(batches, column: str):
             new[1:] |= k[1:] != k[:-1]
         starts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
         comp = table.column("comp").to_pandas().factorize()[0]
-        lists = table.column(column).combine_chunks()
-        flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        parts = []
+        for c in columns:
+            lists = table.column(c).combine_chunks()
+            parts.append((lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))))
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            yield s, [flat[ends[k] : ends[k + 1]] for k in range(s, e)], comp[s:e], table
+            yield s, *([flat[ends[k] : ends[k + 1]] for k in range(s, e)] for flat, ends in parts), comp[s:e], table
 
 
-def remaining(lists: DataFrame, roots: DataFrame | None, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components which the lists that still cross components hold."""
+def remaining(lists: DataFrame, roots: DataFrame | None, sketches: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) that join the components which the lists that still cross components hold, a table to discard after)."""
 
     def screen(batches):
-        for s, found, comp, table in _each_block(batches, "sketch"):
+        for s, found, listed, comp, table in _each_block(batches, "sketch", "listed"):
             part = table.slice(s, len(found)).select(["v", "fp", "n", "comp"])
-            may = _may_link(found, part.column("n").to_numpy(), comp, percent)
+            v = part.column("v")[0].as_py()
+            may = _may_link(found, part.column("n").to_numpy(), comp, percent, [x[x < v] for x in listed])
             yield from part.take(pa.array(np.flatnonzero(may))).to_batches()
 
     def settle(batches):
@@ -236,8 +240,9 @@ def remaining(lists: DataFrame, roots: DataFrame | None, sketches: DataFrame, se
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     rows = _with_components(lists, roots).select("v", "fp", "n", "comp")
-    screened = _shared.written(_blocks(rows, sketches).mapInArrow(_shared.released(screen), "v long, fp binary, n long, comp binary").distinct())
-    return _blocks(screened, sets).mapInArrow(_shared.released(settle), "a binary, b binary").distinct()
+    own = lists.groupBy("fp").agg(F.array_sort(F.collect_set("v")).alias("listed"))  # KEPT values at most
+    screened = _shared.written(_blocks(rows, sketches.join(own, "fp")).mapInArrow(_shared.released(screen), "v long, fp binary, n long, comp binary").distinct())
+    return _blocks(screened, sets).mapInArrow(_shared.released(settle), "a binary, b binary").distinct(), screened
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -245,6 +250,8 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     size = len(sets)
     own = np.repeat(np.arange(size), [len(s) for s in sets])
     both = np.zeros((size, size), dtype=np.float32)
+    if not len(own):
+        return both
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1  # values of one class only meet nothing
     shared = times[at] > 1
@@ -260,13 +267,18 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _may_link(sketches: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sketches leave it open that a set has a partner in another component."""
+def _may_link(sketches: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int, earlier: list[np.ndarray] | None = None) -> np.ndarray:
+    """Whether the sketches leave it open that a set has a partner in another component.
+
+    earlier: each set's lists before this one; pairs that share one are judged there.
+    """
     size, p = len(sketches), percent / 100
     may = np.zeros(size, dtype=bool)
     if size < 2 or (comp == comp[0]).all():
         return may
     both = _intersections(sketches)
+    if earlier is not None:
+        both[_intersections(earlier) > 0] = 0
     kept = np.array([len(s) for s in sketches])
     most = np.iinfo(np.int64).max
     padded = np.full((size, KEPT), most)
@@ -355,6 +367,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = listed.select("fp", "sketch")
 
     links = tested = roots = None
+    made: list[DataFrame] = []
     for turn in range(ROUNDS):
         pairs = candidates(lists, roots, turn, percent)
         if tested is not None:
@@ -362,13 +375,17 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
         pairs = _shared.written(pairs)
         likely = _shared.written(plausible(pairs, sketches, percent))
         new = _shared.written(confirmed(likely, sets, percent))
+        made += [pairs, likely, new]
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             roots = components(links)
-    new = _shared.written(remaining(lists, roots, sketches, sets, percent))
+    found, screened = remaining(lists, roots, sketches, sets, percent)
+    new = _shared.written(found)
+    made.append(new)
     if not new.isEmpty():
         roots = components(new if links is None else links.unionByName(new))
+    _shared.discard(classes, lists, listed, sets, screened, *made)
     found = rows.drop("sketch")
     if roots is None:
         return found.withColumn("group", F.col("fp"))
