@@ -72,3 +72,11 @@ def age_text(hours: Column) -> Column:
         .when(hours < 168, F.format_string("%.1fd ago", hours / 24))
         .otherwise(F.format_string("%.1fw ago", hours / 168))
     )
+
+
+def explained(cosine: Column, weight: Column, boost: Column, reinforcements: Column, hours: Column, score: Column) -> Column:
+    """How a score came about, as text."""
+    return F.format_string(
+        "Score breakdown:\n  Cosine similarity : %.4f\n  Temporal decay    : %.4f  (%.1fh ago)\n  Frequency boost   : %.4f  (%d reinforcements)\n  " + "\u2500" * 29 + "\n  Final score       : %.4f",
+        cosine, weight, hours, boost, reinforcements, score,
+    )

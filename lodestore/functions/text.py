@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,24 +13,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Word lists and keywords.
-STOPWORDS = (
-    "a an the and or but in on at to for of with by from is was are were be been has have had do does did will would could should may might it its "
-    "this that i you he she we they not no so as if then"
-).split()
+# Word lists, keywords and field names, in their given order.
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "is", "was", "are", "were", "be", "been",
+    "has", "have", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "it", "its", "this", "that", "i", "you",
+    "he", "she", "we", "they", "not", "no", "so", "as", "if", "then",
+]
 NOISE_WORDS = [
-    "ok", "okay", "yes", "no", "yeah", "nope", "sure", "lol", "haha", "thanks", "thank", "thx", "bye", "hello", "hi", "hey", "coucou", "salut", "merci",
-    "cool", "nice", "great", "good", "wow", "ah", "oui", "non", "bof", "ouais", "voila", "voilà", "d accord", "d'accord", "parfait", "super",
+    "ok", "okay", "yes", "no", "yeah", "nope", "sure",
+    "lol", "haha", "thanks", "thank", "thx", "bye",
+    "hello", "hi", "hey", "coucou", "salut", "merci",
+    "cool", "nice", "great", "good", "wow", "ah",
+    "oui", "non", "bof", "ouais", "voila", "voilà",
+    "d accord", "d'accord", "parfait", "super",
 ]
 CATEGORIES = {
-    "tech_stack": "react vue python javascript typescript node code framework library api backend frontend database sql git".split(),
+    "tech_stack": ["react", "vue", "python", "javascript", "typescript", "node", "code", "framework", "library", "api", "backend", "frontend", "database", "sql", "git"],
     "preference": ["prefer", "like", "love", "hate", "always", "never", "favorite", "dark mode", "light mode", "ui", "ux"],
-    "learning": "learning studying course tutorial beginner understand practice".split(),
-    "product": "pricing plan pro upgrade subscription billing free trial dashboard".split(),
-    "sentiment": "happy sad excited worried frustrated great terrible love hate".split(),
-    "work": "work job company team project meeting office remote client".split(),
+    "learning": ["learning", "studying", "course", "tutorial", "beginner", "understand", "practice"],
+    "product": ["pricing", "plan", "pro", "upgrade", "subscription", "billing", "free", "trial", "dashboard"],
+    "sentiment": ["happy", "sad", "excited", "worried", "frustrated", "great", "terrible", "love", "hate"],
+    "work": ["work", "job", "company", "team", "project", "meeting", "office", "remote", "client"],
 }
-STOP_FIELDS = ("timestamp", "ts", "created_at", "updated_at", "time")
+ATOMIC_FIELDS = ["action", "event", "type", "eventType", "event_type"]
+STOP_FIELDS = ["timestamp", "ts", "created_at", "updated_at", "time"]
+UNSPOKEN_FIELDS = ["timestamp", "reinforcements"]
 HASH_TOKEN = "[0-9a-zàâäéèêëîïôöùûüçñ]+"
 
 
@@ -82,22 +92,71 @@ def idf(df: DataFrame, n_docs: int) -> DataFrame:
 def vocabulary(df: DataFrame) -> DataFrame:
     """token and its number in sorted order.
 
-    Tokens are range-partitioned and numbered within partitions; the partitions'
-    sizes, one row each, give the offsets, so no task sorts the whole vocabulary.
+    Tokens are numbered among those of the same first characters; the sizes of
+    these groups, one row each, give the offsets, so no task sorts the whole
+    vocabulary.
     """
-    parts = df.select("token").distinct().repartitionByRange("token").withColumn("part", F.spark_partition_id())
-    offsets = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = offsets.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("token"))
-    return parts.withColumn("rank", rank).join(before, "part").select("token", (F.col("offset") + F.col("rank") - 1).alias("idx"))
+    start = F.substring("token", 1, 3)
+    tokens_ = df.select("token").distinct().withColumn("start", start)
+    sizes = tokens_.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("start").orderBy("token"))
+    return tokens_.withColumn("rank", rank).join(before, "start").select("token", (F.col("offset") + F.col("rank") - 1).alias("idx"))
+
+
+def grown_vocabulary(known: DataFrame, df: DataFrame) -> DataFrame:
+    """``known`` (token, idx) and the tokens of ``df`` that it lacks, numbered on in sorted order."""
+    new = vocabulary(df.join(known, "token", "left_anti"))
+    size = known.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("size"))
+    return known.select("token", "idx").unionByName(new.crossJoin(F.broadcast(size)).select("token", (F.col("idx") + F.col("size")).alias("idx")))
+
+
+def merged_frequency(df: DataFrame, more: DataFrame) -> DataFrame:
+    """Document frequencies of two batches together."""
+    return df.unionByName(more).groupBy("token").agg(F.sum("df").alias("df"))
 
 
-def tfidf(docs: DataFrame, weights: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, token, tfidf; unknown tokens count in the length only."""
-    listed = docs.select(id_column, tokens(F.col(text_column)).alias("found"))
-    each = listed.select(id_column, F.size("found").alias("n"), F.explode("found").alias("token"))
-    counted = each.groupBy(id_column, "token", "n").agg(F.count(F.lit(1)).alias("times"))
-    return counted.join(weights.select("token", "idf"), "token").select(id_column, "token", (F.col("times") / F.col("n") * F.col("idf")).alias("tfidf"))
+def term_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n (tokens of the text), token, times: a row for each distinct token of each row, counted inside the row."""
+    listed = docs.select(id_column, F.array_sort(tokens(F.col(text_column))).alias("t")).withColumn("n", F.size("t")).where("n > 0")
+    starts = F.expr("filter(sequence(1, n), i -> i = 1 or element_at(t, i) <> element_at(t, i - 1))")
+    spans = F.expr("zip_with(s, slice(s, 2, n), (a, b) -> struct(element_at(t, a) as token, coalesce(b, n + 1) - a as times))")
+    return listed.withColumn("s", starts).select(id_column, "n", F.explode(spans).alias("x")).select(id_column, "n", "x.token", F.col("x.times").cast("long").alias("times"))
+
+
+def tfidf(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, token, tfidf over the corpus's own frequencies.
+
+    Only distinct tokens of a text are shuffled; the corpus size joins as one row,
+    and the frequencies by token (Spark broadcasts them while they are small and
+    splits frequent tokens where they are not).
+    """
+    counted = term_counts(docs, id_column, text_column)
+    size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    df = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
+    weights = df.select("token", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return counted.join(weights, "token").select(id_column, "token", (F.col("times") / F.col("n") * F.col("idf")).alias("tfidf"))
+
+
+def event_tokens(action: Column, metadata: Column) -> Column:
+    """Tokens of an event: its action, then its string fields (a map) in order.
+
+    Fields of ``STOP_FIELDS`` are left out; a value without a blank in a field of
+    ``ATOMIC_FIELDS``, or as action, stays one token.
+    """
+    whole = lambda v: F.array(F.lower(v))
+    one = lambda v: ~F.trim(v).contains(" ")
+    field = lambda e: F.when(e["key"].isin(ATOMIC_FIELDS) & one(e["value"]), whole(e["value"])).otherwise(tokens(e["value"]))
+    spoken = F.filter(F.map_entries(metadata), lambda e: ~e["key"].isin(STOP_FIELDS) & e["value"].isNotNull())
+    first = F.when(action.isNull(), F.array().cast("array<string>")).when(one(action), whole(action)).otherwise(tokens(action))
+    return F.concat(first, F.coalesce(F.flatten(F.transform(spoken, field)), F.array().cast("array<string>")))
+
+
+def event_text(action: Column, metadata: Column) -> Column:
+    """An event as a text: its action and the values of its fields, without times, counters and ``__`` fields."""
+    spoken = F.filter(F.map_entries(metadata), lambda e: ~e["key"].isin(UNSPOKEN_FIELDS) & ~e["key"].startswith("__"))
+    values = F.transform(spoken, lambda e: e["value"])
+    return F.concat_ws(" ", F.when(action != "", action), F.coalesce(values, F.array().cast("array<string>")))
 
 
 def bucket(gram: str, dim: int) -> tuple[int, float]:
@@ -106,6 +165,10 @@ def bucket(gram: str, dim: int) -> tuple[int, float]:
     return value % dim, 1.0 if (value // dim) & 1 else -1.0
 
 
+#: Tokens whose cells are remembered.
+REMEMBERED = 50_000
+
+
 def hash_vector(text: str | None, dim: int = 256, low: int = 3, high: int = 5, memory: dict | None = None) -> np.ndarray:
     """Unit vector of a text's signed gram counts; zero without a token."""
     memory = {} if memory is None else memory
@@ -115,22 +178,22 @@ def hash_vector(text: str | None, dim: int = 256, low: int = 3, high: int = 5, m
         if part is None:
             framed = f"^{token}$"
             grams = [framed[i : i + n] for n in range(low, high + 1) for i in range(len(framed) - n + 1)] + [f"#{token}"]
-            part = np.zeros(dim)
-            for cell, sign in (bucket(g, dim) for g in grams):
-                part[cell] += sign
-            if len(memory) < 50_000:
+            cells = [bucket(g, dim) for g in grams]
+            part = np.array([c for c, _ in cells]), np.array([x for _, x in cells])
+            if len(memory) < REMEMBERED:
                 memory[token] = part
-        out += part
+        np.add.at(out, *part)
     n = np.linalg.norm(out)
     return (out / n if n else out).astype(np.float32)
 
 
 def hash_embedding(dim: int = 256):
-    """A pandas UDF from text to its hashed unit vector; distinct tokens are hashed once a worker."""
+    """A pandas UDF from text to its hashed unit vector; the cells of distinct tokens are remembered while a task runs."""
 
     @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memory: dict = {}
-        return pd.Series([hash_vector(t, dim, memory=memory) for t in texts])
+        for texts in batches:
+            yield pd.Series([hash_vector(t, dim, memory=memory) for t in texts])
 
     return embed

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def literal(query: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, summed from the first component on."""
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -6,9 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestore.functions import vector
+from lodestore.operators import blocks
 
 STABILITY_DAYS, FREQUENCY, CONFLICT, PRUNE, MERGE, MOST_MERGES = 2.0, 0.5, 0.4, 0.05, 0.96, 50
 
@@ -17,16 +16,36 @@ def bio_weights(df: DataFrame, prune_threshold: float = PRUNE) -> DataFrame:
     """``df`` (user_id, age_h, reinforcements) with its weight, the user's greatest being 1, and whether to prune it."""
     conflict = F.col("conflict_score") if "conflict_score" in df.columns else F.lit(0.0)
     raw = F.exp(-F.col("age_h") / (24 * STABILITY_DAYS)) * (1 + FREQUENCY * F.col("reinforcements")) * F.greatest(F.lit(0.0), 1 - CONFLICT * conflict)
-    most = df.withColumn("raw", raw).groupBy("user_id").agg(F.max("raw").alias("most"))  # combined before the shuffle
-    weighed = df.withColumn("raw", raw).join(most, "user_id").withColumn("weight", F.when(F.col("most") > 0, F.col("raw") / F.col("most")).otherwise(0.0))
-    return weighed.drop("raw", "most").withColumn("prune", (F.col("weight") < prune_threshold) & (F.col("age_h") > 24))
+    own, best = "bio_weights: raw", "bio_weights: most"
+    most = df.withColumn(own, raw).groupBy("user_id").agg(F.max(own).alias(best))  # combined before the shuffle
+    weighed = df.withColumn(own, raw).join(most, "user_id").withColumn("weight", F.when(F.col(best) > 0, F.col(own) / F.col(best)).otherwise(0.0))
+    return weighed.drop(own, best).withColumn("prune", (F.col("weight") < prune_threshold) & (F.col("age_h") > 24))
+
+
+def apply_weights(df: DataFrame, weights: DataFrame, key: str = "event_id") -> DataFrame:
+    """``df`` with ``bio_weight`` put into 0..1 from ``weights`` (key, weight); rows without one keep theirs."""
+    new = weights.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight"))).alias("apply_weights: new"))
+    old = F.col("bio_weight") if "bio_weight" in df.columns else F.lit(1.0)
+    return df.join(new, key, "left").withColumn("bio_weight", F.coalesce("apply_weights: new", old)).drop("apply_weights: new")
+
+
+def cycle(df: DataFrame, threshold: float = MERGE, most: int = MOST_MERGES, prune_threshold: float = PRUNE) -> tuple[DataFrame, DataFrame]:
+    """(merged memories, statistics) of one consolidation: weights, pruning, merging.
+
+    df: user_id, vec_id, event_id, age_h, ts (seconds), reinforcements, embedding.
+    Statistics: user_id, weights_updated, pruned, merged.
+    """
+    weighed = bio_weights(df, prune_threshold)
+    left = weighed.where(~F.col("prune")).select("user_id", F.col("event_id").alias("vec_id"), "ts", "reinforcements", "embedding")
+    merged = episodic_merge(left, threshold, most)
+    counts = weighed.groupBy("user_id").agg(F.count(F.lit(1)).alias("weights_updated"), F.count_if("prune").alias("pruned"))
+    merges = merged.groupBy("user_id").agg(F.count(F.lit(1)).alias("merged"))
+    return merged, counts.join(merges, "user_id", "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
 
 
 def merge_pairs(df: DataFrame, threshold: float, group: str = "label") -> DataFrame:
-    """a < b of one group whose vectors are similar enough."""
-    a = df.select(group, F.col("vec_id").alias("a"), F.col("embedding").alias("ea"))
-    b = df.select(group, F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, group).where("a < b").select(group, "a", "b", vector.dot(F.col("ea"), F.col("eb")).alias("sim")).where(F.col("sim") >= threshold)
+    """group, a < b, sim: the rows of one group whose vectors are similar enough, by matrix products in blocks."""
+    return blocks.similar_pairs(df, threshold, group)
 
 
 def centroids(df: DataFrame, group: str = "label") -> DataFrame:
@@ -44,6 +63,7 @@ def episodic_merge(df: DataFrame, threshold: float = MERGE, most: int = MOST_MER
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         unit = np.array(rows.embedding.tolist(), dtype=np.float64).reshape(len(rows), -1)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
         ids, ts, n = rows.vec_id.to_numpy(), rows.ts.to_numpy(), rows.reinforcements.to_numpy()
         free, out = np.ones(len(rows), dtype=bool), []
         for i in range(len(rows)):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestore.functions import decay, vector
-from lodestore.operators import search
+from lodestore.operators import blocks, search
 
 #: 2024-01-31 00:00:00 UTC in seconds.
 NOW = 1706659200.0
@@ -29,22 +29,20 @@ def age_hours(ts: Column, now: float = NOW) -> Column:
 def memories(spark: SparkSession, sf_dir: str, now: float = NOW) -> DataFrame:
     """Events with the vector they point at, their reinforcements and their age."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    n = vectors.count()  # from the file footers
+    n = max(1, vectors.count())  # from the file footers
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts").withColumn("vec_id", F.col("event_id") % n)
-    counted = events.withColumn("reinforcements", F.count(F.lit(1)).over(Window.partitionBy("user_id", "event_type")))
-    return counted.join(vectors, "vec_id").withColumn("age_h", age_hours(F.col("ts"), now))
+    counts = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("reinforcements"))  # combined before the shuffle
+    return events.join(counts, ["user_id", "event_type"]).join(vectors, "vec_id").withColumn("age_h", age_hours(F.col("ts"), now))
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
-    return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
-
-
-def literal(query: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in query])
+    """The vector of that id; empty where there is none."""
+    found = read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(found[0]) if found and found[0] else []
 
 
 def with_cosine(df: DataFrame, query: list[float]) -> DataFrame:
-    return df.withColumn("cosine", vector.dot(F.col("embedding"), literal(query)))
+    return df.withColumn("cosine", vector.dot(F.col("embedding"), vector.literal(query)))
 
 
 def manager_recall(df: DataFrame, query: list[float], k: int = 5, threshold: float = 0.05, status: Column | None = None) -> DataFrame:
@@ -66,14 +64,33 @@ MODES = ("semantic", "temporal", "contextual", "summary", "chain")
 CHAIN_SEEDS = 3
 
 
-def recall(df: DataFrame, query: list[float], mode: str = "contextual", k: int = 5, min_score: float = 0.0, recalls: DataFrame | None = None, filters: Column | None = None, chain_sim: float = 0.55) -> DataFrame:
+def passing(df: DataFrame, status: str = "active", category: str | None = None, max_age_hours: float | None = None) -> DataFrame:
+    """The candidates of a recall: rows of that status (``all``: any; a table without the column is active), category and age."""
+    if status != "all" and "status" in df.columns:
+        df = df.where(F.coalesce("status", F.lit("active")) == status)
+    elif status not in ("all", "active"):
+        df = df.limit(0)
+    if "deleted" in df.columns:
+        df = df.where(~F.coalesce("deleted", F.lit(False)))
+    if category is not None:
+        df = df.where(F.col("category") == category)
+    return df if max_age_hours is None else df.where(F.col("age_h") <= max_age_hours)
+
+
+def recall(
+    df: DataFrame, query: list[float], mode: str = "contextual", k: int = 5, min_score: float = 0.0, recalls: DataFrame | None = None, filters: Column | None = None, chain_sim: float = 0.55,
+    status: str = "active", category: str | None = None, max_age_hours: float | None = None,
+) -> DataFrame:
     """Per user the k best rows of an exhaustive scoring; ``recalls`` (user_id, event_id, recalled_h) lifts what was recalled lately.
 
-    The chain mode scores as the contextual one and adds the neighbours of a user's best rows, whatever ``filters`` say.
+    Only active rows take part unless ``status`` says otherwise.  The chain mode
+    scores as the contextual one and adds the neighbours of a user's best rows,
+    whatever the filters say.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    rows = with_cosine(df if filters is None else df.where(filters), query)
+    rows = passing(df, status, category, max_age_hours)
+    rows = with_cosine(rows if filters is None else rows.where(filters), query)
     score = F.col("cosine")
     if mode != "semantic":
         score = score * decay.exponential(F.col("age_h"), 24.0, 0.05)
@@ -100,12 +117,22 @@ def _with_neighbours(base: DataFrame, df: DataFrame, k: int, threshold: float) -
     return together.withColumn("first", first).where("first = 1").drop("first", "seed")
 
 
-def neighbour_edges(vectors: DataFrame, threshold: float, group: str = "label") -> DataFrame:
-    """src, dst, sim: both directions of the pairs of a group that are similar enough."""
-    a = vectors.select(F.col(group), F.col("vec_id").alias("src"), F.col("embedding").alias("ea"))
-    b = vectors.select(F.col(group), F.col("vec_id").alias("dst"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, group).where("src <> dst").select("src", "dst", vector.dot(F.col("ea"), F.col("eb")).alias("sim"))
-    return pairs.where(F.col("sim") >= threshold)
+def feedback(rows: DataFrame, found: DataFrame, now_h: float = 0.0) -> DataFrame:
+    """``rows`` after a recall: what was found (user_id, event_id) is reinforced and logged as recalled ``now_h`` hours ago."""
+    hits = found.select("user_id", "event_id").distinct().withColumn("feedback: hit", F.lit(True))
+    had = lambda c, other: F.col(c) if c in rows.columns else F.lit(other)
+    joined = rows.join(hits, ["user_id", "event_id"], "left")
+    hit = F.col("feedback: hit").isNotNull()
+    return joined.select(
+        *[F.col(c) for c in rows.columns if c not in ("reinforcements", "recall_count", "recalled_h")],
+        (F.col("reinforcements") + hit.cast("int")).alias("reinforcements"), (had("recall_count", 0) + hit.cast("int")).alias("recall_count"),
+        F.when(hit, F.lit(now_h)).otherwise(had("recalled_h", None)).cast("double").alias("recalled_h"),
+    )
+
+
+def neighbour_edges(vectors: DataFrame, threshold: float, group: str = "label", most: int | None = None) -> DataFrame:
+    """src, dst, sim: both directions of the pairs of a group that are similar enough, of each node the ``most`` nearest."""
+    return blocks.neighbour_graph(vectors, threshold, most, group)
 
 
 def recall_chain(edges: DataFrame, seeds: DataFrame, depth: int, weight: DataFrame, k: int) -> DataFrame:
@@ -130,3 +157,23 @@ def context_block(found: DataFrame, budget: int = 800) -> DataFrame:
     kept = found.withColumn("used", F.sum(F.length("line")).over(w)).where(F.col("used") <= budget)
     listed = kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("lines"))  # budget bounds the group
     return listed.select("user_id", F.array_join(F.col("lines.line"), "\n").alias("context"), F.size("lines").alias("n_lines"))
+
+
+HEADER, NOTHING = "## User Memory Context", "(no relevant memories found)"
+
+
+def context_text(found: DataFrame, budget: int = 800, text: str = "text") -> DataFrame:
+    """Per user the text that goes into a prompt: a header, the ranked lines with their age that fit the budget, a footer.
+
+    found: user_id, rank, age_h and the text column.  The header counts towards the
+    budget, and the first line that does not fit ends the list.
+    """
+    header = F.concat(F.lit(HEADER + " \u2014 "), F.col("user_id").cast("string"))
+    lines = found.withColumn("line", F.concat(F.lit("- ["), decay.age_text(F.col("age_h")), F.lit("] "), F.col(text)))
+    w = Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    fits = (F.length(header) + F.sum(F.length("line")).over(w)) <= budget
+    listed = lines.withColumn("fits", fits).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("rank", "line")))).alias("lines")  # the budget bounds the list
+    )
+    footer = F.format_string("\n(based on %d memories, ranked by relevance \u00d7 recency \u00d7 frequency)", F.col("n"))
+    return listed.select("user_id", F.concat_ws("\n", header, F.array_join(F.col("lines.line"), "\n"), footer).alias("context"), F.size("lines").alias("n_lines"))

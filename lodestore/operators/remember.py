@@ -7,42 +7,43 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 REINFORCE, CONFLICT, KEEP_ARCHIVED = 0.95, 0.45, 3
 
 
 @dataclass
 class Store:
-    """One user's memories: vectors, status and counters, by id."""
-
-    vectors: list[np.ndarray] = field(default_factory=list)
-    status: list[str] = field(default_factory=list)
-    reinforcements: list[int] = field(default_factory=list)
-    archived_at: list[float] = field(default_factory=list)
-
-    def remember(self, vector: np.ndarray, ts: float, reinforce: float = REINFORCE, conflict: float = CONFLICT, keep: int = KEEP_ARCHIVED) -> tuple[str, int, list[int]]:
-        """(event, id, ids archived): reinforces the best match, or archives what conflicts and inserts."""
-        active = [i for i, s in enumerate(self.status) if s == "active"]
-        sims = np.maximum(0.0, np.array([self.vectors[i] @ vector for i in active])) if active else np.empty(0)
-        if len(sims):
-            best = int(sims.argmax())
-            if sims[best] >= reinforce:
-                self.reinforcements[active[best]] += 1
-                return "reinforced", active[best], []
-        gone = [i for i, s in zip(active, sims, strict=True) if s >= conflict]
+    """One user's memories by id: vectors of the active ones only, counters, the archived ones that are kept, the next id."""
+
+    vectors: dict[int, np.ndarray] = field(default_factory=dict)
+    reinforcements: dict[int, int] = field(default_factory=dict)
+    archived: list[tuple[float, int]] = field(default_factory=list)  # (time, id), newest first
+    next: int = 0
+
+    def remember(self, vector: np.ndarray, ts: float, reinforce: float = REINFORCE, conflict: float = CONFLICT, keep: int = KEEP_ARCHIVED) -> tuple[str, int, list[int], float]:
+        """(event, id, ids archived, similarity of the best match): reinforces the best match, or archives what conflicts and inserts.
+
+        Of archived memories the ``keep`` newest stay, of those archived at once the highest ids.
+        """
+        active = list(self.vectors)
+        sims = np.maximum(0.0, np.array(list(self.vectors.values())) @ vector) if active else np.empty(0)
+        best = int(sims.argmax()) if active else -1
+        most = float(sims[best]) if active else 0.0
+        if active and most >= reinforce:
+            self.reinforcements[active[best]] += 1
+            return "reinforced", active[best], [], most
+        gone = [i for i, s in zip(active, sims.tolist(), strict=True) if s >= conflict]
         for i in gone:
-            self.status[i], self.archived_at[i] = "archived", ts
-        archived = sorted((i for i, s in enumerate(self.status) if s == "archived"), key=lambda i: -self.archived_at[i])
-        for i in archived[keep:]:
-            self.status[i] = "deleted"
-        self.vectors.append(vector)
-        self.status.append("active")
-        self.reinforcements.append(1)
-        self.archived_at.append(0.0)
-        return ("conflict" if gone else "stored"), len(self.status) - 1, gone
+            del self.vectors[i], self.reinforcements[i]
+        self.archived = sorted([*self.archived, *((ts, i) for i in gone)], reverse=True)[:keep]
+        self.vectors[self.next], self.reinforcements[self.next] = vector, 1
+        self.next += 1
+        return ("conflict" if gone else "stored"), self.next - 1, gone, most
 
 
-LOG = "{} {}, event_id long, event string, mem_id long, archived array<long>"
+LOG = "{} {}, event_id long, event string, mem_id long, archived array<long>, similarity double"
 
 
 def conflict_fold(events: DataFrame, key: str = "user_id", **limits) -> DataFrame:
@@ -55,8 +56,21 @@ def conflict_fold(events: DataFrame, key: str = "user_id", **limits) -> DataFram
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         store, out = Store(), []
         for r in rows.sort_values(["ts", "event_id"], kind="stable").itertuples():
-            event, mem, gone = store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits)
-            out.append((getattr(r, key), r.event_id, event, mem, gone))
-        return pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived"])
+            out.append((getattr(r, key), r.event_id, *store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits)))
+        return pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived", "similarity"])
 
     return events.select(key, "event_id", "ts", "embedding").groupBy(key).applyInPandas(fold, LOG.format(key, events.schema[key].dataType.simpleString()))
+
+
+def archived_memories(log: DataFrame, key: str = "user_id", keep: int = KEEP_ARCHIVED) -> DataFrame:
+    """key, mem_id, archived_by (event_id): the archived memories that each user still has, from the fold's log."""
+    gone = log.select(key, "event_id", F.explode("archived").alias("mem_id"))
+    w = Window.partitionBy(key).orderBy(F.desc("event_id"), F.desc("mem_id"))
+    return gone.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).select(key, "mem_id", F.col("event_id").alias("archived_by"))
+
+
+def conflict_log(log: DataFrame, user=None, key: str = "user_id") -> DataFrame:
+    """What the fold decided other than plain inserts, of one user if given: event, ids and the similarity, rounded."""
+    found = log.where(F.col("event") != "stored")
+    found = found if user is None else found.where(F.col(key) == user)
+    return found.select(key, "event_id", "event", "mem_id", "archived", F.round("similarity", 4).alias("similarity"))

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestore.functions import vector
-
-#: The most query rows that are broadcast to the corpus; more go by blocks.
-BROADCAST_QUERIES = 2048
-
+from lodestore.operators import blocks
 
 def top_k(corpus: DataFrame, query: list[float], k: int, threshold: float | None = None, id_column: str = "vec_id") -> DataFrame:
     """The k most similar rows: a bounded heap a task, one merge; no sort of the corpus."""
-    scored = corpus.withColumn("score", vector.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
+    scored = corpus.withColumn("score", vector.dot(F.col("embedding"), vector.literal(query)))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return scored.orderBy(F.desc("score"), id_column).limit(k)
@@ -26,24 +23,16 @@ def ranked(scored: DataFrame, group: str, k: int, score: str, id_column: str) ->
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, same: Column | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank for a bounded set of queries (query_id, qv) against all rows.
+def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank for a stated set of queries (query_id, qv) against all rows, by matrix products in blocks."""
+    return blocks.top_k(corpus, queries, k, threshold)
+
 
-    Queries are broadcast in blocks of ``BROADCAST_QUERIES``; each block's answers
-    are cut to k a query in every task before anything is shuffled.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        part = F.broadcast(numbered.where(F.col("block") == block).drop("block"))
-        scored = corpus.join(part, same if same is not None else F.lit(True)).select("query_id", "vec_id", vector.dot(F.col("embedding"), F.col("qv")).alias("score"))
-        if threshold is not None:
-            scored = scored.where(F.col("score") >= threshold)
-        found = ranked(scored, "query_id", k, "score", "vec_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+def similarity_search(corpus: DataFrame, query: list[float], k: int = 3, threshold: float = 0.7) -> DataFrame:
+    """``corpus`` rows with ``score`` and ``rank``: the k nearest by the product with the normalised query, cut at the threshold."""
+    size = sum(x * x for x in query) ** 0.5
+    found = top_k(corpus, [x / size for x in query] if size else query, k, threshold)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))  # k rows
 
 
 def engine_search(corpus: DataFrame, query: list[float], k: int, threshold: float) -> DataFrame:
@@ -67,10 +56,35 @@ def sq8_model(corpus: DataFrame) -> DataFrame:
 
 
 def sq8_encode(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with ``scale``, ``offset`` and ``code``."""
     model = F.broadcast(sq8_model(corpus))
     return corpus.crossJoin(model).withColumn("code", vector.sq8_encode(F.col("embedding"), F.col("scale"), F.col("offset")))
 
 
+def factored(query: list[float], scale: list[float], offset: list[float]) -> tuple[list[float], float]:
+    """A query made once for all codes: its product with a decoded vector is ``code . first + second``."""
+    return [q * s for q, s in zip(query, scale, strict=True)], sum(q * o for q, o in zip(query, offset, strict=True))
+
+
+def coded_product(code: Column, query: list[float], scale: list[float], offset: list[float]) -> Column:
+    """The product of a query and a coded vector, without decoding it."""
+    scaled, rest = factored(query, scale, offset)
+    return vector.dot(code, F.array(*map(F.lit, scaled))) + F.lit(rest)
+
+
+def sq8_search(coded: DataFrame, query: list[float], k: int) -> DataFrame:
+    """The k nearest rows of a coded table (code, and the quantiser's scale and offset on each row)."""
+    model = coded.select("scale", "offset").first()  # two numbers a dimension
+    if model is None:
+        return coded.withColumn("score", F.lit(None).cast("double")).limit(0)
+    return coded.withColumn("score", coded_product(F.col("code"), query, model.scale, model.offset)).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def quantise_from(corpus: DataFrame, least: int = 100) -> DataFrame:
+    """The coded table, or the table as it is while it has fewer vectors."""
+    return sq8_encode(corpus) if corpus.limit(least).count() >= least else corpus
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: the share of the true neighbours (query_id, vec_id) that were found."""
     hits = truth.join(found, ["query_id", "vec_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
@@ -97,8 +111,10 @@ def with_residual(coded: DataFrame, basis: list[list[float]]) -> DataFrame:
 
 
 def residual_search(coded: DataFrame, query: list[float], basis: list[list[float]], k: int) -> DataFrame:
-    """Top-k by the decoded product plus what the residual adds: ``u . q + residual . (B q)``."""
+    """Top-k by the coded product plus what the residual adds: ``u . q + residual . (B q)``."""
+    model = coded.select("scale", "offset").first()
+    if model is None or not basis:
+        return coded.withColumn("score", F.lit(None).cast("double")).limit(0)
     projected = [sum(x * y for x, y in zip(b, query, strict=True)) for b in basis]
-    base = vector.dot(vector.sq8_decode(F.col("code"), F.col("scale"), F.col("offset")), F.array(*[F.lit(float(x)) for x in query]))
-    score = base + vector.dot(F.col("residual"), F.array(*map(F.lit, projected)))
+    score = coded_product(F.col("code"), query, model.scale, model.offset) + vector.dot(F.col("residual"), F.array(*map(F.lit, projected)))
     return coded.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(k)

@@ -6,11 +6,10 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestore.functions import decay, vector
 from lodestore.functions import text as T
-from lodestore.operators import consolidate, memories, remember, search, session
+from lodestore.operators import consolidate, memories, remember, search, session, store
 from lodestore.operators.memories import NOW, read
 from lodestore.sources import change_log
 
@@ -254,12 +253,13 @@ def _chain_sql(seed_where: str) -> str:
     SELECT seed, vec_id, depth, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
 
-@query(_chain_sql("vec_id % 50 = 0"))
+@query(_chain_sql("vec_id % 20 = 0"))
 def recall_chain(spark, sf_dir):
+    """The chains of a stated query set, every twentieth vector, over the edges of all."""
     vectors = read(spark, sf_dir, "embeddings")
     edges = memories.neighbour_edges(vectors, 0.2)
     weight = vectors.select("vec_id", (1 - (F.col("vec_id") % 10) / F.lit(20.0)).alias("weight"))
-    return memories.recall_chain(edges, vectors.where("vec_id % 50 = 0"), 2, weight, 10)
+    return memories.recall_chain(edges, vectors.where("vec_id % 20 = 0"), 2, weight, 10)
 
 
 @query()
@@ -371,8 +371,7 @@ def vocabulary(spark, sf_dir):
 
 @query(f"WITH {IDF}, c AS (SELECT doc_id, len(t) AS n, token, count(*) AS times FROM (SELECT doc_id, t, unnest(t) AS token FROM tok) GROUP BY ALL) SELECT doc_id, c.token, round(times / n::DOUBLE * idf, 6) AS tfidf FROM c JOIN idf USING (token)")
 def tfidf(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    found = T.tfidf(docs, T.idf(T.document_frequency(docs), docs.count()))
+    found = T.tfidf(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "token", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -444,9 +443,8 @@ def sq8_encode(spark, sf_dir):
 
 @query(f"WITH {FIT}, q AS (SELECT x.pos, x AS qx FROM x WHERE vec_id = 0), s AS (SELECT vec_id, sum((c * scale + off) * qx) AS s FROM code JOIN q USING (pos) GROUP BY vec_id) SELECT vec_id, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 10")
 def sq8_search(spark, sf_dir):
-    corpus = read(spark, sf_dir, "embeddings")
-    coded = search.sq8_encode(corpus).select("vec_id", vector.sq8_decode(F.col("code"), F.col("scale"), F.col("offset")).alias("embedding"))
-    return search.top_k(coded, memories.query_vector(spark, sf_dir), 10).select("vec_id", F.round("score", 6).alias("score"))
+    coded = search.sq8_encode(read(spark, sf_dir, "embeddings"))
+    return search.sq8_search(coded, memories.query_vector(spark, sf_dir), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {FIT}, b AS ({BATCH.format(where='', k=10)}), q AS (SELECT vec_id AS query_id, x.pos, x AS qx FROM x WHERE vec_id % 20 = 0),
@@ -481,7 +479,9 @@ def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), "user_id", (F.col("event_id") % 40).alias("vec_id"), "value")
 
 
-LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, vec_id ORDER BY seq DESC) AS r FROM log WHERE op <> 'CHECKPOINT') WHERE r = 1 AND op <> 'DELETE')"
+#: A key lives if an insert follows its last deletion; its last record is the row.
+LAST = """marks AS (SELECT user_id, vec_id, max(seq) AS newest, max(seq) FILTER (op = 'INSERT') AS made, coalesce(max(seq) FILTER (op = 'DELETE'), -1) AS gone FROM log WHERE op <> 'CHECKPOINT' GROUP BY 1, 2),
+    last AS (SELECT log.* FROM log JOIN marks ON marks.user_id = log.user_id AND marks.vec_id = log.vec_id AND marks.newest = log.seq WHERE made > gone)"""
 
 
 @query(f"WITH {LOGSQL}, {LAST} SELECT user_id, vec_id, seq, op, value FROM last")
@@ -494,10 +494,11 @@ def wal_truncate(spark, sf_dir):
     return change_log.truncate(op_log(spark, sf_dir)).select("seq", "op", "user_id", "vec_id")
 
 
-@query(f"WITH {LOGSQL} SELECT user_id, count(*) AS live FROM (SELECT DISTINCT user_id, vec_id FROM log WHERE op IN ('INSERT', 'UPDATE')) l ANTI JOIN (SELECT DISTINCT user_id, vec_id FROM log WHERE op = 'DELETE') d USING (user_id, vec_id) GROUP BY user_id")
+@query(f"WITH {LOGSQL}, {LAST} SELECT user_id, count(*) AS live FROM last GROUP BY user_id")
 def compact_live(spark, sf_dir):
+    """Rows per user after a compaction of all inserts by their tombstones: as many as a replay leaves."""
     log = op_log(spark, sf_dir)
-    rows = log.where("op in ('INSERT', 'UPDATE')").select("user_id", "vec_id").distinct()
+    rows = log.where("op = 'INSERT'").groupBy("user_id", "vec_id").agg(F.max("seq").alias("seq"))
     return change_log.compact(rows, log.where("op = 'DELETE'")).groupBy("user_id").agg(F.count(F.lit(1)).alias("live"))
 
 
@@ -524,16 +525,15 @@ def engine_stats(spark, sf_dir):
 
 @query("SELECT user_id, event_id, r > 3 AS deleted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error')")
 def keep_last_n(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = read(spark, sf_dir, "events").where("event_type = 'error'").withColumn("r", F.row_number().over(w))
-    return rows.select("user_id", "event_id", (F.col("r") > 3).alias("deleted"))
+    rows = read(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "event_id", "ts")
+    return store.latest(rows, "user_id", 3, "ts", "event_id").select("user_id", "event_id", (~F.col("kept")).alias("deleted"))
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS mem_id FROM events")
 def dense_ids(spark, sf_dir):
     """Ids that count up from 0 for each user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).cast("long").alias("mem_id"))
+    events = read(spark, sf_dir, "events").withColumn("at", memories.seconds(F.col("ts")))
+    return store.numbered(events.select("user_id", "event_id", "at"), "user_id", "at", "event_id", "mem_id").select("user_id", "event_id", "mem_id")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")

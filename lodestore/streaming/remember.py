@@ -12,17 +12,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestore.operators.remember import LOG, Store
 
-#: A store's fields as JSON; a store is one user's and grows with that user's memories only.
+#: A store as JSON: one user's active vectors, counters and the few archived ids; it does not grow with what was archived.
 STATE = "store string"
 
 
 def pack(store: Store) -> str:
-    return json.dumps([[v.tolist() for v in store.vectors], store.status, store.reinforcements, store.archived_at])
+    active = [[i, v.tolist(), store.reinforcements[i]] for i, v in store.vectors.items()]
+    return json.dumps([active, store.archived, store.next])
 
 
 def unpack(text: str) -> Store:
-    vectors, *rest = json.loads(text)
-    return Store([np.array(v) for v in vectors], *rest)
+    active, archived, number = json.loads(text)
+    return Store({i: np.array(v) for i, v, _ in active}, {i: n for i, _, n in active}, [(t, i) for t, i in archived], number)
 
 
 def conflict_stream(events: DataFrame, key: str = "user_id", **limits) -> DataFrame:
@@ -37,10 +38,9 @@ def conflict_stream(events: DataFrame, key: str = "user_id", **limits) -> DataFr
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
         out = []
         for r in rows.itertuples():
-            event, mem, gone = store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits)
-            out.append((found[0], r.event_id, event, mem, gone))
+            out.append((found[0], r.event_id, *store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits)))
         state.update((pack(store),))
-        yield pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived"])
+        yield pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived", "similarity"])
 
     kind = events.schema[key].dataType.simpleString()
     return events.select(key, "event_id", "ts", "embedding").groupBy(key).applyInPandasWithState(step, LOG.format(key, kind), STATE, "append", GroupStateTimeout.NoTimeout)
