@@ -9,7 +9,9 @@ features by it and fits a logistic regression on them.
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; labels that are null are not used; a doc_id with several labels counts
 as toxic if any of them is; repeated rows are scored one by one; without labelled
-rows of both classes the model is constant (the share of toxic rows, 0 if none).
+rows of both classes the model is constant (the share of toxic rows, 0 if none);
+ids may be of any type, other columns stay as they are, and an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ MAX_TOXIC, MAX_CLEAN = 2000, 4000
 #: The least G squared of a cell that gets a weight: chance alone passes it once in 10,000 cells.
 SIGNIFICANT = 15.1
 #: Texts up to this many code points are put together before hashing.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Tasks that go through the bounded sample's features.
+PARTS = 8
 
 
 def _groups(texts: list[str | None]):
@@ -76,58 +80,37 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     return (np.concatenate(out) if out else np.empty(0, np.uint32)), np.cumsum(np.concatenate(counts))
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, bits: int = BITS, steps: int = 200, l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights (the ratios included) and intercept, by full-batch gradient steps with momentum.
-
-    texts: the distinct cells of each text.  Texts with the same features count
-    once.  Cells whose class frequencies differ by chance (G squared under
-    ``SIGNIFICANT``) get no weight.
-    """
-    size = 1 << bits
-    seen: dict[bytes, int] = {}
-    label: list[int] = []
-    kept: list[np.ndarray] = []
-    for cells, mark in zip(texts, y.tolist(), strict=True):
-        key = hashlib.blake2b(cells.tobytes(), digest_size=16).digest()
-        at = seen.setdefault(key, len(kept))
-        if at == len(kept):
-            kept.append(cells)
-            label.append(mark)
-        else:
-            label[at] = max(label[at], mark)
-    y, n = np.array(label, dtype=np.int64), len(kept)
-    share = float(y.mean()) if n else 0.0
-    prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    if not n or share in (0.0, 1.0):
-        return np.zeros(size, np.float32), prior
-    pos, neg = np.zeros(size), np.zeros(size)
-    for cells, mark in zip(kept, label, strict=True):
-        (pos if mark else neg)[cells] += 1  # distinct within a text
-    toxic, clean = int((y == 1).sum()), int((y == 0).sum())
+def log_ratios(pos: np.ndarray, neg: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells that get a weight, their log-count ratios): cells whose class frequencies differ by more than chance."""
+    n = toxic + clean
     ratio = np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1))
     part = lambda a, e: a * np.log(np.maximum(a, 1e-12) / np.maximum(e, 1e-12))
     g2 = 2 * (part(pos, (pos + neg) * toxic / n) + part(neg, (pos + neg) * clean / n))
     live = np.flatnonzero(g2 >= SIGNIFICANT)
-    slot = np.full(size, -1, np.int64)
-    slot[live] = np.arange(len(live))
-    found = [slot[c[slot[c] >= 0]] for c in kept]
-    at, owner = np.concatenate(found), np.repeat(np.arange(n), [len(f) for f in found])
-    value = ratio[live][at]
-    w, bias = np.zeros(len(live)), prior
-    m, v, mb, vb = np.zeros(len(live)), np.zeros(len(live)), 0.0, 0.0
+    return live, ratio[live]
+
+
+def descend(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 200, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights (the ratios included) and intercept of a logistic regression, by full-batch gradient steps with momentum.
+
+    found: for each text the numbers of the weighted cells that it holds.
+    """
+    n, size = len(found), len(ratio)
+    at, owner = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(n), [len(f) for f in found])
+    value = ratio[at]
+    w, bias = np.zeros(size), prior
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
         z = np.bincount(owner, weights=value * w[at], minlength=n) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        gw = np.bincount(at, weights=value * g[owner], minlength=len(live)) + l2 * w
+        gw = np.bincount(at, weights=value * g[owner], minlength=size) + l2 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.01 * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    full = np.zeros(size, np.float32)
-    full[live] = w * ratio[live]
-    return full, float(bias)
+    return w * ratio, float(bias)
 
 
 def score(texts: list[str | None], weights: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
@@ -149,9 +132,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     """The model learnt from the labelled rows outside the held-out fold.
 
     At most ``max_toxic`` and ``max_clean`` rows are read, those whose ids have
-    the smallest hashes.  Features are computed by the executors, the fit runs
-    in one task over that bounded sample, and the driver gets the weights only.
+    the smallest hashes; of an id's texts the one of the smallest hash.  Texts with
+    the same features count once, as toxic if one of them is.  The executors make
+    the features, count them by class, and keep those that get a weight; the fit
+    runs in one task over these, and the driver gets the weights.
     """
+    spark = docs.sparkSession
     marked = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
         .where(_shared.fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -161,34 +147,70 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         marked.where("toxic = 1").orderBy("order", "doc_id").limit(max_toxic)
         .unionByName(marked.where("toxic = 0").orderBy("order", "doc_id").limit(max_clean)).drop("order")
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
 
     def extract(batches):
         for b in batches:
-            cells, ends = features(b.column("text").to_pylist())
-            starts = np.concatenate([[0], ends])
-            rows = [cells[starts[i] : starts[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic").cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "toxic", "cells"])
+            for low in range(0, b.num_rows, 64):
+                part = b.slice(low, 64)
+                cells, ends = features(part.column(1).to_pylist())
+                rows = [cells[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["row", "toxic", "digest", "cells"])
+
+    named = texts.select(F.col("doc_id").cast("string").alias("row"), "text", "toxic")
+    found = _shared.written(named.mapInArrow(_shared.released(extract), "row string, toxic int, digest binary, cells binary"))
+    once = found.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("row").alias("row")).collect()  # the bounds above
+    marks = {r.row: int(r.toxic == 1) for r in once}
+    toxic = sum(marks.values())
+    clean = len(marks) - toxic
+    share = toxic / len(marks) if marks else 0.0
+    prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    if not toxic or not clean:
+        _shared.discard(found)
+        return np.zeros(1 << BITS, np.float32), prior
+    shared = spark.sparkContext.broadcast(marks)
+
+    def counted(batches):
+        counts = np.zeros((2, 1 << BITS), dtype=np.uint32)
+        for b in batches:
+            for row, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if row in shared.value:
+                    counts[shared.value[row], np.frombuffer(cells.as_buffer(), np.uint32)] += 1  # distinct within a text
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    few = found.coalesce(PARTS).select("row", "cells")
+    counts = sum(np.frombuffer(r.counts, np.uint32).reshape(2, -1).astype(np.int64) for r in few.mapInArrow(_shared.released(counted), "counts binary").collect())
+    live, ratio = log_ratios(counts[1].astype(float), counts[0].astype(float), toxic, clean)
+    slots = np.full(1 << BITS, -1, np.int32)
+    slots[live] = np.arange(len(live))
+    weighted = spark.sparkContext.broadcast((slots, ratio))
+
+    def kept(batches):
+        for b in batches:
+            rows = [r for r in zip(b.column(0).to_pylist(), b.column(1), strict=True) if r[0] in shared.value]
+            at = [weighted.value[0][np.frombuffer(x.as_buffer(), np.uint32)] for _, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.string()), pa.array([x[x >= 0].tobytes() for x in at], pa.binary())], ["row", "slots"])
 
     def learn(batches):
-        parts, y, ids = [], [], []
+        rows: dict[str, bytes] = {}
         for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            y += b.column("toxic").to_pylist()
-            parts += [np.frombuffer(x, np.uint32) for x in b.column("cells").to_pylist()]
-        order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
-        parts = [parts[i] for i in order]
-        weights, bias = fit(parts, np.array(y, dtype=np.int64)[order])
+            rows.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        names = sorted(rows)
+        weights, bias = descend([np.frombuffer(rows[r], np.int32) for r in names], np.array([shared.value[r] for r in names]), weighted.value[1], prior)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
-    found = texts.mapInArrow(_shared.released(extract), "doc_id long, toxic int, cells binary").repartition(1).mapInArrow(_shared.released(learn), "weights binary, bias double").collect()
-    if not found:
-        return np.zeros(1 << BITS, np.float32), float(np.log(1e-6))
-    return np.frombuffer(bytes(found[0]["weights"]), "<f4"), found[0]["bias"]
+    small = few.mapInArrow(_shared.released(kept), "row string, slots binary")
+    told = small.repartition(1).mapInArrow(_shared.released(learn), "weights binary, bias double").collect()[0]
+    _shared.discard(found)
+    full = np.zeros(1 << BITS, np.float32)
+    full[live] = np.frombuffer(bytes(told.weights), "<f4")
+    return full, told.bias
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of ``docs`` named doc_id and text, and the score of each text."""
+    """doc_id and the score of the text of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers, whatever the input
 
     def run(batches):

@@ -566,18 +566,88 @@ def test_toxicity_on_held_out_rows(spark, texts, empty):
     assert toxicity.classify(docs, nothing).where("score >= 0.5").count() == 0
 
 
-def test_pipeline(spark, texts, tmp_path):
+def plain_score(text, model):
+    """The score by its definition, one n-gram after another."""
+    weights, bias = model
+    clean = re.sub(r"\s+", " ", (text or "").lower()).strip()
+    clean = f" {clean} " if clean else ""
+    cells = set()
+    for n in toxicity.ORDERS:
+        for i in range(len(clean) - n + 1):
+            h = 0
+            for c in clean[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            cells.add((h ^ n) * 0xD6E8FEB86659FD93 % 2**64 >> 64 - toxicity.BITS)
+    return 1 / (1 + math.exp(-(bias + sum(float(weights[c]) for c in cells))))
+
+
+def test_scores_against_a_plain_version(spark, texts):
+    docs, labels, _ = toxic_tables(spark, texts)
+    model = toxicity.train(docs, labels)
+    for r in toxicity.classify(docs, model).join(docs.select("doc_id", "text"), "doc_id").where("doc_id % 9 = 0 or doc_id > 298").collect():
+        assert r.score == pytest.approx(plain_score(r.text, model), abs=1e-5)
+
+
+def test_training_with_odd_ids_and_repeats(spark, texts):
+    docs, labels, marks = toxic_tables(spark, texts)
+    from pyspark.sql import functions as F
+
+    named = docs.withColumn("doc_id", F.concat(F.lit("x"), "doc_id")).withColumn("score", F.lit("kept"))
+    marked = labels.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    model = toxicity.train(named.unionByName(named), marked)
+    got = {r.doc_id: r.score for r in toxicity.classify(named, model).collect()}
+    assert np.mean([(got[f"x{i}"] >= 0.5) == bool(m) for i, _, m in marks]) >= 0.95
+    assert toxicity.reject(named, model).columns == named.columns
+    same = [toxicity.train(named, marked) for _ in range(2)]
+    assert (same[0][0] == same[1][0]).all() and same[0][1] == same[1][1]
+
+
+def test_pipeline_against_a_plain_version(spark, texts, tmp_path):
+    """Every stage by its definition over the same documents: what stays, what the texts become, and how they are packed."""
     import corpus_pipeline
+    from test_duplicates import brute
+    from test_secrets import base, entropy
 
     docs, labels, marks = toxic_tables(spark, texts)
-    docs = docs.unionByName(spark.createDataFrame([(400, "the token = 0123456789abcdef0123 is here", "en", "s", 40)], docs.schema))
+    more = [(400, "the token = 0123456789abcdef0123 is here", "en", "s", 40), (401, "key " + "0a1b2c3d" * 6 + " end", "en", "s", 4), (402, "word " * 5000, "en", "s", 5), (403, "the token = 0123456789abcdef0123 is here", "de", "t", 40)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
+    table = {r.doc_id: r.text for r in docs.collect()}
+    model = toxicity.train(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    clean = {i: t for i, t in table.items() if plain_score(t, model) < 0.5}
+    assert 0 < len(clean) < len(table)
+    names = sorted(clean)
+    _, roots = brute([clean[i] for i in names])
+    left = {i: clean[i] for k, i in enumerate(names) if roots[k] == k}
+    assert len(left) < len(clean) and 403 not in left
+    library, want = Tokenizer.from_file(WORD_BPE), {}
+    for i, t in left.items():
+        out, at = "", 0
+        for start, _, end in sorted((a, -b, b) for a, _, b in base(t or "") + entropy(t or "")):
+            if start >= at:
+                out += t[at:start] + "[secret]"
+            at = max(at, end)
+        want[i] = [*library.encode(out + (t or "")[at:], add_special_tokens=False).ids, 1]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in packed}
-    assert 400 in ids and {300, 301} <= ids
-    assert not ids & {i for i, _, m in marks if m and i % 5 == 4} or len(ids & {i for i, _, m in marks if m}) <= 4
-    library = Tokenizer.from_file(WORD_BPE)
-    want = len(library.encode("the [secret] is here", add_special_tokens=False).ids) + 1
-    assert next(r for r in packed if r.doc_id == 400).doc_tokens == want
+    pieces = defaultdict(list)
+    for r in packed:
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(want)
+    for i, found in pieces.items():
+        at = 0
+        for r in sorted(found, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(want[i])) and r.length > 0
+            assert r.ids_crc32 == zlib.crc32(np.array(want[i][at : at + r.length], dtype="<u4").tobytes())
+            at += r.length
+        assert at == len(want[i])
+    windows = defaultdict(list)
+    for r in packed:
+        windows[r.sequence_id].append((r.offset, r.length))
+    for found in windows.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 2048
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dup", "secrets", "packing"]
