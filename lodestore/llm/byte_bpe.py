@@ -9,7 +9,9 @@ matches are remembered, up to a bound.
 
 Defined cases: a null text counts as empty; an empty text has no ids; special
 tokens in a text are ordinary text; code points that UTF-8 lacks (lone
-surrogates) are encoded as the replacement character.
+surrogates) are encoded as the replacement character; repeated rows are encoded one
+by one; a null id stays null; an empty table gives an empty one; other columns are
+left out.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ others' (readers' comments, teasers) and go.
 
 Defined cases: a null or empty page and a page without such lines give the empty
 string; unclosed and truncated markup is closed at the end; repeated rows are
-extracted one by one.
+extracted one by one; null ids and addresses stay null; an empty table gives an
+empty one; other columns are left out.
 """
 
 from __future__ import annotations

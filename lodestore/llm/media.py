@@ -12,7 +12,8 @@ Features are computed from the pixels that were read back: the number of images
 and rows, the mean of each channel and a histogram of the samples' high halves.
 
 Defined cases: null bytes count as empty; an empty payload is one row of zeros;
-equal payloads give equal files.
+equal payloads give equal files; a null id stays null; an empty table gives an
+empty one; other columns are left out.
 """
 
 from __future__ import annotations

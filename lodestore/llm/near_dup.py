@@ -26,7 +26,8 @@ same set are one class; the work below is on classes.
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; texts under five words have one shingle, the whole sequence;
 rows with the same doc_id are separate documents that share an id; a null doc_id
-takes part but never gives its component an id.
+takes part but never gives its component an id; an empty table gives an empty one;
+other columns are left out of the links and stay in ``deduplicate``.
 """
 
 from __future__ import annotations

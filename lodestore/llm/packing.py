@@ -13,7 +13,8 @@ Ids are those of the tokenizer library without added special tokens; a special
 token's name in a text is that token, as the library has it.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id stays
-null; repeated rows are packed one by one.  Sequence ids are unique but have gaps.
+null; repeated rows are packed one by one; an empty table gives an empty one; other
+columns are left out.  Sequence ids are unique but have gaps.
 """
 
 from __future__ import annotations

@@ -36,7 +36,8 @@ broadcast table and those of the others from the root.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as the
 empty text for the fold; repeated rows are counted and scored one by one; without
-training rows every token is unknown.
+training rows every token is unknown; an empty table gives an empty one; other
+columns are left out.
 """
 
 from __future__ import annotations

@@ -14,12 +14,14 @@ are real ties.
 
 Distinct pre-tokens go into a trie.  A node stands for a prefix and holds the
 best score and count of that prefix, computed once however many pre-tokens share
-it; a terminal node also holds the pre-token's count.  The trie is emptied when
-it reaches a bound, and pre-tokens longer than ``DEEP`` run by themselves with a
+it; a terminal node holds the pre-token's count, from where it is taken whenever
+the pre-token comes again.  The trie is emptied when it reaches a bound, and
+pre-tokens longer than ``DEEP`` run by themselves with a
 window of the longest piece, so memory is bounded for any text.
 
 Defined cases: null and empty texts have no tokens; repeated rows give repeated
-rows.
+rows; a null id stays null; an empty table gives an empty one; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -61,12 +63,20 @@ class Trie:
     def clear(self) -> None:
         self.edges: dict[int, int] = {}
         self.score, self.tokens, self.terminal = [0], [0], [-1]
+        self.ends: dict[str, int] = {}  # the terminal nodes of pre-tokens
 
     def count(self, token: str) -> int:
-        """Tokens of one pre-token."""
+        """Tokens of one pre-token, from its terminal node."""
         if len(token) > DEEP:
             return self._alone(token)
-        if len(self.score) > self.bound:
+        node = self.ends.get(token)
+        if node is None:
+            node = self.insert(token)  # may empty the trie first
+        return self.terminal[node]
+
+    def insert(self, token: str) -> int:
+        """The terminal node of a pre-token; prefixes that are there keep their scores."""
+        if len(self.score) > self.bound or len(self.ends) >= KNOWN:
             self.clear()
         edges, score, tokens = self.edges, self.score, self.tokens
         node, path, end = 0, [0], 0
@@ -98,7 +108,8 @@ class Trie:
             tokens.append(fewest)
             self.terminal.append(-1)
         self.terminal[node] = tokens[node]
-        return tokens[node]
+        self.ends[token] = node
+        return node
 
     def _alone(self, token: str) -> int:
         """The same recursion for a long pre-token, keeping as many states as the longest piece needs."""
@@ -129,21 +140,19 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     def run(batches):
         trie = Trie(load_pieces(path))
-        known: dict[str, int] = {}
+        count, get, terminal = trie.count, trie.ends.get, trie.terminal
         for b in batches:
             tokens, pre, chars = [], [], []
             for text in b.column(1).to_pylist():
                 found = Counter(pre_tokens(text))
                 n = 0
                 for token, times in found.items():
-                    c = known.get(token)
-                    if c is None:
-                        c = trie.count(token)
-                        if len(token) <= DEEP:
-                            if len(known) >= KNOWN:
-                                known.clear()
-                            known[token] = c
-                    n += c * times
+                    node = get(token)
+                    if node is None:
+                        n += count(token) * times
+                        get, terminal = trie.ends.get, trie.terminal
+                    else:
+                        n += terminal[node] * times
                 tokens.append(n)
                 pre.append(sum(found.values()))
                 chars.append(len(text or ""))
