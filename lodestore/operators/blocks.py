@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The most query vectors that are broadcast; more are dealt to cells beside the corpus.
-BROADCAST_QUERIES = 4096
+#: The most query vectors, and numbers in them, that are broadcast; more are dealt to cells beside the corpus.
+BROADCAST_QUERIES, BROADCAST_NUMBERS = 4096, 1 << 22
 #: Rows of a corpus cell, rows of a product, and rows of a chunk of a group.
-CELL, STRIP, CHUNK = 1 << 15, 2048, 2048
+CELL, STRIP, CHUNK = 1 << 14, 2048, 2048
 
 
 def matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None
             for low in range(0, len(at), STRIP):
                 best.add(asked_of @ vectors[low : low + STRIP].T, ids[low : low + STRIP])
 
-    if len(few) <= BROADCAST_QUERIES:
+    if len(few) <= BROADCAST_QUERIES and few["qv"].map(len).sum() <= BROADCAST_NUMBERS:
         if not len(few):
             return spark.createDataFrame([], f"{schema}, rank int")
         lengths = few["qv"].map(len)
