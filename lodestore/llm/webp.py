@@ -10,8 +10,6 @@ any of the transforms.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 # Fixed values of the format.
@@ -471,25 +469,48 @@ def code_lengths(counts: np.ndarray, longest: int | None = None) -> np.ndarray:
     if len(used) < 2:
         return out
     longest = longest or (LONGEST_SMALL_CODE if len(used) <= 256 else LONGEST_CODE)
-    floor, weight = 1, counts[used].tolist()
+    order = used[np.argsort(counts[used], kind="stable")]
+    weight = counts[order].tolist()
+    floor = max(1, sum(weight) >> longest)
     while True:
-        heap = [(max(w, floor), i) for i, w in enumerate(weight)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(weight) - 1)
-        for new in range(len(weight), 2 * len(weight) - 1):
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = new
-            heapq.heapreplace(heap, (a + b, new))
-        depth = [0] * len(parent)
-        for i in range(len(parent) - 2, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(weight)]) <= longest:
-            out[used] = depth[: len(weight)]
+        depth = _depths([w if w > floor else floor for w in weight])
+        if depth[0] <= longest:
+            out[order] = depth
             return out
         floor *= 2
 
 
+def _depths(weight: list[int]) -> list[int]:
+    """Depths of the leaves of a Huffman tree; weights and so the joined ones come in rising order."""
+    m = len(weight)
+    weight.append(1 << 62)
+    joined: list[int] = []
+    of_leaf, of_joined = [0] * m, [0] * (m - 1)
+    i = j = 0
+    for k in range(m - 1):
+        if j < k and joined[j] < weight[i]:
+            total = joined[j]
+            of_joined[j] = k
+            j += 1
+        else:
+            total = weight[i]
+            of_leaf[i] = k
+            i += 1
+        if j < k and joined[j] < weight[i]:
+            total += joined[j]
+            of_joined[j] = k
+            j += 1
+        else:
+            total += weight[i]
+            of_leaf[i] = k
+            i += 1
+        joined.append(total)
+    depth = [0] * (m - 1)
+    for k in range(m - 3, -1, -1):
+        depth[k] = depth[of_joined[k]] + 1
+    return [depth[k] + 1 for k in of_leaf]
+
+
 class Writer:
     """Numbers and their bit counts, in order."""
 
@@ -653,22 +674,35 @@ def write_pixels(out: Writer, pixels: np.ndarray, main: bool, cache_bits: int =
         out.sizes += spelt.sizes
         several = np.count_nonzero(lengths) > 1
         tables.append((reversed_codes(lengths), lengths) if several else (np.zeros_like(lengths), np.zeros_like(lengths)))
-    # four fields a symbol: a literal's channels, or a copy's length bits, distance code and distance bits
-    values, sizes = np.zeros((n, 4), dtype=np.int64), np.zeros((n, 4), dtype=np.int64)
-    values[starts, 0], sizes[starts, 0] = tables[0][0][green[starts]], tables[0][1][green[starts]]
+    # four fields a symbol, made into one: a literal's channels, or a copy's length bits, distance code and distance bits
+    values, sizes = np.zeros((4, n), dtype=np.uint64), np.zeros((4, n), dtype=np.uint64)
+    values[0, starts], sizes[0, starts] = tables[0][0][green[starts]], tables[0][1][green[starts]]
     for k, v in enumerate(channels, start=1):
-        values[literal, k], sizes[literal, k] = tables[k][0][v], tables[k][1][v]
+        values[k, literal], sizes[k, literal] = tables[k][0][v], tables[k][1][v]
     if len(heads):
-        values[heads, 1], sizes[heads, 1] = length_extra, length_bits
-        values[heads, 2], sizes[heads, 2] = tables[4][0][dist_code], tables[4][1][dist_code]
-        values[heads, 3], sizes[heads, 3] = dist_extra, dist_bits
-    return values[starts].reshape(-1), sizes[starts].reshape(-1)
-
-
-def _bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bits of numbers one after another."""
-    within = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return (np.repeat(values, sizes) >> within & 1).astype(np.uint8)
+        values[1, heads], sizes[1, heads] = length_extra, length_bits
+        values[2, heads], sizes[2, heads] = tables[4][0][dist_code], tables[4][1][dist_code]
+        values[3, heads], sizes[3, heads] = dist_extra, dist_bits
+    together, wide = values[0], sizes[0].copy()
+    for k in (1, 2, 3):
+        together |= values[k] << wide
+        wide += sizes[k]
+    return together[starts], wide[starts]
+
+
+def _bytes_of(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Fields of up to 63 bits one after another, lowest bit first."""
+    ends = np.cumsum(sizes, dtype=np.uint64)
+    at = ends - sizes
+    total = int(ends[-1]) if len(ends) else 0
+    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    out = np.zeros((total >> 6) + 2, dtype=np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(first):
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero(shift + sizes > 64)  # one field at most runs over into a word
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out.astype("<u8").tobytes()[: -(-total // 8)]
 
 
 def encode(pixels: np.ndarray, width: int, height: int, transforms: list | None = None, cache_bits: int | None = None, copy: bool = True, alike: bool = False, distinct: int | None = None) -> bytes:
@@ -689,8 +723,8 @@ def encode(pixels: np.ndarray, width: int, height: int, transforms: list | None
 
     def flush(values: np.ndarray, sizes: np.ndarray) -> None:
         nonlocal out
-        parts.append(_bits(np.array(out.values, dtype=np.int64), np.array(out.sizes, dtype=np.int64)))
-        parts.append(_bits(values, sizes))
+        parts.append((np.array(out.values, dtype=np.uint64), np.array(out.sizes, dtype=np.uint64)))
+        parts.append((values, sizes))
         out = Writer()
 
     across = width
@@ -730,6 +764,6 @@ def encode(pixels: np.ndarray, width: int, height: int, transforms: list | None
         cache_bits = 10 if distinct * 2 < len(pixels) and len(pixels) >= 256 else 0
     copies = matches(pixels) if copy and distinct * 10 < 7 * len(pixels) else None  # else too little repeats
     flush(*write_pixels(out, pixels, True, cache_bits, copies, alike))
-    body = b"\x2f" + np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+    body = b"\x2f" + _bytes_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
