@@ -117,7 +117,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def batches_by_bytes(spark: SparkSession) -> None:
     """Batches that go to Python hold ``BATCH_BYTES`` at most, whatever the length of their texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = spark.conf.get(name, "").lower().rstrip("b")
+    digits = spark.conf.get(name).lower().rstrip("b")
     if not digits.isdigit() or int(digits) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
