@@ -40,6 +40,20 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
+@pytest.mark.parametrize("hub", [1, 3, 4096])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from lodestore.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
+    rng = np.random.default_rng(hub)
+    links = [(0, i) for i in range(1, 40, 2)] + [(50, i) for i in range(51, 70)] + [tuple(map(int, x)) for x in rng.integers(70, 130, size=(35, 2))] + [(69, 39), (200, 201)]
+    roots = roots_of(202, links)
+    touched = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: roots[i] for i in touched}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_documents_against_brute_force(spark, docs, texts):
     sets, roots = brute(texts)
     got = {r.doc_id: r for r in near_dup.link_documents(docs).collect()}
