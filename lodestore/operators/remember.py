@@ -43,7 +43,7 @@ class Store:
         return ("conflict" if gone else "stored"), self.next - 1, gone, most
 
 
-LOG = "{} {}, event_id long, event string, mem_id long, archived array<long>, similarity double"
+LOG = "{} {}, event_id long, event string, mem_id long, archived array<long>, similarity double, ts double"
 
 
 def conflict_fold(events: DataFrame, key: str = "user_id", **limits) -> DataFrame:
@@ -56,8 +56,8 @@ def conflict_fold(events: DataFrame, key: str = "user_id", **limits) -> DataFram
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         store, out = Store(), []
         for r in rows.sort_values(["ts", "event_id"], kind="stable").itertuples():
-            out.append((getattr(r, key), r.event_id, *store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits)))
-        return pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived", "similarity"])
+            out.append((getattr(r, key), r.event_id, *store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits), float(r.ts)))
+        return pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived", "similarity", "ts"])
 
     return events.select(key, "event_id", "ts", "embedding").groupBy(key).applyInPandas(fold, LOG.format(key, events.schema[key].dataType.simpleString()))
 
@@ -74,3 +74,17 @@ def conflict_log(log: DataFrame, user=None, key: str = "user_id") -> DataFrame:
     found = log.where(F.col("event") != "stored")
     found = found if user is None else found.where(F.col(key) == user)
     return found.select(key, "event_id", "event", "mem_id", "archived", F.round("similarity", 4).alias("similarity"))
+
+
+def memory_state(log: DataFrame, key: str = "user_id", keep: int = KEEP_ARCHIVED) -> DataFrame:
+    """key, mem_id, event_id, ts, reinforcements, last_reinforced, status: the memories that the fold's log leaves.
+
+    Status is active, archived (the ``keep`` newest of a user) or deleted.
+    """
+    made = log.where(F.col("event") != "reinforced").select(key, "mem_id", "event_id", "ts")
+    again = log.where(F.col("event") == "reinforced").groupBy(key, "mem_id").agg(F.count(F.lit(1)).alias("times"), F.max("ts").alias("last_reinforced"))
+    gone = log.select(key, F.explode("archived").alias("mem_id")).withColumn("gone", F.lit(True))
+    kept = archived_memories(log, key, keep).select(key, "mem_id", F.lit(True).alias("kept"))
+    joined = made.join(again, [key, "mem_id"], "left").join(gone, [key, "mem_id"], "left").join(kept, [key, "mem_id"], "left")
+    status = F.when(F.col("gone").isNull(), "active").when(F.col("kept"), "archived").otherwise("deleted")
+    return joined.select(key, "mem_id", "event_id", "ts", (1 + F.coalesce("times", F.lit(0))).alias("reinforcements"), "last_reinforced", status.alias("status"))

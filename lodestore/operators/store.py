@@ -24,6 +24,14 @@ def normalized(rows: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.withColumn(column, vector.normalize(F.col(column)))
 
 
+def with_defaults(rows: DataFrame, now: float) -> DataFrame:
+    """``rows`` as they are written: active, with a time (``now`` where there is none), one reinforcement, full weight, no conflict, unit vectors."""
+    starting = {"status": F.lit("active"), "ts": F.lit(now), "reinforcements": F.lit(1), "bio_weight": F.lit(1.0), "conflict_score": F.lit(0.0)}
+    for name, value in starting.items():
+        rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
+    return normalized(rows) if "embedding" in rows.columns else rows
+
+
 def numbered(rows: DataFrame, key: str, time: str, tie: str, name: str = "number", buckets: int = 64) -> DataFrame:
     """``rows`` with their number from 0 within each key, in order of ``time`` (a number) and ``tie``.
 
@@ -126,11 +134,7 @@ def archived(rows: DataFrame, user: Column | None = None) -> DataFrame:
 
 def api_results(ranked: DataFrame) -> DataFrame:
     """The shape in which results go out: the text, or the action where there is none."""
-    return ranked.select("user_id", "event_id", F.coalesce("text", "action").alias("text"), "action", F.round("score", 6).alias("score"), "reinforcements", decay_round("age_h").alias("hours_ago"))
-
-
-def decay_round(column: str) -> Column:
-    return F.round(F.col(column), 2)
+    return ranked.select("user_id", "event_id", F.coalesce("text", "action").alias("text"), "action", F.round("score", 6).alias("score"), "reinforcements", F.round("age_h", 2).alias("hours_ago"))
 
 
 def folder_bytes(spark: SparkSession, path: str) -> int:

@@ -326,13 +326,13 @@ def conflict_fold(spark, sf_dir):
 
 
 @query(f"""WITH {MEM}, n AS (SELECT user_id, event_id, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_s DESC, event_id DESC) AS r FROM mem) WHERE r = 1),
-    s AS (SELECT n.user_id, m.event_id, greatest(0, list_inner_product(m.v, n.v)) AS sim FROM n JOIN mem m ON m.user_id = n.user_id AND m.event_id <> n.event_id)
+    s AS (SELECT n.user_id, m.event_id, greatest(0, list_inner_product(m.v, n.v)) AS sim FROM n JOIN mem m ON m.user_id = n.user_id AND m.event_id <> n.event_id AND m.event_type <> 'error')
     SELECT user_id, event_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, event_id) AS r FROM s) WHERE r = 1""")
 def conflict_candidates(spark, sf_dir):
-    """For each user's newest memory, the memory that is most like it."""
-    rows = memories.memories(spark, sf_dir).withColumn("ts_s", memories.seconds(F.col("ts"))).select("user_id", "event_id", "ts_s", "embedding")
+    """For each user's newest memory, the active memory that is most like it; errors count as archived."""
+    rows = memories.memories(spark, sf_dir).withColumn("ts_s", memories.seconds(F.col("ts"))).select("user_id", "event_id", "event_type", "ts_s", "embedding")
     newest = rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "embedding"), F.struct("ts_s", "event_id")).alias("new"))
-    pairs = rows.join(newest, "user_id").where(F.col("event_id") != F.col("new.event_id"))
+    pairs = rows.where("event_type <> 'error'").join(newest, "user_id").where(F.col("event_id") != F.col("new.event_id"))
     pairs = pairs.withColumn("sim", F.greatest(F.lit(0.0), vector.dot(F.col("embedding"), F.col("new.embedding"))))
     return search.ranked(pairs, "user_id", 1, "sim", "event_id").select("user_id", "event_id", F.round("sim", 6).alias("sim"))
 

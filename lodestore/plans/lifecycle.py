@@ -153,6 +153,13 @@ def conflict_log(spark, sf_dir):
     return remember.conflict_log(remember.conflict_fold(rows)).select("user_id", "event_id", "event", "mem_id", "similarity")
 
 
+@query()
+def memory_state(spark, sf_dir):
+    """Every memory that the events left: its reinforcements, when the last came, and its status."""
+    rows = memories.memories(spark, sf_dir).withColumn("ts", memories.seconds(F.col("ts")))
+    return remember.memory_state(remember.conflict_fold(rows))
+
+
 @query(f"""WITH {MEM}, r AS (SELECT *, 'value ' || event_id AS text, event_type AS action, cosine * {EXP(24.0, 0.05)} * {BOOST} AS s FROM scored)
     SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN text ELSE action END AS text, action, round(s, 6) AS score, reinforcements, round(age_h, 2) AS hours_ago FROM r ORDER BY s DESC, event_id LIMIT 20""")
 def api_results(spark, sf_dir):

@@ -174,13 +174,20 @@ def quarantine(spark: SparkSession, root: str, mark: str) -> bool:
     return bool(fs.exists(path) and fs.rename(path, _fs(spark, f"{root}.corrupt-{mark}")[1]))
 
 
-def recover(spark: SparkSession, root: str, log: DataFrame) -> DataFrame:
-    """The live rows after a crash: the snapshot and the log after its last checkpoint; a snapshot that can't be read is put aside."""
+def recover(spark: SparkSession, root: str, log: DataFrame, log_path: str | None = None) -> DataFrame:
+    """The live rows after a crash: the snapshot and the log after its last checkpoint.
+
+    A snapshot that can't be read is put aside, with the log's files, which belong to
+    it, and the store starts empty.
+    """
     try:
         found = load_snapshot(spark, root)
     except Exception:  # any reader's error: the state must not keep the store from starting
-        quarantine(spark, root, uuid.uuid4().hex[:8])
-        return replay(log.limit(0))
+        mark = uuid.uuid4().hex[:8]
+        quarantine(spark, root, mark)
+        if log_path is not None:
+            quarantine(spark, log_path, mark)
+        return replay(spark.createDataFrame([], log.schema))
     return replay(log, found)
 
 

@@ -38,9 +38,9 @@ def conflict_stream(events: DataFrame, key: str = "user_id", **limits) -> DataFr
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
         out = []
         for r in rows.itertuples():
-            out.append((found[0], r.event_id, *store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits)))
+            out.append((found[0], r.event_id, *store.remember(np.asarray(r.embedding, dtype=np.float64), float(r.ts), **limits), float(r.ts)))
         state.update((pack(store),))
-        yield pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived", "similarity"])
+        yield pd.DataFrame(out, columns=[key, "event_id", "event", "mem_id", "archived", "similarity", "ts"])
 
     kind = events.schema[key].dataType.simpleString()
     return events.select(key, "event_id", "ts", "embedding").groupBy(key).applyInPandasWithState(step, LOG.format(key, kind), STATE, "append", GroupStateTimeout.NoTimeout)

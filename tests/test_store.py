@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import text as T
 from lodestore.operators import blocks, consolidate, encoder, memories, remember, search, store
 from lodestore.plans import catalogue
-from lodestore.sources import change_log
+from lodestore.sources import change_log, models
 from lodestore.streaming import remember as streams
 
 LOG = "seq long, op string, user_id long, vec_id long, value double"
@@ -305,3 +305,60 @@ def test_other_files(spark, tmp_path):
     v = np.array([r.embedding for r in change_log.gaussian_vectors(spark, 500, 4).collect()])
     assert np.linalg.norm(v, axis=1) == pytest.approx(np.ones(500)) and np.abs(v.mean(axis=0)).max() < 0.1
     assert {tuple(r.embedding) for r in change_log.gaussian_vectors(spark, 5, 4).collect()} == {tuple(r.embedding) for r in change_log.gaussian_vectors(spark, 5, 4).collect()}
+
+
+def test_small_models(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0, -float(i)]) for i in range(9)], "vec_id long, embedding array<double>")
+    model = search.sq8_model(df)
+    models.save_quantiser(model, str(tmp_path / "q"), [[1.0, 0.0, 0.0]])
+    got, want = models.load_quantiser(spark, str(tmp_path / "q")).first(), model.first()
+    assert (got.scale, got.offset, got.basis) == (want.scale, want.offset, [[1.0, 0.0, 0.0]])
+    assert models.load_hashing(spark, str(tmp_path / "h")) == {"dim": 256, "low": 3, "high": 5}
+    models.save_hashing(spark, str(tmp_path / "h"), 64)
+    assert T.hash_vector("a chat", **models.load_hashing(spark, str(tmp_path / "h"))).shape == (64,)
+    models.save_edges(spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, sim double"), str(tmp_path / "e"))
+    spark.createDataFrame([(1, [2, 3])], "src long, neighbours array<long>").write.parquet(str(tmp_path / "old"))
+    assert models.load_edges(spark, str(tmp_path / "e")).columns == ["src", "dst", "sim"]
+    assert sorted(tuple(r) for r in models.load_edges(spark, str(tmp_path / "old")).collect()) == [(1, 2), (1, 3)]
+
+
+def test_rows_as_they_are_written(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0], None), (2, [0.0, 0.0], 5.0)], "vec_id long, embedding array<double>, ts double")
+    got = {r.vec_id: r for r in store.with_defaults(df, 9.0).collect()}
+    assert (got[1].status, got[1].ts, got[1].reinforcements, got[1].bio_weight, got[1].conflict_score) == ("active", 9.0, 1, 1.0, 0.0)
+    assert got[1].embedding == pytest.approx([0.6, 0.8]) and (got[2].ts, got[2].embedding) == (5.0, [0.0, 0.0])
+
+
+def test_state_that_a_log_leaves(spark):
+    e = [[1.0, 0.0], [1.0, 0.001], [0.8, 0.6], [0.28, 0.96], [0.28, 0.96], [-0.5, 0.866]]
+    df = spark.createDataFrame([(1, i, float(i), v) for i, v in enumerate(e)], "user_id long, event_id long, ts double, embedding array<double>")
+    got = {r.mem_id: (r.event_id, r.reinforcements, r.last_reinforced, r.status) for r in remember.memory_state(remember.conflict_fold(df), keep=1).collect()}
+    assert got == {0: (0, 2, 1.0, "deleted"), 1: (2, 1, None, "deleted"), 2: (3, 2, 4.0, "archived"), 3: (5, 1, None, "active")}
+
+
+def test_quarantine_moves_the_log_too(spark, tmp_path):
+    log = spark.createDataFrame([(0, "INSERT", 1, 1, 1.0)], LOG)
+    change_log.append(log, str(tmp_path / "log"))
+    change_log.append(log.withColumn("seq", F.col("seq") + 1), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    (tmp_path / "s" / "snapshot-3").mkdir(parents=True)
+    (tmp_path / "s" / "snapshot-3" / "COMPLETE").write_text("1")
+    assert change_log.load_snapshot(spark, str(tmp_path / "s")) is None  # no rows were saved
+    (tmp_path / "s" / "snapshot-3" / "COMPLETE").write_text("x")
+    assert change_log.recover(spark, str(tmp_path / "s"), log, str(tmp_path / "log")).count() == 0
+    assert not (tmp_path / "log").exists() and not (tmp_path / "s").exists()
+
+
+def test_activity_of_a_stream_leaves_late_rows_out(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    at = lambda h: start + timedelta(hours=h)
+    batches = [[(at(0.1), "click", 1.0), (at(0.2), "click", 2.0), (at(5.0), "view", 1.0)], [(at(5.5), "view", 4.0), (at(9.0), "view", 1.0)], [(at(0.3), "click", 9.0), (at(12.0), "click", 1.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = streams.activity(source).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("activity").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.start, r.event_type): (r.n, r.total) for r in spark.table("activity").collect()}
+    assert got[at(0), "click"] == (2, 3.0) and got[at(5), "view"] == (2, 5.0)
