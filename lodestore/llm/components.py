@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: Rounds suffice for chains of 2 ** 60 nodes in practice; more means a defect.
 MOST_ROUNDS = 60
 #: Neighbours from which a node counts as a hub, at least, and the bound of the hubs' number as a power of two.
-HUB, HUBS = 1 << 12, 14
+HUB, HUBS = 1 << 15, 14
+#: Edges that are worth a task.
+TASK = 1 << 15
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,16 +25,19 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     mark = _mark(edges)
     for _ in range(MOST_ROUNDS):
+        tasks = max(1, -(-mark[0] // TASK))  # as many as there is work for; more than there are partitions change nothing
+        edges = edges.coalesce(tasks)
         # large star: every neighbour above u is linked to the least neighbour of u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _with_least(both.where("v > u"), least, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), least, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         # small star: u and its neighbours below are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = _with_least(large, least, mark[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = small.where("u <> v").distinct().checkpoint()
-        edges, before, mark = after, mark, _mark(after)
+        edges = small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks).checkpoint()
+        before, mark = mark, _mark(edges)
         if mark == before:
             break
     else:
@@ -43,6 +48,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     """``rows`` (u, v) with the least neighbour m of u; the few nodes of very many neighbours are broadcast, so their rows stay where they are."""
+    if edges <= HUB:  # no node can have so many neighbours
+        return rows.join(least.select("u", "m"), "u")
     many = max(HUB, edges >> HUBS)  # 2 ** (HUBS + 1) nodes at most have more neighbours
     hubs = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
     others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u")

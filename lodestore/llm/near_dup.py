@@ -36,6 +36,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ CHUNK, LOAD = 1024, 1 << 19
 SIGMAS = 5
 #: Pairs that share a salt of their pivot.
 SALTED = 1024
-#: The filter that picks the texts whose sets are needed has so many bits as a power of two, at least and at most; a full one picks more, never fewer.
+#: A filter of rows has so many bits as a power of two, at least and at most.
 FEW_BITS, MOST_BITS = 20, 26
 
 
@@ -132,31 +133,55 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     return ranked.where(F.col("rank") <= prefix - (kept - F.col("m"))).select("v", "fp", "n")
 
 
+class Filter:
+    """Bits at the hashes of some rows, broadcast: tells most of the other rows apart; a full one tells none."""
+
+    def __init__(self, rows: DataFrame, *columns: str):
+        spark = rows.sparkSession
+        self.power = min(MOST_BITS, max(FEW_BITS, (16 * rows.count()).bit_length()))
+        words = (
+            rows.select(self.bit(*columns).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
+        )  # 2 ** (MOST_BITS - 5) rows at most
+        table = np.zeros(1 << (self.power - 5), dtype=np.uint32)
+        table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+        self.table = spark.sparkContext.broadcast(table)
+
+    def bit(self, *columns: str):
+        return F.pmod(F.xxhash64(*columns), F.lit(1 << self.power))
+
+    @staticmethod
+    def hits(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+
+    def may_hold(self, *columns: str):
+        """False for rows that are certainly not among the filter's."""
+        shared, hits = self.table, Filter.hits
+
+        @F.pandas_udf("boolean")
+        def test(bits: pd.Series) -> pd.Series:
+            return pd.Series(hits(shared.value, bits.to_numpy()))
+
+        return test(self.bit(*columns))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """fp and the full set (array of long) of every class in ``wanted`` (rep, fp)."""
-    spark = docs.sparkSession
-    power = min(MOST_BITS, max(FEW_BITS, (16 * wanted.count()).bit_length()))
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << power))
-    words = (
-        wanted.select(bit("rep").alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
-    )  # 2 ** (MOST_BITS - 5) rows at most
-    table = np.zeros(1 << (power - 5), dtype=np.uint32)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    shared = spark.sparkContext.broadcast(table)
+    found = Filter(wanted, "rep")
+    shared, hits = found.table, Filter.hits
 
     def run(batches):
         hashes = _shared.WordHashes()
         for b in batches:
             at = b.column(1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            hit = np.flatnonzero(hits(shared.value, at))
             for i in range(0, len(hit), 200):
                 part = [shingles(t, hashes) for t in b.column(0).take(pa.array(hit[i : i + 200])).to_pylist()]
                 part = [s for s in part if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in part], pa.binary()), lists_type(part)], ["fp", "whole"])
 
-    found = docs.select("text", bit("doc_id").alias("bit")).mapInArrow(_shared.released(run), "fp binary, whole array<long>")
-    return found.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = docs.select("text", found.bit("doc_id").alias("bit")).mapInArrow(_shared.released(run), "fp binary, whole array<long>")
+    return sets.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def _sized(pairs: DataFrame, percent: int) -> DataFrame:
@@ -418,11 +443,14 @@ def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
     # rows by id and text: the groups' first ones and the others
     marked = _shared.written(members.groupBy("doc_id", "mark").agg(F.bool_or(F.col("own") == F.col("least")).alias("stays"), F.count(F.lit(1)).alias("times")))
     keyed = docs.withColumn(MARK, _mark())
-    same = lambda d: (F.col(f"{d}.doc_id").eqNullSafe(keyed["doc_id"])) & (F.col(f"{d}.mark") == keyed[MARK])
-    kept = keyed.join(marked.where("not stays or times > 1").alias("x"), same("x"), "left_anti")
+    same = lambda d: (F.col(f"{d}.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col(f"{d}.mark") == F.col(f"r.`{MARK}`"))
+    # texts move only where the filter can't tell that their rows stay
+    judged = marked.where("not stays or times > 1")
+    test = Filter(judged, "doc_id", "mark").may_hold("doc_id", MARK)
+    kept = keyed.where(~test).unionByName(keyed.where(test).alias("r").join(judged.alias("x"), same("x"), "left_anti"))
     again = marked.where("stays and times > 1")
     if not again.isEmpty():
-        kept = kept.unionByName(keyed.join(again.alias("y"), same("y"), "left_semi").dropDuplicates(["doc_id", MARK]))
+        kept = kept.unionByName(keyed.where(test).alias("r").join(again.alias("y"), same("y"), "left_semi").dropDuplicates(["doc_id", MARK]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

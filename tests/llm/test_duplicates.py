@@ -45,6 +45,7 @@ def test_components_with_hubs(spark, monkeypatch, hub):
     from lodestore.llm import components as module
 
     monkeypatch.setattr(module, "HUB", hub)
+    monkeypatch.setattr(module, "TASK", 10 * hub)
     rng = np.random.default_rng(hub)
     links = [(0, i) for i in range(1, 40, 2)] + [(50, i) for i in range(51, 70)] + [tuple(map(int, x)) for x in rng.integers(70, 130, size=(35, 2))] + [(69, 39), (200, 201)]
     roots = roots_of(202, links)
