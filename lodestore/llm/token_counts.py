@@ -29,6 +29,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,7 @@ class Trie:
 
     def clear(self) -> None:
         self.edges: dict[int, int] = {}
-        self.score, self.tokens, self.terminal = [0], [0], [-1]
+        self.score, self.tokens, self.terminal = [0], [0], [0]
         self.ends: dict[str, int] = {}  # the terminal nodes of pre-tokens
 
     def count(self, token: str) -> int:
@@ -140,19 +142,14 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     def run(batches):
         trie = Trie(load_pieces(path))
-        count, get, terminal = trie.count, trie.ends.get, trie.terminal
         for b in batches:
             tokens, pre, chars = [], [], []
             for text in b.column(1).to_pylist():
                 found = Counter(pre_tokens(text))
-                n = 0
-                for token, times in found.items():
-                    node = get(token)
-                    if node is None:
-                        n += count(token) * times
-                        get, terminal = trie.ends.get, trie.terminal
-                    else:
-                        n += terminal[node] * times
+                nodes = list(map(trie.ends.get, found, repeat(0)))  # the root, which ends nothing, for new pre-tokens
+                n = sum(map(mul, map(trie.terminal.__getitem__, nodes), found.values()))
+                if 0 in nodes:
+                    n += sum(trie.count(token) * times for (token, times), node in zip(found.items(), nodes, strict=True) if not node)
                 tokens.append(n)
                 pre.append(sum(found.values()))
                 chars.append(len(text or ""))
