@@ -123,6 +123,35 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dealt(vectors: DataFrame, group: str, *more: str) -> DataFrame:
+    """The rows of each group cut into chunks of about ``CHUNK`` by a hash, and dealt to a cell (group, i, j) for each two chunks."""
+    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    return (
+        vectors.select(group, "vec_id", "embedding", *more).where("vec_id is not null").join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, group)
+        .withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        .select(group, "vec_id", "embedding", *more, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    )
+
+
+def cell_pairs(cell: pa.Table, threshold: float):
+    """(vectors, their row numbers, strips of (x, y, sim)): the pairs of different ids of a cell, once each, as numbers of vectors."""
+    at, v = matrix(cell.column("embedding"))
+    ids, mine = cell.column("vec_id").to_numpy()[at], cell.column("mine").to_numpy()[at]
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+
+    def strips():
+        for low in range(0, len(left), STRIP):
+            x = left[low : low + STRIP]
+            sims = v[x] @ v[right].T
+            p, q = np.nonzero(sims >= threshold)
+            a, b = x[p], right[q]
+            keep = ids[a] < ids[b] if i == j else ids[a] != ids[b]
+            yield a[keep], b[keep], sims[p, q][keep]
+
+    return v, at, strips()
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, group: str = "label") -> DataFrame:
     """group, a < b, sim: the pairs of a group whose product reaches the threshold.
 
@@ -130,31 +159,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, group: str = "label") ->
     are multiplied in a task, so a large group is many tasks; only pairs at the
     threshold leave them.
     """
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    dealt = (
-        vectors.select(group, "vec_id", "embedding").where("vec_id is not null").join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, group)
-        .withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select(group, "vec_id", "embedding", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    )
     kind, id_kind = vectors.schema[group].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
 
     def multiply(cell: pa.Table) -> pa.Table:
-        at, v = matrix(cell.column("embedding"))
-        ids, mine = cell.column("vec_id").to_numpy()[at], cell.column("mine").to_numpy()[at]
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found = [(ids[:0], ids[:0], np.empty(0))]
-        for low in range(0, len(left), STRIP):
-            x = left[low : low + STRIP]
-            sims = v[x] @ v[right].T
-            p, q = np.nonzero(sims >= threshold)
-            a, b, s = ids[x[p]], ids[right[q]], sims[p, q]
-            keep = a < b if i == j else a != b
-            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep]))
+        _, at, strips = cell_pairs(cell, threshold)
+        ids = cell.column("vec_id").to_numpy()[at]
+        found = [(ids[:0], ids[:0], np.empty(0)), *((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), s) for x, y, s in strips)]
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({group: pa.array([cell.column(group)[0].as_py()] * len(a), cell.schema.field(group).type), "a": pa.array(a), "b": pa.array(b), "sim": pa.array(s)})
 
-    return dealt.groupBy(group, "i", "j").applyInArrow(multiply, f"{group} {kind}, a {id_kind}, b {id_kind}, sim double")
+    return dealt(vectors, group).groupBy(group, "i", "j").applyInArrow(multiply, f"{group} {kind}, a {id_kind}, b {id_kind}, sim double")
 
 
 def neighbour_graph(vectors: DataFrame, threshold: float, most: int | None = None, group: str = "label") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestore.functions import decay, vector
-from lodestore.operators import blocks, search
+from lodestore.operators import blocks, chains, search
 
 #: 2024-01-31 00:00:00 UTC in seconds.
 NOW = 1706659200.0
@@ -151,6 +151,18 @@ def recall_chain(edges: DataFrame, seeds: DataFrame, depth: int, weight: DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("seed", "vec_id", "depth", "score", "rank")
 
 
+def similar_chains(vectors: DataFrame, asked: Column, threshold: float, weight: Column, k: int) -> DataFrame:
+    """``recall_chain`` to two hops over the edges between similar vectors of a label, from the rows that are asked for; no edge table is made.
+
+    Where an id repeats its rows are one node, which takes that table.
+    """
+    weighted = vectors.withColumn("weight", weight)
+    ids = vectors.agg(F.count("vec_id"), F.count_distinct("vec_id")).first()
+    if ids[0] != ids[1]:
+        return recall_chain(neighbour_edges(vectors, threshold), vectors.where(asked), 2, weighted.select("vec_id", "weight"), k)
+    return chains.two_hops(weighted.withColumn("asked", F.coalesce(asked, F.lit(False))), threshold, k)
+
+
 def context_block(found: DataFrame, budget: int = 800) -> DataFrame:
     """Per user the ranked lines (line, rank) that fit a budget of characters, joined."""
     w = Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

@@ -256,10 +256,7 @@ def _chain_sql(seed_where: str) -> str:
 @query(_chain_sql("vec_id % 20 = 0"))
 def recall_chain(spark, sf_dir):
     """The chains of a stated query set, every twentieth vector, over the edges of all."""
-    vectors = read(spark, sf_dir, "embeddings")
-    edges = memories.neighbour_edges(vectors, 0.2)
-    weight = vectors.select("vec_id", (1 - (F.col("vec_id") % 10) / F.lit(20.0)).alias("weight"))
-    return memories.recall_chain(edges, vectors.where("vec_id % 20 = 0"), 2, weight, 10)
+    return memories.similar_chains(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 0.2, 1 - (F.col("vec_id") % 10) / F.lit(20.0), 10)
 
 
 @query()

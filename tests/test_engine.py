@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import decay, vector
 from lodestore.functions import text as T
-from lodestore.operators import consolidate, memories, remember, session
+from lodestore.operators import chains, consolidate, memories, remember, session
 from lodestore.plans import catalogue
 from lodestore.sources import change_log
 from lodestore.streaming import remember as streams
@@ -163,6 +163,29 @@ def test_every_vector_has_its_chain(spark, tmp_path):
     assert got == want and len({x[0] for x in got}) > 60
 
 
+@pytest.mark.parametrize("query,edges", [("recall_chain", None), ("recall_chain", (64, 256))])
+def test_chains_need_no_edge_table(spark, tmp_path, monkeypatch, query, edges):
+    """Copies, near copies and rows alone, with lists that hold all edges, some or none, give what a walk over all edges gives."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(230, 8))
+    v[40:110] = v[40] + rng.normal(size=(70, 8)) * 0.05
+    v[110:120] = v[110]
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    label = [None if i % 23 == 0 else 9 if i == 5 else i % 3 // 2 for i in range(230)]
+    spark.createDataFrame([(i, label[i], x) for i, x in enumerate(v.tolist())], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    vectors = memories.read(spark, str(tmp_path), "embeddings")
+    weight = vectors.select("vec_id", (1 - (F.col("vec_id") % 10) / F.lit(20.0)).alias("weight"))
+    seeds = vectors if query == "recall_chain_all" else vectors.where("vec_id % 20 = 0")
+    want = memories.recall_chain(memories.neighbour_edges(vectors, 0.2), seeds, 2, weight, 10).collect()
+    if edges:
+        monkeypatch.setattr(chains, "EDGES", edges)
+        monkeypatch.setattr(chains, "PER_ROW", 0)
+    monkeypatch.setattr(memories, "neighbour_edges", lambda *a: pytest.fail("all edges were listed"))
+    got = catalogue.QUERIES[query](spark, str(tmp_path))
+    assert got.dtypes == [("seed", "bigint"), ("vec_id", "bigint"), ("depth", "int"), ("score", "double"), ("rank", "int")]
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want} and len(want) > 50
+
+
 def test_ngrams_of_all_documents(spark, tmp_path):
     texts = ["Un chat, un CHAT!", "aaaaaa b", "", None, "été-2024 x"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
