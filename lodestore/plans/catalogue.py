@@ -262,9 +262,7 @@ def recall_chain(spark, sf_dir):
 @query()
 def recall_chain_all(spark, sf_dir):
     """The chains of all vectors, not only those of ``recall_chain``."""
-    vectors = read(spark, sf_dir, "embeddings")
-    weight = vectors.select("vec_id", (1 - (F.col("vec_id") % 10) / F.lit(20.0)).alias("weight"))
-    return memories.recall_chain(memories.neighbour_edges(vectors, 0.2), vectors, 2, weight, 10)
+    return memories.similar_chains(read(spark, sf_dir, "embeddings"), F.lit(True), 0.2, 1 - (F.col("vec_id") % 10) / F.lit(20.0), 10)
 
 
 @query(f"""WITH {MEM}, s AS (SELECT user_id, event_id, {FINAL(f'cosine * {EXP(24.0, 0.05)} * {BOOST}')} AS score, '[' || event_type || '] ' || event_id AS line FROM scored),

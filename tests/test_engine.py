@@ -163,7 +163,7 @@ def test_every_vector_has_its_chain(spark, tmp_path):
     assert got == want and len({x[0] for x in got}) > 60
 
 
-@pytest.mark.parametrize("query,edges", [("recall_chain", None), ("recall_chain", (64, 256))])
+@pytest.mark.parametrize("query,edges", [("recall_chain", None), ("recall_chain", (64, 256)), ("recall_chain_all", None), ("recall_chain_all", (64, 1 << 21)), ("recall_chain_all", (0, 0))])
 def test_chains_need_no_edge_table(spark, tmp_path, monkeypatch, query, edges):
     """Copies, near copies and rows alone, with lists that hold all edges, some or none, give what a walk over all edges gives."""
     rng = np.random.default_rng(9)
@@ -186,6 +186,14 @@ def test_chains_need_no_edge_table(spark, tmp_path, monkeypatch, query, edges):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want} and len(want) > 50
 
 
+def test_chains_of_repeated_ids(spark, tmp_path):
+    v = np.eye(3)[[0, 0, 1, 1, 0]] + 0.3
+    rows = [(i, 0, x) for i, x in zip([1, 2, 2, 3, 4], (v / np.linalg.norm(v, axis=1)[:, None]).tolist(), strict=True)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.seed, r.vec_id) for r in catalogue.QUERIES["recall_chain_all"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in range(1, 5) for b in range(1, 5) if a != b}
+
+
 def test_ngrams_of_all_documents(spark, tmp_path):
     texts = ["Un chat, un CHAT!", "aaaaaa b", "", None, "été-2024 x"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
