@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns
-a DataFrame; all but the last return the columns of documents.
+a DataFrame; all but the last return the columns of documents.  A stage begins with
+executors that have given back the memory of the one before.
 """
 
 from __future__ import annotations
@@ -15,23 +16,27 @@ from lodestore.llm import _shared, near_dup, packing, secrets, toxicity
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier marks as toxic go."""
+    _shared.settle(spark)
     model = toxicity.train(docs, _shared.table(spark, sf_dir, "labels"))
     return toxicity.reject(docs, model)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
+    _shared.settle(spark)
     return near_dup.deduplicate(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark and its length follows."""
+    _shared.settle(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of training sequences."""
+    _shared.settle(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

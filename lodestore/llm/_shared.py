@@ -100,6 +100,13 @@ def released(run):
     return task
 
 
+def settle(spark: SparkSession) -> None:
+    """Driver and executors give back what earlier steps left: a heap that has grown stays that large until a full collection."""
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') as done").collect()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -66,3 +66,17 @@ def test_stages(spark, tmp_path, k):
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, written(spark, tmp_path, True, False)).count() == 0
+
+
+def test_stages_begin_with_memory_given_back(spark, docs, monkeypatch):
+    """Each stage has driver and executors collect in full before it runs; a heap that earlier stages grew would stay."""
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+    seen = []
+    for module, name in ((corpus_pipeline.toxicity, "train"), (corpus_pipeline.near_dup, "deduplicate"), (corpus_pipeline.secrets, "redact"), (corpus_pipeline.packing, "pack")):
+        monkeypatch.setattr(module, name, lambda d, *a: seen.append(beans()) or d)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "reject", lambda d, model: d)
+    monkeypatch.setattr(corpus_pipeline._shared, "table", lambda *a: None)
+    before = beans()
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "")
+    assert all(y - x >= 2 for x, y in zip([before, *seen], seen, strict=False)) and len(seen) == 4  # the driver's own, and one where tasks run
