@@ -59,6 +59,7 @@ class Trie:
 
     def __init__(self, pieces: dict[str, int], nodes: int = NODES):
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.suffixes = {p[i:]: 0 for p in pieces for i in range(len(p))} | pieces  # no piece's score is 0
         self.bound = nodes
         self.clear()
 
@@ -89,21 +90,22 @@ class Trie:
             node = nxt
             path.append(node)
             end += 1
-        get, longest = self.pieces.get, self.longest
+        get = self.suffixes.get
         for end in range(end + 1, len(token) + 1):
-            start = end - longest if end > longest else 0
-            best, fewest = None, 0
-            while start < end:
+            start = end - 1
+            piece, at = get(token[start]), path[start]
+            if piece:
+                best, fewest = score[at] + piece, tokens[at] + 1
+            else:
+                best, fewest = score[at] + UNKNOWN, tokens[at] + len(token[start].encode("utf-8", "replace"))
+            while piece is not None and start:  # no longer piece ends here once none has this suffix
+                start -= 1
                 piece = get(token[start:end])
-                if piece is not None or start == end - 1:
-                    more = 1
-                    if piece is None:
-                        piece, more = UNKNOWN, len(token[start].encode("utf-8", "replace"))
+                if piece:
                     at = path[start]
-                    s, n = score[at] + piece, tokens[at] + more
-                    if best is None or s > best or s == best and n < fewest:
+                    s, n = score[at] + piece, tokens[at] + 1
+                    if s > best or s == best and n < fewest:
                         best, fewest = s, n
-                start += 1
             edges[node << 21 | ord(token[end - 1])] = node = len(score)
             path.append(node)
             score.append(best)

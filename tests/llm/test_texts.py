@@ -41,6 +41,19 @@ def test_bpe_of_long_pieces(piece):
     assert byte_bpe.encode_piece(piece.encode(), ranks) == library.encode_ordinary(piece)
 
 
+def test_token_counts_look_no_further_than_a_suffix():
+    class Asked(dict):
+        n = 0
+
+        def get(self, key, default=None):
+            Asked.n += 1
+            return dict.get(self, key, default)
+
+    trie = token_counts.Trie({c: -1_000_000 for c in "abcdefgh"} | {"ab": -1_500_000, "x" * 8: -2_000_000})
+    trie.pieces, trie.suffixes = Asked(trie.pieces), Asked(getattr(trie, "suffixes", {}))
+    assert [trie.count("abcdefgh"), trie.count("ab" + "é" * 3)] == [7, 7] and Asked.n <= 2 * 13
+
+
 def test_token_counts_equal_plain_recursion(spark, docs, texts, monkeypatch):
     pieces = token_counts.load_pieces(PIECES)
     longest = max(map(len, pieces))
