@@ -1,12 +1,13 @@
 """Learnt text vectors: TF-IDF projected on its main directions, with a vocabulary that grows.
 
 A model is a table of columns (token, idx, df, column) and three numbers.  The
-directions are found by subspace iteration over the distributed TF-IDF entries;
-only matrices of the vectors' dimension squared reach the driver.
+directions are found by subspace iteration over the TF-IDF weights, which lie in
+blocks (``weights``); only matrices of the vectors' dimension squared reach the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -14,13 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.functions import text as T
 from lodestore.functions import vector
-from lodestore.operators import search
+from lodestore.operators import search, weights
 
 DIM, ROUNDS, SEED = 64, 4, 42
 #: Texts without a known token get the direction of this token.
@@ -54,65 +54,6 @@ def _directions(dim: int, scale: float):
     return of
 
 
-def _summed(rows: DataFrame, key: str, dim: int) -> DataFrame:
-    """key, v: the sums of ``w * v`` by key."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def add(batches):
-        last, held = None, np.zeros(dim)
-
-        def out(names, sums):
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(names) * dim + 1, dim, dtype=np.int32)), pa.array(np.concatenate(sums) if sums else np.empty(0)))
-            return pa.RecordBatch.from_arrays([pa.array(names, id_type), lists], [key, "v"])
-
-        id_type = pa.null()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            id_type = b.column(0).type
-            names = b.column(0).to_pylist()
-            v = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) * b.column(1).to_numpy(zero_copy_only=False)[:, None]
-            starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
-            sums = np.add.reduceat(v, starts, axis=0)
-            found = [names[i] for i in starts]
-            if last is not None and found[0] == last[0]:
-                sums[0] += held
-            elif last is not None:
-                yield out([last[0]], [held])
-            if len(found) > 1:
-                yield out(found[:-1], list(sums[:-1]))
-            last, held = (found[-1],), sums[-1]
-        if last is not None:
-            yield out([last[0]], [held])
-
-    return rows.select(key, "w", "v").repartition(key).sortWithinPartitions(key).mapInArrow(add, f"{key} {kind}, v array<double>")
-
-
-def _gram(rows: DataFrame, dim: int) -> np.ndarray:
-    """The products of the columns of all ``v`` with one another."""
-
-    def part(batches):
-        total = np.zeros((dim, dim))
-        for b in batches:
-            v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            total += v.T @ v
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["gram"])
-
-    return sum((np.frombuffer(r.gram).reshape(dim, dim) for r in rows.select("v").mapInArrow(part, "gram binary").toLocalIterator()), np.zeros((dim, dim)))
-
-
-def _turned(rows: DataFrame, turn: np.ndarray) -> DataFrame:
-    """Every ``v`` times a matrix."""
-
-    def run(batches):
-        for b in batches:
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, turn.shape[0]) @ turn
-            ends = pa.array(np.arange(0, v.size + 1, turn.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1)))], ["token", "v"])
-
-    return rows.select("token", "v").mapInArrow(run, "token string, v array<double>")
-
-
 def _weights(df: DataFrame, n_docs: int) -> DataFrame:
     return df.select("token", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -124,30 +65,58 @@ def entries(docs: DataFrame, df: DataFrame, n_docs: int, id_column: str = "doc_i
 
 
 def fit(docs: DataFrame, dim: int = DIM, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """The model of a corpus; at most as many directions as texts.  The entries are checkpointed once, the directions each round."""
+    """The model of a corpus; at most as many directions as texts."""
+    return fit_transform(docs, dim, rounds, id_column, text_column)[0]
+
+
+def fit_transform(docs: DataFrame, dim: int = DIM, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text") -> tuple[Model, DataFrame]:
+    """The model of a corpus and what ``transform`` gives for its rows, from the last product.
+
+    Texts are packed once; a round writes the vectors of the rows and of the tokens
+    that several blocks of texts share, and deletes those of the round before.
+    """
     n = docs.count()
-    df = T.document_frequency(docs, id_column, text_column)
-    vocabulary = T.vocabulary(df).join(df, "token")
     k = max(1, min(dim, n))
-    x = entries(docs, df, n, id_column, text_column).checkpoint()
-    v = df.select("token", _directions(k, 1.0)("token").alias("v"))
-    values = np.zeros(k)
-    for last in [*[False] * rounds, True]:
-        y = _summed(x.join(v, "token"), id_column, k)
-        if last:
-            squares, turn = np.linalg.eigh(_gram(y, k))
-            order = np.argsort(-squares)
-            values = np.sqrt(np.maximum(squares[order], 0))
-            v = _turned(v, turn[:, order])
-        else:
-            v = _summed(x.join(y, id_column), "token", k).checkpoint()
-            squares, axes = np.linalg.eigh(_gram(v, k))
+    kind = docs.schema[id_column].dataType.simpleString()
+    x = weights.blocks(docs, id_column, text_column)
+    held = weights.written(weights.names(x).groupBy("token").agg(F.sum("df").alias("df")))
+    spread, parts = weights.spread(x), max(1, held.count() * k * 8 // weights.PART_BYTES)
+    routes = weights.routes(x, parts, kind)
+    texts = x.where(F.col("kind") == weights.TEXT)
+    local, met = (routes.where(F.col("kind") == c) for c in (weights.LOCAL, weights.ROUTE))
+    own, cuts = texts.unionByName(local), weights.slices(k)
+    joined = lambda df, more: functools.reduce(DataFrame.unionByName, more, df)
+    y, v, before, turn, lacked = [], [], [], np.eye(k), np.eye(k)
+    for left in range(rounds, -1, -1):
+        weights.discard(*before)
+        before, y, lacked = y, [], turn
+        first = direction if not before else None
+        for cut in cuts:
+            new = weights.start(routes, k, cut, direction) if first else weights.gather(joined(texts.unionByName(met), before), routes, spread, parts, cut, n, lacked)
+            weights.forget_shuffles(docs)
+            y.append(weights.project(joined(own.unionByName(weights.messages(new, cut, kind)), before), spread, cut, n, lacked, kind, first))
+            weights.forget_shuffles(docs)
+            if not left:
+                v.append(new)
+            elif not first:
+                weights.discard(new)
+        if before:
+            squares, axes = np.linalg.eigh(weights.gram(y, cuts, k))
             keep = squares > squares.max() * 1e-12 if squares.max() > 0 else squares > 0
-            v = _turned(v, axes * np.where(keep, 1 / np.sqrt(np.where(keep, squares, 1)), 0))  # orthonormal
-    columns = vocabulary.join(v, "token").select("token", "idx", "df", F.col("v").alias("column")).checkpoint()
+            turn = axes * np.where(keep, 1 / np.sqrt(np.where(keep, squares, 1)), 0)  # orthonormal
+    squares, axes = np.linalg.eigh(weights.products(y, spread, k, turn))
+    order = np.argsort(-squares)
+    values, turn = np.sqrt(np.maximum(squares[order], 0)), turn @ axes[:, order]
+    found = weights.written(weights.columns(v, joined(own, before), spread, parts, k, n, lacked, turn, None if before else direction))
+    weights.discard(x, routes, *before, *(v if before else []))
+    weights.forget_shuffles(docs)
+    columns = weights.written(T.vocabulary(held).join(held, "token").join(found, "token").select("token", "idx", "df", "column"))
+    weights.discard(held, found)
+    weights.forget_shuffles(docs)
     norms = columns.select(vector.norm(F.col("column")).alias("n"))
     scale = norms.agg(F.percentile("n", F.lit(0.5))).first()[0]
-    return Model(columns, n, k, float(scale or 0.0) or 1.0, [float(s) for s in values])
+    model = Model(columns, n, k, float(scale or 0.0) or 1.0, [float(s) for s in values])
+    return model, weights.vectors(y, spread, k, id_column, kind, turn, direction(UNKNOWN, k))
 
 
 def partial_fit(model: Model, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
@@ -162,10 +131,14 @@ def partial_fit(model: Model, docs: DataFrame, id_column: str = "doc_id", text_c
 
 def transform(model: Model, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, embedding: unit vectors of all rows; a text without a known token gets the unknown direction."""
-    x = entries(docs, model.columns.select("token", "df"), model.n_docs, id_column, text_column)
-    projected = _summed(x.join(model.columns.select("token", F.col("column").alias("v")), "token"), id_column, model.dim)
-    unknown = vector.literal(direction(UNKNOWN, model.dim).tolist())
-    return docs.select(id_column).join(projected, id_column, "left").select(id_column, F.coalesce(vector.normalize(F.col("v")), unknown).alias("embedding"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    x, k = weights.blocks(docs, id_column, text_column), model.dim
+    texts, spread, y = x.where(F.col("kind") == weights.TEXT), weights.spread(x), []
+    for cut in weights.slices(k):
+        rows = texts.unionByName(weights.known(x, model.columns, cut, kind))
+        y.append(weights.project(rows, spread, cut, model.n_docs, np.eye(k), kind))
+    weights.discard(x)
+    return weights.vectors(y, spread, k, id_column, kind, np.eye(k), direction(UNKNOWN, k))
 
 
 def save(model: Model, path: str) -> None:

@@ -279,7 +279,7 @@ def grown_vocabulary(spark, sf_dir):
 def encoder_topk(spark, sf_dir):
     """For each benchmark text the five documents nearest by learnt vectors."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = encoder.fit(docs, 32)
-    corpus = encoder.transform(model, docs).select(F.col("doc_id").alias("vec_id"), "embedding")
+    model, vectors = encoder.fit_transform(docs, 32)
+    corpus = vectors.select(F.col("doc_id").alias("vec_id"), "embedding")
     asked = encoder.transform(model, read(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("qv"))
     return search.batch_top_k(corpus, asked, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestore.functions import text as T
-from lodestore.operators import blocks, consolidate, encoder, memories, remember, search, store
+from lodestore.operators import blocks, consolidate, encoder, memories, remember, search, store, weights
 from lodestore.plans import catalogue
 from lodestore.sources import change_log, models
 from lodestore.streaming import remember as streams
@@ -226,6 +226,19 @@ def test_encoder_against_a_whole_decomposition(spark):
     assert got[5] == pytest.approx(encoder.direction(encoder.UNKNOWN, 3)) and len(got) == len(TEXTS)
 
 
+def test_encoder_moves_no_vector_with_an_entry(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(encoder, "entries", lambda *a, **b: made.append(a))
+    monkeypatch.setattr(weights, "SLICE", 2)
+    rows = [("copy" if i == 3 else str(i), t) for i, t in enumerate(TEXTS)] + [("copy", "red apple"), (None, "green wine")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    model, vectors = encoder.fit_transform(docs, 3, rounds=1)
+    by = lambda df: sorted((str(r.doc_id), [round(x, 9) + 0.0 for x in r.embedding]) for r in df.collect())
+    assert not made and len(by(vectors)) == 10
+    for (a, x), (b, y) in zip(by(vectors), by(encoder.transform(model, docs)), strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-6)
+
+
 def test_encoder_grows_and_is_saved(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     model = encoder.fit(docs.where("doc_id < 5"), 3)
